@@ -37,6 +37,7 @@ def load_all() -> dict[str, Entry]:
     # Import for side effects (registration), in catalogue order.
     from lexivec.plans import (  # noqa: F401
         q_vectors,
+        q_rows,
     )
 
     return REGISTRY
