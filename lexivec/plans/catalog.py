@@ -38,6 +38,7 @@ def load_all() -> dict[str, Entry]:
     from lexivec.plans import (  # noqa: F401
         q_vectors,
         q_rows,
+        q_hybrid,
     )
 
     return REGISTRY
