@@ -39,6 +39,8 @@ def load_all() -> dict[str, Entry]:
         q_vectors,
         q_rows,
         q_hybrid,
+        q_text,
+        q_status,
     )
 
     return REGISTRY
