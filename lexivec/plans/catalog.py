@@ -41,6 +41,8 @@ def load_all() -> dict[str, Entry]:
         q_hybrid,
         q_text,
         q_status,
+        q_incremental,
+        q_sql,
     )
 
     return REGISTRY

@@ -93,10 +93,18 @@ def spec(spark: SparkSession, sf_dir: str, name: str, text_cols: tuple[str, ...]
     return TableSpec(name, read_table(spark, sf_dir, name), TABLE_KEYS.get(name, (DEFAULT_PK,)), text_cols)
 
 
+_VIEWS: dict[int, str] = {}
+
+
 def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ALL_TABLES) -> None:
-    """Temp views for guarded SQL (lazy: nothing is read until a query runs)."""
+    """Temp views for guarded SQL (lazy: nothing is read until a query runs). Re-registered only
+    when the session or the folder changes."""
+    key = id(spark._jsparkSession)
+    if _VIEWS.get(key) == sf_dir and all(spark.catalog.tableExists(n) for n in names[:1]):
+        return
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
+    _VIEWS[key] = sf_dir
 
 
 def allowed(table: str, allow_list: tuple[str, ...] | None) -> bool:
