@@ -43,6 +43,8 @@ def load_all() -> dict[str, Entry]:
         q_status,
         q_incremental,
         q_sql,
+        q_state,
+        q_reports,
     )
 
     return REGISTRY

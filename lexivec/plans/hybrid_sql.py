@@ -10,7 +10,7 @@ from __future__ import annotations
 from lexivec.config import CONTEXT_HEADER, ESSENTIAL_TERMS
 from lexivec.plans import duck as D
 
-K_VEC, K_FT, FINAL_K, TOP_ENRICH, CTX = 20, 50, 20, 5, 5
+TOP_ENRICH, CTX = 5, 5
 INDEXED_AT = 1_700_000_000
 SPLIT = r"'[^\p{L}\p{N}]+'"
 
@@ -44,7 +44,10 @@ _TERMS = "[" + ", ".join(f"'{t}'" for t in ESSENTIAL_TERMS) + "]"
 _N = len(ESSENTIAL_TERMS)
 _HEADER = CONTEXT_HEADER.replace("\n", "' || chr(10) || '")
 
-BASE = f"""
+def base(K_VEC: int = 20, K_FT: int = 50) -> str:
+    """The CTE chain for given candidate counts (final cut max(k_vec, 10))."""
+    FINAL_K = max(K_VEC, 10)
+    return f"""
 WITH docs AS ({D.row_docs_cte('documents', 'doc_id', ['text', 'lang', 'source'])}),
 chunks AS (
   SELECT 'documents::' || pk || '::' || chunk_idx AS id, "table", pk, chunk_idx, chunk
@@ -121,6 +124,9 @@ ctx AS (
   FROM ({_ctx_m()}))
 """
 
+
+BASE = base()
+
 MERGE_SQL = BASE + """
 SELECT query_id, "table", pk, snippet, round(score_ft, 6) AS score_ft, round(score_sem, 6) AS score_sem, combined_text, sem_only
 FROM merged"""
