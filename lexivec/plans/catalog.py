@@ -45,6 +45,7 @@ def load_all() -> dict[str, Entry]:
         q_sql,
         q_state,
         q_reports,
+        q_stream,
     )
 
     return REGISTRY
