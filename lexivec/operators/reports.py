@@ -21,7 +21,7 @@ def histogram(df: DataFrame, value: str, bounds: tuple[float, ...], by: list[str
     """
     aggs = [F.count_if(F.col(value) <= F.lit(float(b))).cast("long").alias(f"_b{i}") for i, b in enumerate(bounds)]
     a = df.groupBy(*by).agg(
-        *aggs, F.count(F.lit(1)).cast("long").alias("_inf"), F.sum(value).alias("value_sum"), F.count(value).cast("long").alias("value_count")
+        *aggs, F.count(F.lit(1)).cast("long").alias("_inf"), F.round(F.sum(value), 6).alias("value_sum"), F.count(value).cast("long").alias("value_count")
     )
     labels = [bound_label(b) for b in bounds] + ["+Inf"]
     cols = [f"_b{i}" for i in range(len(bounds))] + ["_inf"]

@@ -26,7 +26,7 @@ _HIST_VALUES = ", ".join(f"('{lab}', {b!r}::DOUBLE)" for lab, b in zip(_LABELS,
 SELECT e.event_type, b.le, count(*) FILTER (WHERE e.value <= b.bound)::BIGINT AS cum_count,
        any_value(s.value_sum) AS value_sum, any_value(s.value_count) AS value_count
 FROM events e JOIN (VALUES {_HIST_VALUES}) b(le, bound) ON true
-JOIN (SELECT event_type, sum(value) AS value_sum, count(value)::BIGINT AS value_count FROM events GROUP BY event_type) s
+JOIN (SELECT event_type, round(sum(value), 6) AS value_sum, count(value)::BIGINT AS value_count FROM events GROUP BY event_type) s
   ON s.event_type = e.event_type
 GROUP BY e.event_type, b.le
 """,

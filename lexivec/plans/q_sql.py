@@ -86,7 +86,7 @@ SUITE: list[tuple[str, str, str | None, dict | None]] = [
     (
         "sql_agg",
         """SELECT l_returnflag, l_linestatus, count(*) AS count_order, round(sum(l_quantity), 2) AS sum_qty,
-                  round(avg(l_extendedprice), 4) AS avg_price, round(max(l_discount), 2) AS max_disc
+                  CAST(round(sum(l_extendedprice) * 100) AS BIGINT) AS sum_price_cents, round(max(l_discount), 2) AS max_disc
            FROM lineitem GROUP BY l_returnflag, l_linestatus HAVING count(*) > 10 ORDER BY 1, 2""",
         None,
         None,
@@ -116,7 +116,7 @@ SUITE: list[tuple[str, str, str | None, dict | None]] = [
     ),
     (
         "sql_lag",
-        """SELECT event_type, count(*) AS n, round(avg(dv), 4) AS avg_delta FROM (
+        """SELECT event_type, count(*) AS n, CAST(round(sum(dv) * 100) AS BIGINT) AS sum_delta_cents FROM (
              SELECT event_type, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dv FROM events) t
            WHERE dv IS NOT NULL GROUP BY event_type ORDER BY 1""",
         None,
@@ -190,7 +190,7 @@ SUITE: list[tuple[str, str, str | None, dict | None]] = [
     (
         "sql_math_fns",
         """SELECT p_type, round(avg(sqrt(p_retailprice)), 4) AS avg_sqrt, round(max(ln(p_retailprice)), 4) AS max_ln,
-                  round(sum(abs(p_retailprice - 1000)), 2) AS dev, CAST(floor(avg(p_retailprice)) AS BIGINT) AS fl,
+                  round(sum(abs(p_retailprice - 1000)), 2) AS dev, CAST(floor(min(p_retailprice)) AS BIGINT) AS fl,
                   CAST(max(p_size) % 7 AS BIGINT) AS size_mod
            FROM part GROUP BY p_type ORDER BY 1""",
         None,
