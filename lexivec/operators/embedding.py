@@ -14,6 +14,7 @@ Rows carry their keys, so batch order is irrelevant (the original re-assembled o
 
 from __future__ import annotations
 
+import hashlib
 from typing import Callable
 
 import numpy as np
@@ -44,6 +45,36 @@ def _dense_from_codes(codes: pd.Series, dim: int) -> pd.Series:
     return pd.Series(list(out))
 
 
+_SPLIT = None
+_CODE_CACHE: dict[str, int] = {}
+_CACHE_MAX = 1 << 20
+
+
+def _token_codes(text: str | None, min_len: int) -> list[int]:
+    """Same tokens as ``functions.text.tokens`` (lower-case, split on non letters/digits, length
+    >= min_len); code = first 32 bits of the token's MD5. A bounded per-worker cache skips
+    re-hashing frequent tokens."""
+    global _SPLIT
+    if not text:
+        return []
+    if _SPLIT is None:
+        import regex
+
+        _SPLIT = regex.compile(r"[^\p{L}\p{N}]+")
+    cache = _CODE_CACHE
+    out = []
+    for t in _SPLIT.split(text.lower()):
+        if len(t) < min_len:
+            continue
+        c = cache.get(t)
+        if c is None:
+            c = int.from_bytes(hashlib.md5(t.encode("utf-8")).digest()[:4], "big")
+            if len(cache) < _CACHE_MAX:
+                cache[t] = c
+        out.append(c)
+    return out
+
+
 class Embedder:
     dim: int
 
@@ -55,22 +86,30 @@ class Embedder:
 
 
 class HashingEmbedder(Embedder):
+    """Feature hashing: signed counts of token codes in ``dim`` buckets, L2-normalised.
+
+    Bucket = code mod dim, sign = + when (code div dim) is even. Runs per Arrow batch in a
+    scalar pandas UDF (a model-inference step): tokens and codes in Python, one ``bincount``
+    per batch for the dense vectors.
+    """
+
     def __init__(self, dim: int = 64, min_token_len: int = 2):
         self.dim = dim
         self.min_token_len = min_token_len
-        d = dim
+        d, m = dim, min_token_len
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def _dense(codes: pd.Series) -> pd.Series:
-            return _dense_from_codes(codes, d)
+        def _embed(texts: pd.Series) -> pd.Series:
+            return _dense_from_codes(pd.Series([_token_codes(t, m) for t in texts], dtype=object), d)
 
-        self._udf = _dense
+        self._udf = _embed
 
     def codes(self, text: Column) -> Column:
+        """JVM form of the token codes (used to cross-check the Python tokenizer)."""
         return hash_codes(tokens(text, self.min_token_len))
 
     def embed(self, text: Column) -> Column:
-        return self._udf(self.codes(text))
+        return self._udf(text)
 
 
 class PandasEmbedder(Embedder):

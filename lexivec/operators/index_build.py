@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from lexivec.config import RetrievalConfig
 from lexivec.operators.chunking import chunk_docs
 from lexivec.operators.embedding import Embedder
+from lexivec.operators.plan_utils import spread
 from lexivec.operators.rowdocs import corpus_docs
 from lexivec.sources.tables import TableSpec
 
@@ -16,7 +17,8 @@ INDEX_COLUMNS = [
 
 
 def build_chunks(specs: list[TableSpec], cfg: RetrievalConfig, indexed_at: int, column_specs: list[str] | None = None) -> DataFrame:
-    return chunk_docs(corpus_docs(specs, cfg, column_specs), cfg, indexed_at)
+    spread_specs = [TableSpec(s.name, spread(s.df), s.pk, s.text_cols) for s in specs]
+    return chunk_docs(corpus_docs(spread_specs, cfg, column_specs), cfg, indexed_at)
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:

@@ -23,7 +23,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.config import SNIPPET_SEP, RetrievalConfig
-from lexivec.functions.text import tokens
+from lexivec.functions.text import TOKEN_SPLIT, tokens
+from lexivec.operators.plan_utils import bounded_broadcast
+from lexivec.operators.plan_utils import spread
 from lexivec.sources.tables import TableSpec, type_class
 
 LEX_COLUMNS = ["query_id", "table", "pk", "title", "snippet", "score_ft", "lex_rank"]
@@ -55,32 +57,67 @@ def _rank_per_table(hits: DataFrame, k: int, by_score: bool) -> DataFrame:
     return hits.withColumn("lex_rank", F.row_number().over(w)).where(F.col("lex_rank") <= k)
 
 
+def _inner_tokens(q: Column, min_len: int) -> Column:
+    """Tokens of a (lower-cased) pattern that are delimited on both sides inside it. If the
+    pattern occurs in a text, each of them is also a whole token of that text, so 'has all inner
+    tokens' is a necessary condition of the substring test (an exact prefilter)."""
+    parts = F.split(q, TOKEN_SPLIT)
+    inner = F.when(F.size(parts) >= 3, F.slice(parts, 2, F.size(parts) - 2)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(inner, lambda t: F.length(t) >= min_len))
+
+
 def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """J1 + J2 + W2 over every table that has a text column; ``queries(query_id, text)``."""
+    """J1 + J2 + W2 over every table that has a text column; ``queries(query_id, text)``.
+
+    Two exact paths, unioned:
+    * queries with inner tokens and no wildcard: token postings of the first text column are
+      equi-joined to the (broadcast) query tokens; a row is a candidate when it has all of them,
+      and only candidates run the substring test (no corpus x queries loop);
+    * the rest (short queries, wildcards): broadcast nested loop over the corpus, in blocks that
+      fit the broadcast budget.
+    """
     q = queries.select(
         "query_id",
         F.lower(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, cfg.like_chars)).alias("_q"),
     ).withColumn("_wild", F.col("_q").rlike(r"[%_\\]"))
+    q = q.withColumn("_inner", F.when(~F.col("_wild"), _inner_tokens(F.col("_q"), cfg.min_token_len)).otherwise(F.array().cast("array<string>")))
+    indexed_q = q.where(F.size("_inner") > 0)
+    loop_q = q.where(F.size("_inner") == 0).select("query_id", "_q", "_wild")
+    n_q = queries.count()
+    qterms = indexed_q.select("query_id", F.size("_inner").alias("_n"), F.explode("_inner").alias("term"))
     out = None
     for s in specs:
         cols = text_columns(s, cfg.lex_text_columns)
         if not cols:
             continue
         first = cols[0]
-        corpus = s.df.select(
+        corpus = spread(s.df).select(
             s.pk_col().alias("pk"), F.lower(F.col(first)).alias("_lt"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet")
         ).where(F.col("_lt").isNotNull())
-        for blk in _blocks(q, 96 + 4 * cfg.like_chars, cfg):
+        # indexed path
+        post = corpus.select("pk", F.explode(F.array_distinct(tokens(F.col("_lt"), cfg.min_token_len))).alias("term"))
+        cand = (
+            post.join(bounded_broadcast(qterms, n_q * cfg.like_chars // 2, 96, cfg), "term")
+            .groupBy("query_id", "pk")
+            .agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
+            .where(F.col("_m") == F.col("_n"))
+            .select("query_id", "pk")
+        )
+        qtext = bounded_broadcast(indexed_q.select("query_id", "_q"), n_q, 96 + 4 * cfg.like_chars, cfg)
+        hits_idx = (
+            corpus.join(cand, "pk")
+            .join(qtext, "query_id")
+            .where(F.contains("_lt", "_q"))
+            .select("query_id", "pk", "snippet")
+        )
+        parts = [hits_idx]
+        # loop path
+        for blk in _blocks(loop_q, 96 + 4 * cfg.like_chars, cfg):
             cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
-            hits = corpus.join(F.broadcast(blk), cond, "inner").select(
-                "query_id",
-                F.lit(s.name).alias("table"),
-                "pk",
-                F.lit("").alias("title"),
-                "snippet",
-                F.lit(0.0).alias("score_ft"),
-            )
-            out = hits if out is None else out.unionByName(hits)
+            parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk", "snippet"))
+        for h in parts:
+            h = h.select("query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"), "snippet", F.lit(0.0).alias("score_ft"))
+            out = h if out is None else out.unionByName(h)
     if out is None:
         return queries.sparkSession.createDataFrame(
             [], "query_id long, table string, pk string, title string, snippet string, score_ft double, lex_rank int"
@@ -95,7 +132,7 @@ def doc_tokens(spec: TableSpec, cfg: RetrievalConfig) -> DataFrame:
     """``(table, pk, toks)``: tokens of the first ``fulltext_columns`` text columns, in order."""
     cols = text_columns(spec, cfg.fulltext_columns)
     toks = F.flatten(F.array(*[F.coalesce(tokens(F.col(c), cfg.min_token_len), F.array().cast("array<string>")) for c in cols]))
-    return spec.df.select(F.lit(spec.name).alias("table"), spec.pk_col().alias("pk"), toks.alias("toks"))
+    return spread(spec.df).select(F.lit(spec.name).alias("table"), spec.pk_col().alias("pk"), toks.alias("toks"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -121,19 +158,27 @@ def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), cfg.min_token_len))).alias("term"))
 
 
-def bm25_scores(post: DataFrame, stats: DataFrame, qterms: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """``(query_id, table, pk, score_ft)`` summed over the query's terms present in the doc."""
+def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
+    """``(query_id, table, pk, score_ft)`` summed over the query's terms present in the doc.
+
+    The tokens of every document are filtered by the (broadcast) set of query terms *before*
+    they are counted, so only postings of query terms are shuffled; ``dl`` travels with them.
+    A prebuilt ``postings`` table (see ``postings``) serves the same join without the explode.
+    """
     k1, b = cfg.bm25_k1, cfg.bm25_b
-    terms = qterms.select("term").distinct()
-    # Postings of query terms only: the term list is broadcast, the postings stream.
-    hit = post.join(F.broadcast(terms), "term", "left_semi")
+    terms = bounded_broadcast(qterms.select("term").distinct(), n_q * 256, 64, cfg)
+    toks = docs.select("table", "pk", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    hit = toks.join(terms, "term", "left_semi").groupBy("table", "pk", "term").agg(
+        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
+    )
+    stats = corpus_stats(docs)
     df = hit.groupBy("table", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.join(F.broadcast(stats), "table").select(
         "table", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
     part = (
         hit.join(F.broadcast(idf), ["table", "term"])
-        .join(F.broadcast(qterms), "term")
+        .join(bounded_broadcast(qterms, n_q * 256, 64, cfg), "term")
         .select(
             "query_id",
             "table",
@@ -151,8 +196,6 @@ def bm25_scores(post: DataFrame, stats: DataFrame, qterms: DataFrame, cfg: Retri
 
 def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     """J3 + J2 (full-text snippet: first <=3 non-empty columns) + W2 ordered by score."""
-    from lexivec.operators.plan_utils import bounded_broadcast
-
     n_q = queries.count()
     out = None
     for s in specs:
@@ -160,7 +203,7 @@ def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         if not cols:
             continue
         docs = doc_tokens(s, cfg)
-        sc = bm25_scores(postings(docs), corpus_stats(docs), query_terms(queries, cfg), cfg)
+        sc = bm25_scores(docs, query_terms(queries, cfg), cfg, n_q)
         top = _rank_per_table(sc, cfg.k_ft, by_score=True)
         snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
         # At most k_ft rows per query: broadcast when that bound fits, else let the planner shuffle.

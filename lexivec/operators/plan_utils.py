@@ -15,3 +15,14 @@ def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int, cfg: Retriev
     if max_rows * row_bytes <= cfg.broadcast_max_bytes:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin rebalance before CPU-heavy per-row work (chunking, tokenising, embedding),
+    but only when the input has fewer partitions than the cluster can run at once, e.g. a
+    table stored as one large row group. A 100 TB scan already has thousands of splits, so this
+    adds no shuffle there. The partition count is known from the plan; no job runs."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df

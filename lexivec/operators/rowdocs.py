@@ -73,9 +73,8 @@ def row_docs(spec: TableSpec, cfg: RetrievalConfig) -> DataFrame:
     parts = []
     for c in text_cols:
         v = py_strip(value_text(F.col(c), schema[c].dataType))
-        if cfg.include_column_names:
-            v = F.concat(F.lit(f"{c}: "), v)
-        parts.append(F.struct(F.lit(c).alias("name"), v.alias("part"), py_strip(value_text(F.col(c), schema[c].dataType)).alias("raw")))
+        part = F.concat(F.lit(f"{c}: "), v) if cfg.include_column_names else v
+        parts.append(F.struct(F.lit(c).alias("name"), part.alias("part"), v.alias("raw")))
     kept = F.filter(F.array(*parts), lambda p: p["raw"].isNotNull() & (p["raw"] != ""))
     df = _capped(spec, cfg).select(
         F.lit(spec.name).alias("table"),

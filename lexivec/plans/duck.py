@@ -8,8 +8,17 @@ from __future__ import annotations
 NL_SEP = "' ' || chr(10) || ' '"  # ' \n '
 
 
+def _ws_sql() -> str:
+    from lexivec.functions.text import WHITESPACE
+
+    return " || ".join(f"chr({ord(c)})" for c in WHITESPACE)
+
+
+WS = _ws_sql()
+
+
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS})"
 
 
 def fp(*parts: str) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec.config import RetrievalConfig
 from lexivec.operators.chunking import chunk_docs, fallback_id, legacy_fingerprint
+from lexivec.operators.index_build import build_chunks
 from lexivec.operators.rowdocs import column_docs, row_docs
 from lexivec.plans import duck as D
 from lexivec.plans.catalog import query
@@ -20,7 +21,7 @@ def _docs(spark, sf_dir, table, cfg=CFG):
 
 
 def _doc_chunks(spark, sf_dir, cfg=CFG):
-    return chunk_docs(_docs(spark, sf_dir, "documents", cfg), cfg, INDEXED_AT)
+    return build_chunks([spec(spark, sf_dir, "documents")], cfg, INDEXED_AT)
 
 
 _ROWTEXT_OUT = ["table", "pk", "text", "columns", "row_fp"]

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from lexivec.config import RetrievalConfig
 from lexivec.functions.text import tokens
 from lexivec.functions.vectors import norm
-from lexivec.operators.chunking import chunk_docs
+from lexivec.operators.index_build import build_chunks
 from lexivec.operators.embedding import HashingEmbedder, embed_queries
 from lexivec.operators.lexical import bm25_search, like_search
-from lexivec.operators.rowdocs import row_docs
 from lexivec.plans import duck as D
 from lexivec.plans.catalog import query
 from lexivec.plans.hybrid_sql import SPLIT, _embed
@@ -123,7 +122,7 @@ SELECT id, b::INTEGER AS bucket, round(v, 6) AS value FROM cv WHERE v <> 0
 )
 def hash_embed_q(spark, sf_dir):
     """Feature-hashing embedding of every document chunk, as its non-zero coordinates."""
-    chunks = chunk_docs(row_docs(spec(spark, sf_dir, "documents"), CFG), CFG, INDEXED_AT)
+    chunks = build_chunks([spec(spark, sf_dir, "documents")], CFG, INDEXED_AT)
     emb = HashingEmbedder(CFG.embed_dim)
     e = emb.embed_df(chunks.select("id", "chunk"), "chunk")
     return (
