@@ -29,6 +29,7 @@ from lexivec.operators.plan_utils import spread
 from lexivec.sources.tables import TableSpec, type_class
 
 LEX_COLUMNS = ["query_id", "table", "pk", "title", "snippet", "score_ft", "lex_rank"]
+PREFILTER_TOKENS = 3
 
 
 def text_columns(spec: TableSpec, n: int) -> list[str]:
@@ -63,7 +64,14 @@ def _inner_tokens(q: Column, min_len: int) -> Column:
     tokens' is a necessary condition of the substring test (an exact prefilter)."""
     parts = F.split(q, TOKEN_SPLIT)
     inner = F.when(F.size(parts) >= 3, F.slice(parts, 2, F.size(parts) - 2)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(inner, lambda t: F.length(t) >= min_len))
+    inner = F.array_distinct(F.filter(inner, lambda t: F.length(t) >= min_len))
+    # Any subset of necessary tokens is still a necessary condition: keep the longest few
+    # (long tokens are the selective ones), so common words do not inflate the candidate join.
+    longest_first = F.array_sort(
+        inner,
+        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
+    )
+    return F.slice(longest_first, 1, PREFILTER_TOKENS)
 
 
 def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
