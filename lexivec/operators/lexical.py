@@ -43,8 +43,7 @@ def _snippet(cols: list[str], n_chars: int) -> Column:
     return F.substring(F.array_join(vals, SNIPPET_SEP), 1, n_chars)
 
 
-def _blocks(queries: DataFrame, est_row_bytes: int, cfg: RetrievalConfig) -> list[DataFrame]:
-    n = queries.count()
+def _blocks(queries: DataFrame, n: int, est_row_bytes: int, cfg: RetrievalConfig) -> list[DataFrame]:
     nblocks = max(1, -(-(n * est_row_bytes) // cfg.broadcast_max_bytes))
     if nblocks == 1:
         return [queries]
@@ -91,7 +90,10 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
     q = q.withColumn("_inner", F.when(~F.col("_wild"), _inner_tokens(F.col("_q"), cfg.min_token_len)).otherwise(F.array().cast("array<string>")))
     indexed_q = q.where(F.size("_inner") > 0)
     loop_q = q.where(F.size("_inner") == 0).select("query_id", "_q", "_wild")
-    n_q = queries.count()
+    # one small action on the query side decides which branches exist
+    counts = {r["k"]: r["n"] for r in q.groupBy((F.size("_inner") > 0).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_idx, n_loop = counts.get(True, 0), counts.get(False, 0)
+    n_q = n_idx + n_loop
     qterms = indexed_q.select("query_id", F.size("_inner").alias("_n"), F.explode("_inner").alias("term"))
     out = None
     for s in specs:
@@ -102,6 +104,7 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         corpus = spread(s.df).select(
             s.pk_col().alias("pk"), F.lower(F.col(first)).alias("_lt"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet")
         ).where(F.col("_lt").isNotNull())
+        parts = []
         # indexed path
         post = corpus.select("pk", F.explode(F.array_distinct(tokens(F.col("_lt"), cfg.min_token_len))).alias("term"))
         cand = (
@@ -118,9 +121,10 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
             .where(F.contains("_lt", "_q"))
             .select("query_id", "pk", "snippet")
         )
-        parts = [hits_idx]
+        if n_idx:
+            parts.append(hits_idx)
         # loop path
-        for blk in _blocks(loop_q, 96 + 4 * cfg.like_chars, cfg):
+        for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg) if n_loop else []:
             cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
             parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk", "snippet"))
         for h in parts:
