@@ -18,29 +18,22 @@ OFFSET_SUFFIX = r"(Z|[+-]\d{2}:?\d{2})$"
 def parse_ts(v: Column, zone: str = "UTC") -> Column:
     """Text -> TIMESTAMP (an instant), or NULL.
 
-    ISO forms with an offset (``Z``, ``+02:00``) are converted; naive values are read as wall
-    time in ``zone``; ``yyyy-M-d`` (unpadded) and ``yyyyMMdd`` are accepted; anything else is NULL.
+    Values must start like an ISO date (``yyyy-M-d``, padded or not) or be a compact
+    ``yyyyMMdd`` date. ISO forms go through Spark's own string-to-timestamp cast, a hand-written
+    parser with no exception on failure: it accepts a space or ``T`` separator, fractions and
+    ``Z`` / ``+hh:mm`` offsets, and rejects trailing garbage. Values with an offset are converted;
+    naive values are wall time in ``zone``.
     """
     s = py_strip(v.cast("string"))
     s = F.when(s != "", s)
-    iso = F.regexp_replace(s, "T", " ")
-    has_off = iso.rlike(OFFSET_SUFFIX)
-    aware = F.coalesce(
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m:s[.SSSSSS][.SSS]XXX")),
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m[:s]XXX")),
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m:s[.SSSSSS][.SSS]XX")),
-    )
-    naive_wall = F.coalesce(
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m:s[.SSSSSS][.SSS]")),
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d H:m")),
-        F.try_to_timestamp(iso, F.lit("yyyy-M-d")),
-    )
-    naive = naive_wall if zone == "UTC" else F.to_utc_timestamp(naive_wall, zone)
+    has_off = s.rlike(OFFSET_SUFFIX)
+    cast = s.try_cast("timestamp")  # naive text is read in the session zone (UTC)
+    naive = cast if zone == "UTC" else F.to_utc_timestamp(cast, zone)
     compact = F.try_to_timestamp(s, F.lit("yyyyMMdd"))
     compact = compact if zone == "UTC" else F.to_utc_timestamp(compact, zone)
     return (
         F.when(s.rlike(COMPACT_DATE), compact)
-        .when(s.rlike(ISO_DATE_PREFIX) & has_off, aware)
+        .when(s.rlike(ISO_DATE_PREFIX) & has_off, cast)
         .when(s.rlike(ISO_DATE_PREFIX), naive)
     )
 

@@ -136,14 +136,18 @@ def enrichment(specs: list[TableSpec], keys: DataFrame, cfg: RetrievalConfig, n_
             lambda p: p.isNotNull(),
         )
         k = keys.where(F.col("table") == s.name).select("pk")
+        # Late materialisation: select the few matching rows first (the key set is broadcast),
+        # then build the row text only for them.
+        matched = s.df.withColumn("_pk", s.pk_col()).join(
+            bounded_broadcast(k.withColumnRenamed("pk", "_pk"), n_keys_bound, 64, cfg), "_pk", "left_semi"
+        )
         full = F.array_join(parts, SNIPPET_SEP)
         # Only a bounded head of the row text leaves the scan, plus which essential terms the
         # whole text contains (the swap rule tests the uncut text).
         head = F.substring(full, 1, max(cfg.row_enrich_chars, cfg.lex_snippet_chars))
         terms = F.filter(F.array(*[F.lit(t) for t in cfg.essential_terms]), lambda t: F.contains(F.lower(full), t))
-        rows = s.df.select(s.pk_col().alias("pk"), head.alias("enriched_head"), terms.alias("terms_in"))
-        e = rows.join(bounded_broadcast(k, n_keys_bound, 64, cfg), "pk").select(
-            F.lit(s.name).alias("table"), "pk", "enriched_head", "terms_in"
+        e = matched.select(
+            F.lit(s.name).alias("table"), F.col("_pk").alias("pk"), head.alias("enriched_head"), terms.alias("terms_in")
         )
         out = e if out is None else out.unionByName(e)
     return out

@@ -108,24 +108,26 @@ def rank_topk(cands: DataFrame, id_col: str, k: int, score_col: str = "score") -
 
 
 def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, cfg_max_bytes: int, batch_rows: int):
-    """Yield (ids, matrix) blocks of normalised query vectors, each under the broadcast budget."""
+    """Yield (ids, matrix) blocks of normalised query vectors, each under the broadcast budget.
+
+    The common case (the whole query set fits one block) is one bounded collect of at most
+    ``rows_per_block + 1`` rows; only a larger set pays for a count and per-block passes."""
     q = queries.select(F.col(qid_col).alias("_qid"), F.col(qvec_col).alias("_qv"))
-    n = q.count()
-    if n == 0:
-        return
     per_row = dim * 8 + 64
     rows_per_block = max(1, min(batch_rows, cfg_max_bytes // per_row))
+    first = q.limit(rows_per_block + 1).toPandas()
+    if len(first) <= rows_per_block:
+        if len(first):
+            yield first["_qid"].to_numpy(), _normalise_rows(_stack(first["_qv"], dim))
+        return
+    n = q.count()
     nblocks = max(1, -(-n // rows_per_block))
-    if nblocks > 1:
-        q = q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(nblocks)))
+    q = q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(nblocks)))
     for b in range(nblocks):
-        part = q if nblocks == 1 else q.where(F.col("_blk") == b)
-        pdf = part.select("_qid", "_qv").toPandas()
+        pdf = q.where(F.col("_blk") == b).select("_qid", "_qv").toPandas()
         if pdf.empty:
             continue
-        ids = pdf["_qid"].to_numpy()
-        m = _stack(pdf["_qv"], dim)
-        yield ids, _normalise_rows(m)
+        yield pdf["_qid"].to_numpy(), _normalise_rows(_stack(pdf["_qv"], dim))
 
 
 def vector_topk(

@@ -9,6 +9,7 @@ from lexivec.functions.text import iso_text
 from lexivec.functions.timeparse import status_of
 from lexivec.operators.chunking import chunk_docs
 from lexivec.operators.metadata import flatten_metadata
+from lexivec.operators.plan_utils import spread
 from lexivec.operators.rowdocs import row_docs
 from lexivec.plans import duck as D
 from lexivec.plans.catalog import query
@@ -37,7 +38,7 @@ def event_status_q(spark, sf_dir):
     The period is carried as a temporal map of ISO strings (as index metadata carries it) and goes
     through the same parse / start-end pick / status rules as search results.
     """
-    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    orders = spread(read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"))
     last = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("end_ts"))
     o = orders.join(last, orders.o_orderkey == last.l_orderkey, "left")
     dt = o.schema["o_orderdate"].dataType
