@@ -170,12 +170,12 @@ def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), cfg.min_token_len))).alias("term"))
 
 
-def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
-    """``(query_id, table, pk, score_ft)`` summed over the query's terms present in the doc.
+def bm25_weights(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
+    """``(query_id, table, pk, term, w)``: the BM25 weight of each query term in each document
+    that contains it.
 
     The tokens of every document are filtered by the (broadcast) set of query terms *before*
     they are counted, so only postings of query terms are shuffled; ``dl`` travels with them.
-    A prebuilt ``postings`` table (see ``postings``) serves the same join without the explode.
     """
     k1, b = cfg.bm25_k1, cfg.bm25_b
     terms = bounded_broadcast(qterms.select("term").distinct(), n_q * 256, 64, cfg)
@@ -188,13 +188,14 @@ def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: i
     idf = df.join(F.broadcast(stats), "table").select(
         "table", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     )
-    part = (
+    return (
         hit.join(F.broadcast(idf), ["table", "term"])
-        .join(bounded_broadcast(qterms, n_q * 256, 64, cfg), "term")
+        .join(bounded_broadcast(qterms.select("query_id", "term").distinct(), n_q * 256, 64, cfg), "term")
         .select(
             "query_id",
             "table",
             "pk",
+            "term",
             (
                 F.col("idf")
                 * F.col("tf")
@@ -203,7 +204,11 @@ def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: i
             ).alias("w"),
         )
     )
-    return part.groupBy("query_id", "table", "pk").agg(F.sum("w").alias("score_ft"))
+
+
+def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
+    """``(query_id, table, pk, score_ft)`` summed over the query's terms present in the doc."""
+    return bm25_weights(docs, qterms, cfg, n_q).groupBy("query_id", "table", "pk").agg(F.sum("w").alias("score_ft"))
 
 
 def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
