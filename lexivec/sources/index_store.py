@@ -95,3 +95,14 @@ class IndexStore:
             F.lit(None).cast("array<float>").alias("embedding"),
         )
         return out.where(F.col("table").isNotNull() | F.col("pk").isNotNull() | F.col("chunk").isNotNull())
+
+
+def load_or_build(store: IndexStore, build, auto_index: bool = True, initial_build: bool = True) -> DataFrame | None:
+    """A committed index is loaded; otherwise it is built (and saved) when automatic
+    indexing and the initial build are on; else there is no index (retrieval returns nothing)."""
+    if store.current_version() is not None:
+        return store.load()
+    if auto_index and initial_build:
+        store.save(build())
+        return store.load()
+    return None

@@ -214,3 +214,25 @@ def test_index_store_versions_and_legacy(spark):
     assert a == {"1": 99, "2": 5}
     b = store.load_legacy_json(p2, 7).collect()
     assert len(b) == 1 and b[0]["row_fp"] == "ab" and b[0]["indexed_at"] == 7
+
+
+def test_load_or_build_and_resolve_columns(spark):
+    from lexivec.sources.index_store import load_or_build
+    from lexivec.sources.tables import catalog_columns, resolve_index_columns
+
+    store = IndexStore(spark, scratch_path(spark, "lob"))
+    assert load_or_build(store, lambda: None, auto_index=False) is None
+    emb = HashingEmbedder(64)
+    idx = load_or_build(store, lambda: build_index([spec(spark, SF_SMALL, "part")], CFG, emb, 1))
+    assert idx.count() == spark.read.parquet(f"{SF_SMALL}/part.parquet").count()
+    assert load_or_build(store, lambda: 1 / 0).count() == idx.count()  # loaded, not rebuilt
+
+    cat = catalog_columns(spark, [spec(spark, SF_SMALL, t) for t in ("part", "documents", "orders")])
+    valid, missing = resolve_index_columns(spark, cat, ["documents.text", "part.p_name", "part.nope", "orders", "lineitem.x"])
+    assert sorted(r["spec"] for r in valid.collect()) == ["documents.text", "part.p_name"]
+    assert sorted(r["spec"] for r in missing.collect()) == ["lineitem.x", "orders", "part.nope"]
+    # allow-list drops part; nothing valid left in the list -> auto discovery of allowed tables
+    valid2, _ = resolve_index_columns(spark, cat, ["part.p_name"], allow_list=("documents",))
+    assert sorted(r["spec"] for r in valid2.collect()) == ["documents.lang", "documents.source", "documents.text"]
+    valid3, _ = resolve_index_columns(spark, cat, ["nope.x"], auto_discover=False)
+    assert valid3.count() == 0
