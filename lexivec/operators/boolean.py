@@ -7,9 +7,17 @@ prefix for ``word*``, and for a phrase when its tokens also occur consecutively.
 matches when every required term matches, no excluded term does, and at least one non-excluded
 term does. Score: BM25 over the distinct tokens of the matched non-excluded terms.
 
-Plan: queries are parsed with ``regexp_extract_all`` (JVM); exact tokens equi-join the postings
-with the query side broadcast; prefixes expand against the (much smaller) vocabulary first, so the
-non-equi step never touches postings; phrase order is checked only on candidate documents.
+Plan (every join against document data is an equi-join with the small query side broadcast):
+
+* the document vocabulary is reduced to the *relevant* terms (exact query tokens, plus terms that
+  extend a query prefix, found by an equi-join on the first two characters), and only
+  occurrences of relevant terms are counted into postings ``(table, pk, term, tf, dl)``;
+* a term's exact tokens match by counting joined postings; prefixes by the same two-character
+  equi-join on postings;
+* a phrase matches when the document has all its token bigrams (bigram occurrences are filtered
+  by the broadcast bigram set before anything is shuffled); phrases of three or more tokens are
+  re-checked in order, on candidate documents only;
+* scores reuse the postings, so the documents are tokenised once.
 """
 
 from __future__ import annotations
@@ -19,17 +27,17 @@ from pyspark.sql import functions as F
 
 from lexivec.config import RetrievalConfig
 from lexivec.functions.text import tokens
-from lexivec.operators.lexical import (
-    LEX_COLUMNS, _rank_per_table, _snippet, bm25_weights, doc_tokens, text_columns,
-)
+from lexivec.operators.lexical import LEX_COLUMNS, _rank_per_table, _snippet, corpus_stats, doc_tokens, text_columns
 from lexivec.operators.plan_utils import bounded_broadcast
 from lexivec.sources.tables import TableSpec
 
 TERM_PATTERN = r'([+-]?)("[^"]*"|[^\s"]+)'
+KEY = ["query_id", "table", "pk"]
 
 
 def parse_boolean(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """``(query_id, term_no, op, kind, exact ARRAY<STRING>, prefix STRING, phrase STRING)``."""
+    """``(query_id, term_no, op, kind, toks, exact, prefix)``: ``toks`` in order (phrases),
+    ``exact`` = distinct tokens that must match exactly, ``prefix`` = last token of ``word*``."""
     ops = F.regexp_extract_all(F.col("text"), F.lit(TERM_PATTERN), 1)
     bodies = F.regexp_extract_all(F.col("text"), F.lit(TERM_PATTERN), 2)
     t = queries.select("query_id", F.posexplode(F.arrays_zip(ops.alias("op"), bodies.alias("body"))).alias("term_no", "x"))
@@ -43,75 +51,147 @@ def parse_boolean(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
         "query_id",
         "term_no",
         F.col("x.op").alias("op"),
-        F.when(is_phrase, "phrase").when(is_prefix, "prefix").otherwise("word").alias("kind"),
-        F.when(is_prefix, F.slice(toks, 1, F.greatest(n - 1, F.lit(0)))).otherwise(toks).alias("exact"),
+        F.when(is_phrase & (n >= 2), "phrase").when(is_prefix, "prefix").otherwise("word").alias("kind"),
+        toks.alias("toks"),
+        F.array_distinct(F.when(is_prefix, F.slice(toks, 1, F.greatest(n - 1, F.lit(0)))).otherwise(toks)).alias("exact"),
         F.when(is_prefix & (n > 0), F.element_at(toks, -1)).alias("prefix"),
-        F.when(is_phrase, F.array_join(toks, " ")).alias("phrase"),
     )
     return out.where((F.size("exact") > 0) | F.col("prefix").isNotNull())
 
 
+def _k2(c):
+    return F.substring(c, 1, 2)
+
+
 def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    k1, b = cfg.bm25_k1, cfg.bm25_b
     n_q = queries.count()
     terms = parse_boolean(queries, cfg)
+    bound = n_q * 32
+
+    def bb(df, row_bytes=96):
+        return bounded_broadcast(df, bound, row_bytes, cfg)
+
+    meta = terms.select(
+        "query_id", "term_no", "op", "kind", (F.size("exact") > 0).alias("has_exact"), F.col("prefix").isNotNull().alias("has_prefix")
+    )
+    exact_req = terms.select("query_id", "term_no", F.size("exact").alias("n_exact"), F.explode("exact").alias("term"))
+    prefix_req = terms.where(F.col("prefix").isNotNull()).select("query_id", "term_no", "prefix", _k2("prefix").alias("k2"))
+    exact_set = exact_req.select("term").distinct()
+    prefix_set = prefix_req.select("prefix", "k2").distinct()
+    phrase_terms = terms.where(F.col("kind") == "phrase")
+    bigram_req = phrase_terms.select(
+        "query_id",
+        "term_no",
+        (F.size("toks") - 1).alias("n_bi"),
+        F.posexplode(F.arrays_zip(F.slice("toks", 1, F.size("toks") - 1).alias("a"), F.slice("toks", 2, F.size("toks") - 1).alias("b"))).alias("bi_no", "bg"),
+    ).select("query_id", "term_no", "n_bi", "bi_no", F.col("bg.a").alias("a"), F.col("bg.b").alias("b"))
+    bigram_set = bigram_req.select("a", "b").distinct()
+
     out = None
     for s in specs:
         cols = text_columns(s, cfg.fulltext_columns)
         if not cols:
             continue
-        docs = doc_tokens(s, cfg)
-        post = docs.select("table", "pk", F.explode(F.array_distinct("toks")).alias("term"))
-        tb = bounded_broadcast(terms, n_q * 32, 256, cfg)
-        # exact tokens of every term
-        req = tb.select("query_id", "term_no", F.size("exact").alias("n_exact"), F.explode("exact").alias("term"))
+        d = doc_tokens(s, cfg)
+        occ = d.select("table", "pk", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        # relevant vocabulary: exact query tokens and prefix extensions (two-character equi-join)
+        vocab = occ.select("term").distinct()
+        rel = vocab.join(F.broadcast(exact_set), "term", "left_semi").unionByName(
+            vocab.withColumn("k2", _k2("term")).join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("term")
+        ).distinct()
+        # The relevant postings feed five joins below: written once to the shared checkpoint
+        # folder (a lineage cut that survives executor loss) instead of being re-derived per use.
+        post = (
+            occ.join(bounded_broadcast(rel, bound * 64, 48, cfg), "term", "left_semi")
+            .groupBy("table", "pk", "term")
+            .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        ).checkpoint()
+        # exact parts of terms
         exact_ok = (
-            post.join(F.broadcast(req), "term")
+            post.join(bb(exact_req), "term")
             .groupBy("query_id", "table", "pk", "term_no")
-            .agg(F.countDistinct("term").alias("_m"), F.first("n_exact").alias("_n"))
+            .agg(F.count(F.lit(1)).alias("_m"), F.first("n_exact").alias("_n"))
             .where(F.col("_m") == F.col("_n"))
             .select("query_id", "table", "pk", "term_no")
         )
-        # prefixes: expand against the vocabulary (distinct terms), then equi-join postings
-        pre = tb.where(F.col("prefix").isNotNull()).select("query_id", "term_no", "prefix")
-        vocab = post.select("term").distinct()
-        expanded = vocab.join(F.broadcast(pre), F.col("term").startswith(F.col("prefix"))).select("query_id", "term_no", "term")
-        prefix_hit = post.join(expanded, "term").select("query_id", "table", "pk", "term_no", "term")
+        # prefix parts of terms
+        prefix_hit = (
+            post.withColumn("k2", _k2("term"))
+            .join(bb(prefix_req), "k2")
+            .where(F.col("term").startswith(F.col("prefix")))
+            .select("query_id", "table", "pk", "term_no", "term")
+        )
         prefix_ok = prefix_hit.select("query_id", "table", "pk", "term_no").distinct()
-        # a term matches when its exact part and its prefix part (where present) both match
-        meta = tb.select("query_id", "term_no", "op", "kind", (F.size("exact") > 0).alias("has_exact"), F.col("prefix").isNotNull().alias("has_prefix"), "phrase")
         cand = exact_ok.withColumn("_e", F.lit(True)).join(
             prefix_ok.withColumn("_p", F.lit(True)), ["query_id", "table", "pk", "term_no"], "full_outer"
         )
-        m = cand.join(F.broadcast(meta), ["query_id", "term_no"]).where(
+        m = cand.join(bb(meta), ["query_id", "term_no"]).where(
             (~F.col("has_exact") | F.col("_e").isNotNull()) & (~F.col("has_prefix") | F.col("_p").isNotNull())
         )
-        # phrase order, checked on candidates only
-        phr = m.where(F.col("kind") == "phrase").join(docs, ["table", "pk"]).where(
-            F.contains(F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" ")))
-        ).select("query_id", "table", "pk", "term_no", "op")
-        matched = m.where(F.col("kind") != "phrase").select("query_id", "table", "pk", "term_no", "op").unionByName(phr)
+        # phrases: all bigrams present (filtered before the shuffle), then order for 3+ tokens
+        bi_occ = (
+            d.select("table", "pk", F.explode(F.arrays_zip(F.slice("toks", 1, F.greatest(F.size("toks") - 1, F.lit(0))).alias("a"),
+                                                            F.slice("toks", 2, F.greatest(F.size("toks") - 1, F.lit(0))).alias("b"))).alias("bg"))
+            .select("table", "pk", F.col("bg.a").alias("a"), F.col("bg.b").alias("b"))
+            .join(bb(bigram_set), ["a", "b"], "left_semi")
+            .distinct()
+        )
+        phrase_cand = (
+            bi_occ.join(bb(bigram_req), ["a", "b"])
+            .groupBy("query_id", "table", "pk", "term_no")
+            .agg(F.count(F.lit(1)).alias("_m"), F.first("n_bi").alias("_n"))
+            .where(F.col("_m") == F.col("_n"))
+            .select("query_id", "table", "pk", "term_no")
+        )
+        phr_toks = bb(phrase_terms.select("query_id", "term_no", F.array_join("toks", " ").alias("phrase"), F.size("toks").alias("n_t")))
+        pc = phrase_cand.join(phr_toks, ["query_id", "term_no"])
+        two = pc.where(F.col("n_t") == 2).select("query_id", "table", "pk", "term_no")
+        more = (
+            pc.where(F.col("n_t") > 2)
+            .join(d, ["table", "pk"])
+            .where(F.contains(F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
+            .select("query_id", "table", "pk", "term_no")
+        )
+        phrase_ok = two.unionByName(more)
+        matched = (
+            m.where(F.col("kind") != "phrase").select("query_id", "table", "pk", "term_no", "op")
+            .unionByName(m.where(F.col("kind") == "phrase").join(phrase_ok, ["query_id", "table", "pk", "term_no"], "left_semi").select("query_id", "table", "pk", "term_no", "op"))
+        )
         # document-level rule
         n_req = meta.groupBy("query_id").agg(F.count_if(F.col("op") == "+").alias("n_req"))
         docs_ok = (
-            matched.groupBy("query_id", "table", "pk")
+            matched.groupBy(*KEY)
             .agg(
                 F.count_if(F.col("op") == "+").alias("req"),
                 F.count_if(F.col("op") == "-").alias("exc"),
                 F.count_if(F.col("op") != "-").alias("pos"),
             )
-            .join(F.broadcast(n_req), "query_id")
+            .join(bb(n_req), "query_id")
             .where((F.col("req") == F.col("n_req")) & (F.col("exc") == 0) & (F.col("pos") > 0))
-            .select("query_id", "table", "pk")
+            .select(*KEY)
         )
-        # score: BM25 over the distinct tokens of matched positive terms
+        # score: BM25 over the distinct tokens of matched positive terms (postings reused)
         pos_terms = matched.where(F.col("op") != "-").select("query_id", "table", "pk", "term_no")
-        tok_exact = pos_terms.join(F.broadcast(tb.select("query_id", "term_no", F.explode("exact").alias("term"))), ["query_id", "term_no"])
+        tok_exact = pos_terms.join(bb(exact_req.select("query_id", "term_no", "term")), ["query_id", "term_no"])
         tok_pre = pos_terms.join(prefix_hit, ["query_id", "table", "pk", "term_no"])
-        doc_terms = tok_exact.select("query_id", "table", "pk", "term").unionByName(tok_pre.select("query_id", "table", "pk", "term")).distinct()
-        qterms = doc_terms.select("query_id", "term").distinct()
-        w = bm25_weights(docs, qterms, cfg, n_q).join(doc_terms, ["query_id", "table", "pk", "term"], "left_semi")
-        scores = w.groupBy("query_id", "table", "pk").agg(F.sum("w").alias("score_ft"))
-        hits = docs_ok.join(scores, ["query_id", "table", "pk"], "left").withColumn("score_ft", F.coalesce("score_ft", F.lit(0.0)))
+        doc_terms = tok_exact.select(*KEY, "term").unionByName(tok_pre.select(*KEY, "term")).distinct()
+        st = corpus_stats(d).collect()  # one row per table: (n_docs, avgdl)
+        stats = s.df.sparkSession.createDataFrame(st, "table string, n_docs long, avgdl double")
+        dfs = post.groupBy("table", "term").agg(F.count(F.lit(1)).alias("df"))
+        idf = dfs.join(F.broadcast(stats), "table").select(
+            "table", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+        )
+        w = (
+            doc_terms.join(post, ["table", "pk", "term"])
+            .join(idf, ["table", "term"])
+            .select(
+                *KEY,
+                (F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"),
+            )
+        )
+        scores = w.groupBy(*KEY).agg(F.sum("w").alias("score_ft"))
+        hits = docs_ok.join(scores, KEY, "left").withColumn("score_ft", F.coalesce("score_ft", F.lit(0.0)))
         top = _rank_per_table(hits, cfg.k_ft, by_score=True)
         snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
         res = snip.join(bounded_broadcast(top, n_q * cfg.k_ft, 160, cfg), "pk").select(
