@@ -31,9 +31,36 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_session_defaults(spark: SparkSession) -> None:
-    """Settings every plan in this package relies on for reproducible results."""
+    """Settings every plan in this package relies on for reproducible results, and the package
+    itself on every executor's Python path."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     work_dir(spark)
+    ship_package(spark)
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (what ``--py-files`` does), once per
+    context. The archive is built on the driver and distributed by Spark itself."""
+    import zipfile
+
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="lexivec-pyfiles-"), "lexivec.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
 
 
 def work_dir(spark: SparkSession) -> str:
