@@ -88,9 +88,16 @@ def main(argv):
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.01"
     names = argv[2:]
     import __spark_entry__ as E
-    from lexivec.session import local_session
 
-    spark = local_session()
+    if os.environ.get("ORACLE_BARE"):
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        from lexivec.session import local_session
+
+        spark = local_session()
     con = duck(sf_dir)
     qs, oq = E.queries(), E.oracle_sql()
     bad = 0
