@@ -157,7 +157,7 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         matched = (
             m.where(F.col("kind") != "phrase").select("query_id", "table", "pk", "term_no", "op")
             .unionByName(m.where(F.col("kind") == "phrase").join(phrase_ok, ["query_id", "table", "pk", "term_no"], "left_semi").select("query_id", "table", "pk", "term_no", "op"))
-        )
+        ).checkpoint()  # feeds the document rule and the scoring
         # document-level rule
         n_req = meta.groupBy("query_id").agg(F.count_if(F.col("op") == "+").alias("n_req"))
         docs_ok = (
@@ -172,7 +172,8 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
             .select(*KEY)
         )
         # score: BM25 over the distinct tokens of matched positive terms (postings reused)
-        pos_terms = matched.where(F.col("op") != "-").select("query_id", "table", "pk", "term_no")
+        # only documents that pass the rule are scored (prunes the prefix expansions early)
+        pos_terms = matched.where(F.col("op") != "-").join(docs_ok, KEY, "left_semi").select("query_id", "table", "pk", "term_no")
         tok_exact = pos_terms.join(bb(exact_req.select("query_id", "term_no", "term")), ["query_id", "term_no"])
         tok_pre = pos_terms.join(prefix_hit, ["query_id", "table", "pk", "term_no"])
         doc_terms = tok_exact.select(*KEY, "term").unionByName(tok_pre.select(*KEY, "term")).distinct()
