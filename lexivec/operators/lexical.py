@@ -101,40 +101,41 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         if not cols:
             continue
         first = cols[0]
-        corpus = spread(s.df).select(
-            s.pk_col().alias("pk"), F.lower(F.col(first)).alias("_lt"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet")
-        ).where(F.col("_lt").isNotNull())
+        corpus = spread(s.df).select(s.pk_col().alias("pk"), F.lower(F.col(first)).alias("_lt")).where(F.col("_lt").isNotNull())
         parts = []
-        # indexed path
-        post = corpus.select("pk", F.explode(F.array_distinct(tokens(F.col("_lt"), cfg.min_token_len))).alias("term"))
-        cand = (
-            post.join(bounded_broadcast(qterms, n_q * cfg.like_chars // 2, 96, cfg), "term")
-            .groupBy("query_id", "pk")
-            .agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
-            .where(F.col("_m") == F.col("_n"))
-            .select("query_id", "pk")
-        )
-        qtext = bounded_broadcast(indexed_q.select("query_id", "_q"), n_q, 96 + 4 * cfg.like_chars, cfg)
-        hits_idx = (
-            corpus.join(cand, "pk")
-            .join(qtext, "query_id")
-            .where(F.contains("_lt", "_q"))
-            .select("query_id", "pk", "snippet")
-        )
         if n_idx:
-            parts.append(hits_idx)
-        # loop path
+            # indexed path: candidates from token postings, substring test on candidates only
+            post = corpus.select("pk", F.explode(F.array_distinct(tokens(F.col("_lt"), cfg.min_token_len))).alias("term"))
+            cand = (
+                post.join(bounded_broadcast(qterms, n_q * PREFILTER_TOKENS, 96, cfg), "term")
+                .groupBy("query_id", "pk")
+                .agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
+                .where(F.col("_m") == F.col("_n"))
+                .select("query_id", "pk")
+            )
+            qtext = bounded_broadcast(indexed_q.select("query_id", "_q"), n_q, 96 + 4 * cfg.like_chars, cfg)
+            parts.append(corpus.join(cand, "pk").join(qtext, "query_id").where(F.contains("_lt", "_q")).select("query_id", "pk"))
+        # loop path: short or wildcard patterns, broadcast nested loop in budget-sized blocks
         for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg) if n_loop else []:
             cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
-            parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk", "snippet"))
-        for h in parts:
-            h = h.select("query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"), "snippet", F.lit(0.0).alias("score_ft"))
-            out = h if out is None else out.unionByName(h)
+            parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk"))
+        if not parts:
+            continue
+        hits = parts[0]
+        for h in parts[1:]:
+            hits = hits.unionByName(h)
+        # rank keys only, then attach snippets to the <= k_ft survivors (late materialisation)
+        top = _rank_per_table(hits.withColumn("table", F.lit(s.name)), cfg.k_ft, by_score=False)
+        snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
+        res = snip.join(bounded_broadcast(top, n_q * cfg.k_ft, 64, cfg), "pk").select(
+            "query_id", "table", "pk", F.lit("").alias("title"), "snippet", F.lit(0.0).alias("score_ft"), "lex_rank"
+        )
+        out = res if out is None else out.unionByName(res)
     if out is None:
         return queries.sparkSession.createDataFrame(
             [], "query_id long, table string, pk string, title string, snippet string, score_ft double, lex_rank int"
         )
-    return _rank_per_table(out, cfg.k_ft, by_score=False).select(*LEX_COLUMNS)
+    return out.select(*LEX_COLUMNS)
 
 
 # ---------------------------------------------------------------------------
