@@ -194,9 +194,11 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         scores = w.groupBy(*KEY).agg(F.sum("w").alias("score_ft"))
         hits = docs_ok.join(scores, KEY, "left").withColumn("score_ft", F.coalesce("score_ft", F.lit(0.0)))
         top = _rank_per_table(hits, cfg.k_ft, by_score=True)
-        snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
-        res = snip.join(bounded_broadcast(top, n_q * cfg.k_ft, 160, cfg), "pk").select(
-            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"), "snippet", "score_ft", "lex_rank"
+        # join first, then build snippets for the joined rows only
+        rows = s.df.withColumn("pk", s.pk_col()).join(bounded_broadcast(top.drop("table"), n_q * cfg.k_ft, 160, cfg), "pk")
+        res = rows.select(
+            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"),
+            _snippet(cols, cfg.lex_snippet_chars).alias("snippet"), "score_ft", "lex_rank",
         )
         out = res if out is None else out.unionByName(res)
     return out.select(*LEX_COLUMNS)

@@ -30,6 +30,7 @@ from lexivec.sources.tables import TableSpec, type_class
 
 LEX_COLUMNS = ["query_id", "table", "pk", "title", "snippet", "score_ft", "lex_rank"]
 PREFILTER_TOKENS = 3
+LITERAL_PATTERNS_MAX = 256  # short patterns inlined as literal predicates (a bounded set)
 
 
 def text_columns(spec: TableSpec, n: int) -> list[str]:
@@ -96,6 +97,7 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
     n_q = n_idx + n_loop
     qterms = indexed_q.select("query_id", F.size("_inner").alias("_n"), F.explode("_inner").alias("term"))
     out = None
+    loop_rows = None
     for s in specs:
         cols = text_columns(s, cfg.lex_text_columns)
         if not cols:
@@ -115,10 +117,21 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
             )
             qtext = bounded_broadcast(indexed_q.select("query_id", "_q"), n_q, 96 + 4 * cfg.like_chars, cfg)
             parts.append(corpus.join(cand, "pk").join(qtext, "query_id").where(F.contains("_lt", "_q")).select("query_id", "pk"))
-        # loop path: short or wildcard patterns, broadcast nested loop in budget-sized blocks
-        for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg) if n_loop else []:
-            cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
-            parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk"))
+        # loop path: short or wildcard patterns. A small set becomes literal predicates (each
+        # pattern compiled once, evaluated in generated code, one pass over the corpus); a large
+        # set is a broadcast nested loop in budget-sized blocks.
+        if n_loop and n_loop <= LITERAL_PATTERNS_MAX:
+            if loop_rows is None:
+                loop_rows = [(r["query_id"], r["_q"], r["_wild"]) for r in loop_q.collect()]
+            lt = F.col("_lt")
+            ids = F.array(*[
+                F.when(lt.like(f"%{pat}%") if wild else lt.contains(pat), F.lit(qid).cast("long")) for qid, pat, wild in loop_rows
+            ])
+            parts.append(corpus.select("pk", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("query_id")))
+        elif n_loop:
+            for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg):
+                cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
+                parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk"))
         if not parts:
             continue
         hits = parts[0]
@@ -126,9 +139,11 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
             hits = hits.unionByName(h)
         # rank keys only, then attach snippets to the <= k_ft survivors (late materialisation)
         top = _rank_per_table(hits.withColumn("table", F.lit(s.name)), cfg.k_ft, by_score=False)
-        snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
-        res = snip.join(bounded_broadcast(top, n_q * cfg.k_ft, 64, cfg), "pk").select(
-            "query_id", "table", "pk", F.lit("").alias("title"), "snippet", F.lit(0.0).alias("score_ft"), "lex_rank"
+        # join first, then build snippets for the joined rows only
+        rows = s.df.withColumn("pk", s.pk_col()).join(bounded_broadcast(top, n_q * cfg.k_ft, 64, cfg), "pk")
+        res = rows.select(
+            "query_id", "table", "pk", F.lit("").alias("title"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"),
+            F.lit(0.0).alias("score_ft"), "lex_rank",
         )
         out = res if out is None else out.unionByName(res)
     if out is None:
@@ -223,11 +238,12 @@ def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         docs = doc_tokens(s, cfg)
         sc = bm25_scores(docs, query_terms(queries, cfg), cfg, n_q)
         top = _rank_per_table(sc, cfg.k_ft, by_score=True)
-        snip = s.df.select(s.pk_col().alias("pk"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"))
         # At most k_ft rows per query: broadcast when that bound fits, else let the planner shuffle.
-        top_b = bounded_broadcast(top, n_q * cfg.k_ft, 160, cfg)
-        hits = snip.join(top_b, "pk").select(
-            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"), "snippet", "score_ft", "lex_rank"
+        # Join first, then build snippets for the joined rows only.
+        top_b = bounded_broadcast(top.drop("table"), n_q * cfg.k_ft, 160, cfg)
+        hits = s.df.withColumn("pk", s.pk_col()).join(top_b, "pk").select(
+            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"),
+            _snippet(cols, cfg.lex_snippet_chars).alias("snippet"), "score_ft", "lex_rank",
         )
         out = hits if out is None else out.unionByName(hits)
     return out
