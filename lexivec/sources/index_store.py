@@ -41,7 +41,7 @@ class IndexStore:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _versions(self) -> list[int]:
+    def _versions(self, committed_only: bool = True) -> list[int]:
         root = self._Path(self.root)
         if not self._fs.exists(root):
             return []
@@ -49,7 +49,7 @@ class IndexStore:
         for st in self._fs.listStatus(root):
             name = st.getPath().getName()
             if name.startswith("v=") and name[2:].isdigit():
-                if self._fs.exists(self._Path(st.getPath(), "_SUCCESS")):
+                if not committed_only or self._fs.exists(self._Path(st.getPath(), "_SUCCESS")):
                     out.append(int(name[2:]))
         return sorted(out)
 
@@ -72,7 +72,8 @@ class IndexStore:
 
     def save(self, index: DataFrame) -> int:
         """Write a complete new version; readers switch when the commit marker exists."""
-        v = (self.current_version() or 0) + 1
+        # a write that died leaves a folder without a commit marker: never reuse its number
+        v = max(self._versions(committed_only=False) or [0]) + 1
         index.select(*[f.name for f in INDEX_SCHEMA.fields]).write.mode("errorifexists").partitionBy("table").parquet(self.path(v))
         return v
 

@@ -236,3 +236,14 @@ def test_load_or_build_and_resolve_columns(spark):
     assert sorted(r["spec"] for r in valid2.collect()) == ["documents.lang", "documents.source", "documents.text"]
     valid3, _ = resolve_index_columns(spark, cat, ["nope.x"], auto_discover=False)
     assert valid3.count() == 0
+
+
+def test_index_store_skips_uncommitted_version(spark):
+    store = IndexStore(spark, scratch_path(spark, "store-crash"))
+    emb = HashingEmbedder(64)
+    idx = build_index([spec(spark, SF_SMALL, "part")], CFG, emb, 1)
+    assert store.save(idx) == 1
+    os.makedirs(store.path(2).replace("file:", ""), exist_ok=True)  # a write that died: no _SUCCESS
+    assert store.current_version() == 1
+    assert store.save(idx.limit(2)) == 3
+    assert store.current_version() == 3 and store.load().count() == 2
