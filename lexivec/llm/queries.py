@@ -28,9 +28,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.simhash_golay import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "documents"), size=3, most=2)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
+    "op3_simhash_golay": op3_simhash_golay,
 }
 
 ORACLES: dict[str, str] = {
