@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm.common import table
+from lexivec.session import scratch_path
 
-#: Folder of the public tokenizer files; the operators take paths as parameters.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer file on the driver; executors get its content by broadcast."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexivec.llm.language_id import language_of_documents
 
-    return language_of_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return language_of_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,10 +39,28 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache in the shared folder."""
+    from lexivec.llm.bpe import read_spec
+    from lexivec.llm.token_counts import count_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    counted = count_tokens(docs, read_spec(tokenizer_path("byte_bpe_50k.json")), scratch_path(spark, "token-cache"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.bpe import read_spec, round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), read_spec(tokenizer_path("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash_golay": op3_simhash_golay,
+    "op6_token_counts": op6_token_counts,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLES: dict[str, str] = {
