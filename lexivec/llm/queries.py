@@ -55,12 +55,24 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), read_spec(tokenizer_path("byte_bpe_50k.json")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document has one source here, so every pattern has one."""
+    from lexivec.llm.mixing import mix
+
+    chosen, quotas, _ = mix(table(spark, sf_dir, "documents"), F.array("source"), weights=(5, 2, 1), share=1.5, most=2)
+    chosen = chosen.withColumn("source", F.from_json("pattern", "array<string>")[0])
+    rows = chosen.join(F.broadcast(quotas), chosen.source.eqNullSafe(quotas.source))
+    rows = rows.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash_golay": op3_simhash_golay,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLES: dict[str, str] = {
