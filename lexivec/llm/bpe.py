@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch
+from lexivec.llm.common import batch, kept, map_batches
 
 #: The byte-level pre-tokenizer's fixed pattern (contractions, letters, digits, others, spaces).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -270,37 +270,35 @@ def read_spec(path: str) -> str:
 
 def encode_documents(docs: DataFrame, spec: str) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``ids`` (array of int) of the column ``text``."""
-    keep = [c for c in docs.columns if c not in ("n_tokens", "ids")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    added = {"n_tokens": "long", "ids": "array<int>"}
     shared = docs.sparkSession.sparkContext.broadcast(spec)
-    at = keep.index("text")
+    at = kept(docs, added).index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         bpe = loaded(shared.value)
-        for rows in batches:
+
+        def step(rows: pa.RecordBatch) -> list[pa.Array]:
             ids = bpe.encode([t or "" for t in rows.column(at).to_pylist()])
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4")))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes), lists], names=[*keep, "n_tokens", "ids"])
+            return [*rows.columns, pa.array(sizes), pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4")))]
 
-    return docs.mapInArrow(run, docs.schema.add("n_tokens", "long").add("ids", "array<int>"))
+        return step
+
+    return map_batches(docs, make, added)
 
 
 def decode_documents(encoded: DataFrame, spec: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its column ``ids`` (null ids: empty)."""
-    keep = [c for c in encoded.columns if c != "decoded"]
-    encoded = encoded.select(*[F.col(f"`{c}`") for c in keep])
+    added = {"decoded": "string"}
     shared = encoded.sparkSession.sparkContext.broadcast(spec)
-    at = keep.index("ids")
+    at = kept(encoded, added).index("ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         bpe = loaded(shared.value)
-        for rows in batches:
-            texts = [bpe.decode(x or []) for x in rows.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(texts, pa.string())], names=[*keep, "decoded"])
+        return lambda rows: [*rows.columns, pa.array([bpe.decode(x or []) for x in rows.column(at).to_pylist()], pa.string())]
 
-    return encoded.mapInArrow(run, encoded.schema.add("decoded", "string"))
+    return map_batches(encoded, make, added)
 
 
 def round_trip_digests(docs: DataFrame, spec: str) -> DataFrame:

@@ -6,11 +6,12 @@ Tables that several jobs read again are written to the folder in ``spark.checkpo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from lexivec.session import ensure_session_defaults, scratch_path
 
@@ -63,3 +64,25 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def in_pieces(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     for start in range(0, rows.num_rows, size):
         yield rows.slice(start, size)
+
+
+def kept(docs: DataFrame, added: dict[str, str]) -> list[str]:
+    """Columns that pass through an operator which adds (or replaces) ``added``."""
+    return [c for c in docs.columns if c not in added]
+
+
+def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
+    """``docs`` mapped batch by batch: ``make`` runs once a task and gives the function from a
+    batch of the kept columns, in order, to all output columns. Inside, columns have plain
+    positional names, so any column name passes through."""
+    names = kept(docs, added)
+    plain = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
+    extra = StructType([StructField(f"a{i}", _parse_datatype_string(kind)) for i, kind in enumerate(added.values())])
+    schema = StructType([*plain.schema.fields, *extra.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = make()
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays(step(rows), names=schema.names)
+
+    return plain.mapInArrow(run, schema).toDF(*names, *added)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, save, text_bytes
+from lexivec.llm.common import batch, kept, map_batches, save
 
 UND = "und"
 #: Training bound: documents per language, and over all languages.
@@ -329,33 +329,24 @@ class Scorer:
 def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row; the columns kept are passed through. Columns
     of those names in ``docs`` are replaced."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    at = keep.index(text)
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    added = {"lang_pred": "string", "score": "double"}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = kept(docs, added).index(text)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         scorer = Scorer(shared.value)
-        for rows in batches:
+
+        def step(rows: pa.RecordBatch) -> list[pa.Array]:
             told, points = scorer(rows.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(told, pa.string()), pa.array(points, pa.float64())], names=[*rows.schema.names, "lang_pred", "score"])
+            return [*rows.columns, pa.array(told, pa.string()), pa.array(points, pa.float64())]
+
+        return step
 
-    return docs.mapInArrow(score, schema)
+    return map_batches(docs, make, added)
 
 
 def language_of_documents(docs: DataFrame, vocab_path: str) -> DataFrame:
     """Train on the rows outside the held-out fold; predict every row from its text alone."""
     fold = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
     model = fit(fold.where(~F.col("held_out")), vocab_path)
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
-        for rows in batches:
-            told, points = scorer(rows.column(2).to_pylist())
-            yield batch(out, rows.column(0), rows.column(1), told, points)
-
-    return fold.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")).mapInArrow(score, "doc_id long, held_out boolean, lang_pred string, score double")
+    return identify(fold.select(F.col("doc_id").cast("long"), "held_out", F.col("text").cast("string")), model).drop("text")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, save, text_bytes
+from lexivec.llm.common import batch, kept, map_batches, save, text_bytes
 
 SLOTS = 4
 LOAD = 0.9
@@ -233,32 +233,30 @@ def spark_shard(key: bytes, shards: int) -> int:
 
 def drop_lines(docs: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int, min_chars: int = 1) -> DataFrame:
     """``docs`` (doc_id, text, ...) with the text's common lines dropped, ``n_lines``, ``n_dropped``."""
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    added = {"n_lines": "long", "n_dropped": "long"}
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept(docs, added)]).withColumn("text", F.col("text").cast("string"))
     common = counts.where(F.col("n") >= min_docs).select("key")
     found = _candidates(docs, load_filters(filters), shards, min_chars).join(common, "key")
     drops = found.groupBy("__id").agg(F.collect_set("key").alias("__drop"))
     joined = docs.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left").drop("__id")
-    at, drop_at = keep.index("text"), len(keep)
-    schema = docs.withColumn("text", F.col("text").cast("string")).schema.add("n_lines", "long").add("n_dropped", "long")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts, totals, gone = [], [], []
-            for body, drop in zip(text_bytes(rows.column(at)), rows.column(drop_at).to_pylist(), strict=True):
-                lines = body.split(b"\n")
-                kept = lines
-                if drop:
-                    common_here = set(drop)
-                    kept = [x for x in lines if line_key(x, min_chars) not in common_here]
-                texts.append(b"\n".join(kept))
-                totals.append(len(lines))
-                gone.append(len(lines) - len(kept))
-            columns = list(rows.columns[:drop_at])
-            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())], names=[*keep, "n_lines", "n_dropped"])
-
-    return joined.withColumn("text", F.col("text").cast("string")).mapInArrow(cut, schema)
+    at, drop_at = docs.columns.index("text"), len(docs.columns)
+
+    def step(rows: pa.RecordBatch) -> list[pa.Array]:
+        texts, totals, gone = [], [], []
+        for body, drop in zip(text_bytes(rows.column(at)), rows.column(drop_at).to_pylist(), strict=True):
+            lines = body.split(b"\n")
+            stay = lines
+            if drop:
+                common_here = set(drop)
+                stay = [x for x in lines if line_key(x, min_chars) not in common_here]
+            texts.append(b"\n".join(stay))
+            totals.append(len(lines))
+            gone.append(len(lines) - len(stay))
+        columns = list(rows.columns)
+        columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+        return [*columns, pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
+
+    return map_batches(joined, lambda: step, added).drop("__drop")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

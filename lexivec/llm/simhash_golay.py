@@ -225,3 +225,17 @@ def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, bucket: int =
     least = grouped.groupBy("root").agg(F.min("doc").alias("component_id"))
     named = save(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-groups")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, size: int = 3, most: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component. Rows without an id cannot
+    be named and stay; of rows with one id, one stays."""
+    found = save(near_duplicates(docs, size, most).select("doc_id", "component_id"), "near-duplicates")
+    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
+    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(
+        rest.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    )
