@@ -39,6 +39,14 @@ def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.pii import KINDS, find_personal_data, spans_text
+
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, n=n: x.k == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache in the shared folder."""
     from lexivec.llm.bpe import read_spec
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash_golay": op3_simhash_golay,
+    "op5_pii": op5_pii,
     "op6_token_counts": op6_token_counts,
     "op7_bpe": op7_bpe,
     "op9_mixing": op9_mixing,
