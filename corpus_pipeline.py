@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm.bpe import encode_documents, read_spec
-from lexivec.llm.common import save, setup, table
+from lexivec.llm.common import columns, save, setup, table
 from lexivec.llm.language_id import UND, fit, held_out, identify
 from lexivec.llm.line_dedup import dedup_lines
 from lexivec.llm.mixing import mix_documents
@@ -25,13 +25,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a learned language is found; null texts and texts without letters go."""
     setup(spark)
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), tokenizer_path("piece_bpe_32k.model"))
-    return identify(docs, model).where(F.col("lang_pred") != UND).select(docs.columns)
+    return identify(docs, model).where(F.col("lang_pred") != UND).select(*columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that ten or more documents share."""
     setup(spark)
-    cut = dedup_lines(docs, min_docs=10, min_chars=1).select(docs.columns)
+    cut = dedup_lines(docs, min_docs=10, min_chars=1).select(*columns(docs))
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
@@ -44,7 +44,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     setup(spark)
-    return mix_documents(docs, F.array("source"), weights=(5, 2, 1), share=1.5, most=2).select(docs.columns)
+    return mix_documents(docs, F.array("source"), weights=(5, 2, 1), share=1.5, most=2).select(*columns(docs))
 
 
 def bpe_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

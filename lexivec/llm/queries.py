@@ -82,7 +82,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexivec.llm.pii import KINDS, find_personal_data, spans_text
 
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, n=n: x.k == n)).cast("long").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.k = {n})) as bigint)").alias(f"n_{kind}") for n, kind in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, save, text_bytes
+from lexivec.llm.common import batch, columns, save, text_bytes
 from lexivec.llm.components import components
 
 #: Segment widths; at most 23 each, 64 together.
@@ -232,10 +232,10 @@ def one_of_each_group(docs: DataFrame, size: int = 3, most: int = 2) -> DataFram
     be named and stay; of rows with one id, one stays."""
     found = save(near_duplicates(docs, size, most).select("doc_id", "component_id"), "near-duplicates")
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    rest = docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
     repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     if repeated.isEmpty():
         return rest
-    return rest.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(
-        rest.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return rest.join(repeated, "doc_id", "left_anti").select(*columns(docs)).unionByName(
+        rest.join(repeated, "doc_id", "left_semi").select(*columns(docs)).dropDuplicates(["doc_id"])
     )

@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+
+@pytest.fixture(scope="session", autouse=True)
+def corpus_session(spark):
+    from lexivec.llm.common import setup
+
+    setup(spark)
+
+
+@pytest.fixture(scope="session")
+def bpe_spec():
+    from lexivec.llm.bpe import read_spec
+    from lexivec.llm.queries import tokenizer_path
+
+    return read_spec(tokenizer_path("byte_bpe_50k.json"))
