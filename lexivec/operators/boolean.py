@@ -31,6 +31,9 @@ from lexivec.operators.lexical import LEX_COLUMNS, _rank_per_table, _snippet, co
 from lexivec.operators.plan_utils import bounded_broadcast
 from lexivec.sources.tables import TableSpec
 
+#: Every token counts here, also one-letter ones: a dropped required or excluded term would change
+#: which rows match.
+MIN_TOKEN = 1
 TERM_PATTERN = r'([+-]?)("[^"]*"|[^\s"]+)'
 KEY = ["query_id", "table", "pk"]
 
@@ -45,7 +48,7 @@ def parse_boolean(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     is_phrase = body.startswith('"')
     is_prefix = ~is_phrase & body.endswith("*")
     clean = F.regexp_replace(body, r'^"|"$|\*$', "")
-    toks = tokens(clean, cfg.min_token_len)
+    toks = tokens(clean, MIN_TOKEN)
     n = F.size(toks)
     out = t.select(
         "query_id",
@@ -64,6 +67,7 @@ def _k2(c):
 
 
 def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    cfg = cfg.with_(min_token_len=MIN_TOKEN)
     k1, b = cfg.bm25_k1, cfg.bm25_b
     n_q = queries.count()
     terms = parse_boolean(queries, cfg)
@@ -93,13 +97,14 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         cols = text_columns(s, cfg.fulltext_columns)
         if not cols:
             continue
-        d = doc_tokens(s, cfg)
-        occ = d.select("table", "pk", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+        d = doc_tokens(s, cfg, breaks=True)
+        occ = d.select("table", "pk", F.size(F.array_remove("toks", "")).alias("dl"), F.explode("toks").alias("term")).where("term != ''")
         # relevant vocabulary: exact query tokens and prefix extensions (two-character equi-join)
         vocab = occ.select("term").distinct()
-        rel = vocab.join(F.broadcast(exact_set), "term", "left_semi").unionByName(
-            vocab.withColumn("k2", _k2("term")).join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("term")
-        ).distinct()
+        # (a one-letter prefix meets the terms' first letter).
+        heads = vocab.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), _k2("term")))).alias("k2"))
+        extensions = heads.join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("prefix", "term").distinct()
+        rel = vocab.join(bb(exact_set), "term", "left_semi").unionByName(extensions.select("term")).distinct()
         # The relevant postings feed five joins below: written once to the shared checkpoint
         # folder (a lineage cut that survives executor loss) instead of being re-derived per use.
         post = (
@@ -117,9 +122,8 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         )
         # prefix parts of terms
         prefix_hit = (
-            post.withColumn("k2", _k2("term"))
-            .join(bb(prefix_req), "k2")
-            .where(F.col("term").startswith(F.col("prefix")))
+            post.join(extensions, "term")
+            .join(bb(prefix_req.drop("k2")), "prefix")
             .select("query_id", "table", "pk", "term_no", "term")
         )
         prefix_ok = prefix_hit.select("query_id", "table", "pk", "term_no").distinct()
@@ -177,7 +181,7 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         tok_exact = pos_terms.join(bb(exact_req.select("query_id", "term_no", "term")), ["query_id", "term_no"])
         tok_pre = pos_terms.join(prefix_hit, ["query_id", "table", "pk", "term_no"])
         doc_terms = tok_exact.select(*KEY, "term").unionByName(tok_pre.select(*KEY, "term")).distinct()
-        st = corpus_stats(d).collect()  # one row per table: (n_docs, avgdl)
+        st = corpus_stats(d.withColumn("toks", F.array_remove("toks", ""))).collect()  # one row per table: (n_docs, avgdl)
         stats = s.df.sparkSession.createDataFrame(st, "table string, n_docs long, avgdl double")
         dfs = post.groupBy("table", "term").agg(F.count(F.lit(1)).alias("df"))
         idf = dfs.join(F.broadcast(stats), "table").select(

@@ -78,6 +78,11 @@ def _token_codes(text: str | None, min_len: int) -> list[int]:
 class Embedder:
     dim: int
 
+    @property
+    def identity(self) -> str | None:
+        """Names the model behind the vectors, for stored indexes; None when it is unknown."""
+        return None
+
     def embed(self, text: Column) -> Column:  # pragma: no cover - interface
         raise NotImplementedError
 
@@ -104,6 +109,10 @@ class HashingEmbedder(Embedder):
 
         self._udf = _embed
 
+    @property
+    def identity(self) -> str:
+        return f"hashing:{self.dim}:{self.min_token_len}"
+
     def codes(self, text: Column) -> Column:
         """JVM form of the token codes (used to cross-check the Python tokenizer)."""
         return hash_codes(tokens(text, self.min_token_len))
@@ -113,10 +122,12 @@ class HashingEmbedder(Embedder):
 
 
 class PandasEmbedder(Embedder):
-    """Any batch model: ``fn(texts: pd.Series) -> np.ndarray`` of shape (n, dim)."""
+    """Any batch model: ``fn(texts: pd.Series) -> np.ndarray`` of shape (n, dim). Vectors are
+    L2-normalised, since search reads scores as cosines. ``model``: the model's name and version."""
 
-    def __init__(self, fn: Callable[[pd.Series], np.ndarray], dim: int):
+    def __init__(self, fn: Callable[[pd.Series], np.ndarray], dim: int, model: str | None = None):
         self.dim = dim
+        self.model = model
         d = dim
 
         @F.pandas_udf(T.ArrayType(T.FloatType()))
@@ -124,10 +135,16 @@ class PandasEmbedder(Embedder):
             arr = np.asarray(fn(texts.fillna("")), dtype=np.float32)
             if arr.shape != (len(texts), d):
                 raise RuntimeError("Embedding response size mismatch")
-            return pd.Series(list(arr))
+            wide = arr.astype(np.float64)
+            norms = np.sqrt((wide * wide).sum(axis=1, keepdims=True)) + EPS
+            return pd.Series(list((wide / norms).astype(np.float32)))
 
         self._udf = _embed
 
+    @property
+    def identity(self) -> str | None:
+        return self.model and f"model:{self.model}:{self.dim}"
+
     def embed(self, text: Column) -> Column:
         return self._udf(text)
 

@@ -101,13 +101,17 @@ def incremental_update(
     cfg: RetrievalConfig,
     embedder: Embedder,
     now_ts: int,
-    target_tables: list[str] | None = None,
+    target_tables: list[str],
 ) -> UpdateResult:
-    """U1-U12. ``stored``: index entries; ``current``: row documents of the snapshot."""
-    if target_tables is None:  # U1: sorted distinct tables of the current snapshot
-        target_tables = sorted(r[0] for r in current.select("table").distinct().collect())
+    """U1-U12. ``stored``: index entries; ``current``: row documents of the snapshot.
+
+    ``target_tables`` are the tables whose columns were resolved for indexing (S6), named by the
+    caller: a table that has lost all its rows is still a target, so its entries count as missing.
+    Entries without a table belong to no target and are preserved.
+    """
+    target_tables = sorted(set(target_tables))
     stored = stored.withColumn("id", F.coalesce(F.col("id"), fallback_id(F.col("table"), F.col("pk"), F.col("chunk"))))
-    in_target = F.col("table").isin(target_tables)
+    in_target = F.coalesce(F.col("table").isin(target_tables), F.lit(False))
     st_t = stored.where(in_target & F.col("pk").isNotNull())
     cur = current.where(in_target)
 

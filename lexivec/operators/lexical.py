@@ -74,6 +74,13 @@ def _inner_tokens(q: Column, min_len: int) -> Column:
     return F.slice(longest_first, 1, PREFILTER_TOKENS)
 
 
+def like_pattern(q: Column) -> Column:
+    """``%q%`` as a Spark LIKE pattern, by the database's rule: a backslash makes the next
+    character literal (also the closing ``%``). Spark allows it only before ``%``, ``_`` and
+    itself, so it is dropped before any other character."""
+    return F.regexp_replace(F.concat(F.lit("%"), q, F.lit("%")), r"(?s)(\\[%_\\])|\\(.)", "$1$2")
+
+
 def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     """J1 + J2 + W2 over every table that has a text column; ``queries(query_id, text)``.
 
@@ -88,6 +95,7 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         "query_id",
         F.lower(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, cfg.like_chars)).alias("_q"),
     ).withColumn("_wild", F.col("_q").rlike(r"[%_\\]"))
+    q = q.withColumn("_q", F.when(F.col("_wild"), like_pattern(F.col("_q"))).otherwise(F.col("_q")))
     q = q.withColumn("_inner", F.when(~F.col("_wild"), _inner_tokens(F.col("_q"), cfg.min_token_len)).otherwise(F.array().cast("array<string>")))
     indexed_q = q.where(F.size("_inner") > 0)
     loop_q = q.where(F.size("_inner") == 0).select("query_id", "_q", "_wild")
@@ -125,12 +133,12 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
                 loop_rows = [(r["query_id"], r["_q"], r["_wild"]) for r in loop_q.collect()]
             lt = F.col("_lt")
             ids = F.array(*[
-                F.when(lt.like(f"%{pat}%") if wild else lt.contains(pat), F.lit(qid).cast("long")) for qid, pat, wild in loop_rows
+                F.when(lt.like(pat) if wild else lt.contains(pat), F.lit(qid).cast("long")) for qid, pat, wild in loop_rows
             ])
             parts.append(corpus.select("pk", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("query_id")))
         elif n_loop:
             for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg):
-                cond = F.when(F.col("_wild"), F.expr("_lt like concat('%', _q, '%')")).otherwise(F.contains("_lt", "_q"))
+                cond = F.when(F.col("_wild"), F.expr("_lt like _q")).otherwise(F.contains("_lt", "_q"))
                 parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk"))
         if not parts:
             continue
@@ -156,10 +164,12 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
 # ---------------------------------------------------------------------------
 # BM25
 # ---------------------------------------------------------------------------
-def doc_tokens(spec: TableSpec, cfg: RetrievalConfig) -> DataFrame:
-    """``(table, pk, toks)``: tokens of the first ``fulltext_columns`` text columns, in order."""
+def doc_tokens(spec: TableSpec, cfg: RetrievalConfig, breaks: bool = False) -> DataFrame:
+    """``(table, pk, toks)``: tokens of the first ``fulltext_columns`` text columns, in order.
+    ``breaks`` puts an empty token after each column, so that no phrase runs across columns."""
     cols = text_columns(spec, cfg.fulltext_columns)
-    toks = F.flatten(F.array(*[F.coalesce(tokens(F.col(c), cfg.min_token_len), F.array().cast("array<string>")) for c in cols]))
+    end = F.array(F.lit("")) if breaks else F.array().cast("array<string>")
+    toks = F.flatten(F.array(*[F.concat(F.coalesce(tokens(F.col(c), cfg.min_token_len), F.array().cast("array<string>")), end) for c in cols]))
     return spread(spec.df).select(F.lit(spec.name).alias("table"), spec.pk_col().alias("pk"), toks.alias("toks"))
 
 
@@ -250,4 +260,10 @@ def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
 
 
 def lexical_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    return bm25_search(specs, queries, cfg) if cfg.fulltext_required else like_search(specs, queries, cfg)
+    """The lexical side of hybrid retrieval: full-text queries follow the boolean grammar (a plain
+    query is a set of optional words); otherwise LIKE."""
+    if not cfg.fulltext_required:
+        return like_search(specs, queries, cfg)
+    from lexivec.operators.boolean import boolean_search  # it builds on this module
+
+    return boolean_search(specs, queries, cfg)

@@ -32,7 +32,8 @@ MARGIN = 2e-6  # candidates within this of the local k-th score are kept (roundi
 
 
 def _normalise_rows(m: np.ndarray) -> np.ndarray:
-    return m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + EPS)
+    with np.errstate(invalid="ignore", over="ignore"):
+        return m / (np.sqrt((m * m).sum(axis=1, keepdims=True)) + EPS)
 
 
 def _stack(vs: pd.Series, dim: int) -> np.ndarray:
@@ -81,8 +82,10 @@ def topk_candidates(
                 raise ValueError(f"Vector dimension mismatch: expected {dim} got {c.shape[1]}")
             if normalise_corpus:
                 c = _normalise_rows(c)
-            s = c @ qt  # (n x q)
             ids = pdf[id_col].to_numpy()
+            fine = np.isfinite(c).all(axis=1)  # a NaN score would push real neighbours out
+            c, ids = c[fine], ids[fine]
+            s = c @ qt  # (n x q)
             if exclude_self:
                 s = np.where(ids[:, None] == q_ids[None, :], -np.inf, s)
             mask = _local_topk(s, k)

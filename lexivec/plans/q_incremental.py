@@ -140,6 +140,26 @@ def missing_rows_q(spark, sf_dir):
     return gone.join(still, ["table", "pk"], "left_anti")
 
 
+@query(
+    "incremental_edges",
+    sql=_BASE
+    + """
+SELECT id, 'documents' AS "table", pk FROM kept UNION ALL SELECT id, 'documents', pk FROM added
+UNION ALL SELECT 'orphan::' || id, NULL, pk FROM c1
+""",
+)
+def incremental_edges_q(spark, sf_dir):
+    """Deletes on, over an index that also holds a target table which has lost all its rows (its
+    entries go) and entries without a table (they stay)."""
+    idx = _index_v1(spark, sf_dir)
+    emptied = idx.withColumn("table", F.lit("archive")).withColumn("id", F.concat(F.lit("archive::"), "id"))
+    orphans = idx.withColumn("table", F.lit(None).cast("string")).withColumn("id", F.concat(F.lit("orphan::"), "id"))
+    cfg = CFG.with_(delete_missing=True)
+    stored = idx.unionByName(emptied).unionByName(orphans)
+    r = incremental_update(stored, row_docs(_v2(spark, sf_dir), cfg), cfg, _emb(), T2, ["archive", "documents"])
+    return r.index.select("id", "table", "pk")
+
+
 def _dups_index(spark, sf_dir):
     """v1 index plus a second copy of the entries of doc_id % 7 = 0 under the fallback ID."""
     idx = _index_v1(spark, sf_dir)

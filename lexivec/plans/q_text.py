@@ -19,8 +19,8 @@ CFG = RetrievalConfig()
 INDEXED_AT = 1_700_000_000
 
 
-def _toks(x: str) -> str:
-    return f"coalesce(list_filter(regexp_split_to_array(lower({x}), {SPLIT}), lambda t: length(t) >= 2), [])"
+def _toks(x: str, least: int = 2) -> str:
+    return f"coalesce(list_filter(regexp_split_to_array(lower({x}), {SPLIT}), lambda t: length(t) >= {least}), [])"
 
 
 @query(
@@ -191,7 +191,7 @@ def _boolean_queries(spark, sf_dir):
 @query(
     "boolean_search",
     sql=f"""
-WITH dt AS (SELECT doc_id::VARCHAR AS pk, {_toks('text')} || {_toks('lang')} || {_toks('source')} AS toks FROM documents),
+WITH dt AS (SELECT doc_id::VARCHAR AS pk, {_toks('text', 1)} || {_toks('lang', 1)} || {_toks('source', 1)} AS toks FROM documents),
 st AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM dt),
 bq AS (SELECT item_id AS query_id, {_toks('text')} AS t FROM benchmark),
 q AS (SELECT query_id, t[1] AS t1, t[2] AS t2, t[3] AS t3, t[4] AS t4, substr(t[5], 1, 3) AS p5, t[6] AS t6

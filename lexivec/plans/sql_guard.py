@@ -25,27 +25,30 @@ class SqlResult:
 
 
 def _root_is_limit(df: DataFrame) -> bool:
+    """Does the outermost query bound its rows? An OFFSET alone does not."""
     plan = df._jdf.queryExecution().logical()
     name = plan.getClass().getSimpleName()
-    return name in ("GlobalLimit", "Limit", "LocalLimit", "Tail", "Offset") or (
-        name == "Offset" and plan.child().getClass().getSimpleName() in ("GlobalLimit", "Limit")
-    )
+    while name == "Offset":
+        plan = plan.child()
+        name = plan.getClass().getSimpleName()
+    return name in ("GlobalLimit", "Limit", "LocalLimit", "Tail")
 
 
-def guarded_sql(spark: SparkSession, query: str, params=None, limit_default: int = 200) -> SqlResult:
+def guarded_sql(spark: SparkSession, query: str, params=None, limit_default: int | None = 200) -> SqlResult:
+    """``limit_default``: the interactive tool's row cap; None returns whole results."""
     q = query.strip().rstrip(";")
     if not q.upper().startswith("SELECT "):
         return SqlResult(None, "Only SELECT statements allowed")
     try:
         df = spark.sql(q, args=params) if params else spark.sql(q)
-        if _root_is_limit(df):
+        if limit_default is None or _root_is_limit(df):
             return SqlResult(df)
         return SqlResult(df.limit(limit_default), limited=True)
     except Exception as e:  # errors are data, like the original
         return SqlResult(None, f"{type(e).__name__}: {str(e).splitlines()[0][:500]}")
 
 
-def run_guarded(spark: SparkSession, query: str, params=None, limit_default: int = 200) -> DataFrame:
+def run_guarded(spark: SparkSession, query: str, params=None, limit_default: int | None = 200) -> DataFrame:
     r = guarded_sql(spark, query, params, limit_default)
     if r.error is not None:
         raise ValueError(r.error)

@@ -66,8 +66,9 @@ def ship_package(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, index versions and stream state.
 
-    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir); a temporary
-    folder is only created when nothing is configured, which is the local/test case.
+    Taken from ``spark.checkpoint.dir`` (or the context's checkpoint dir). Without either, a local
+    master gets a temporary folder; on a cluster that is an error, since executors would each
+    write to their own disk.
     """
     sc = spark.sparkContext
     d = None
@@ -81,6 +82,8 @@ def work_dir(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="lexivec-ckpt-")
         sc.setCheckpointDir(d)
         try:

@@ -2,7 +2,7 @@
 
 Retrieval reads a stored index (as the original read its vector service); it is rebuilt only when
 its inputs change. The key covers the source files (path, size, modification time), the build
-configuration and the embedder, so a stale index is never served. Storage is an ``IndexStore``
+configuration and the embedder's model, so a stale index is never served. Storage is an ``IndexStore``
 in the shared work folder (commit marker = complete).
 """
 
@@ -41,12 +41,14 @@ def cached_index(
     embedder: Embedder,
     indexed_at: int,
 ) -> DataFrame:
+    if not embedder.identity:
+        raise ValueError("an index is only stored for an embedder that names its model")
     key = {
         "inputs": _fingerprint_inputs(spark, source_paths),
         "tables": [(s.name, s.pk, s.text_cols) for s in specs],
         "cfg": [cfg.chunk_chars, cfg.min_chunk_chars, cfg.combine_row_columns, cfg.include_column_names,
                 list(cfg.always_include_patterns), list(cfg.fingerprint_include_patterns), cfg.index_row_limit],
-        "embedder": [type(embedder).__name__, embedder.dim, getattr(embedder, "min_token_len", None)],
+        "embedder": embedder.identity,
         "indexed_at": indexed_at,
     }
     h = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:24]

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Key columns of the driver tables (conversations has a composite key).
+# Key columns of the driver tables (composite where one column is not unique).
 TABLE_KEYS: dict[str, tuple[str, ...]] = {
     "region": ("r_regionkey",),
     "nation": ("n_nationkey",),
@@ -22,7 +22,7 @@ TABLE_KEYS: dict[str, tuple[str, ...]] = {
     "supplier": ("s_suppkey",),
     "part": ("p_partkey",),
     "orders": ("o_orderkey",),
-    "lineitem": ("l_orderkey", "l_linenumber"),
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
     "events": ("event_id",),
     "documents": ("doc_id",),
     "embeddings": ("vec_id",),
@@ -93,18 +93,10 @@ def spec(spark: SparkSession, sf_dir: str, name: str, text_cols: tuple[str, ...]
     return TableSpec(name, read_table(spark, sf_dir, name), TABLE_KEYS.get(name, (DEFAULT_PK,)), text_cols)
 
 
-_VIEWS: dict[int, str] = {}
-
-
 def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = ALL_TABLES) -> None:
-    """Temp views for guarded SQL (lazy: nothing is read until a query runs). Re-registered only
-    when the session or the folder changes."""
-    key = id(spark._jsparkSession)
-    if _VIEWS.get(key) == sf_dir and all(spark.catalog.tableExists(n) for n in names[:1]):
-        return
+    """Temp views for guarded SQL, always set to this folder (lazy: only footers are read)."""
     for n in names:
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-    _VIEWS[key] = sf_dir
 
 
 def allowed(table: str, allow_list: tuple[str, ...] | None) -> bool:

@@ -1,16 +1,21 @@
 """Periodic incremental indexing as a Structured Streaming job.
 
-Snapshots of a source table land as files in a folder; every micro-batch
+A snapshot of a source table is a folder with any number of files. When it is complete, a manifest
+(one JSON line: snapshot number, path) lands in the manifest folder, and that is what the stream reads.
+So the unit of work is a whole snapshot, and "missing" rows are those that are in none of its files.
+Every micro-batch
 
-1. keeps the last version per key inside the batch (T2),
+1. reads its snapshot and keeps the last version per key (T2); a snapshot older than one that was
+   processed before is passed over, so a late manifest never overwrites newer rows,
 2. turns the rows into row documents and runs ``incremental_update`` against the current
    index version (only new / changed rows are embedded),
-3. writes a new index version when the report says something changed (U12), and
-4. appends the report, the batch id and the batch time to a ``run_log`` table (T6).
+3. writes the report, with the snapshot and the batch, to the snapshot's own folder of the run log
+   (T6), and
+4. writes a new index version when the report says something changed (U12).
 
 ``trigger(processingTime='60 seconds')`` is the original cadence; tests use ``availableNow``.
-Replaying a batch after a failure is harmless: equal fingerprints make it a no-op, and a half
-written version never gets a commit marker.
+A batch that is replayed after a failure keeps the report it wrote before, and its update is a
+no-op if the index was saved; a half written version never gets a commit marker.
 """
 
 from __future__ import annotations
@@ -36,10 +41,19 @@ def last_version_per_key(batch: DataFrame, key: tuple[str, ...], version_col: st
     return batch.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
+MANIFEST = "snapshot long, path string"
+
+
+def _last_snapshot(spark: SparkSession, run_log: str) -> int | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_log)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return spark.read.parquet(run_log).agg(F.max("snapshot")).first()[0]
+
+
 def start_index_stream(
     spark: SparkSession,
-    landing: str,
-    schema,
+    manifests: str,
     table: str,
     key: tuple[str, ...],
     store: IndexStore,
@@ -52,22 +66,30 @@ def start_index_stream(
     available_now: bool = False,
     interval: str = "60 seconds",
 ):
-    """Start the stream; returns the ``StreamingQuery``."""
+    """Start the stream over a folder of manifests; returns the ``StreamingQuery``."""
 
-    def per_batch(batch: DataFrame, batch_id: int) -> None:
+    def one_snapshot(snapshot: int, path: str, batch_id: int) -> None:
+        last = _last_snapshot(spark, run_log)
+        if last is not None and snapshot < last:
+            return
         now_ts = int(clock(batch_id))
-        snap = last_version_per_key(batch, key, version_col)
+        snap = last_version_per_key(spark.read.parquet(path), key, version_col)
         if version_col is not None:
             snap = snap.drop(version_col)
         current = row_docs(TableSpec(table, snap, key), cfg)
         res = incremental_update(store.load(), current, cfg, embedder, now_ts, [table])
         rep = res.report.collect()[0].asDict()  # one row of counters
+        if snapshot != last:
+            log = spark.createDataFrame([{**rep, "snapshot": int(snapshot), "batch_id": int(batch_id), "ts": now_ts}])
+            log.write.mode("overwrite").parquet(f"{run_log}/run={int(snapshot)}")
         if rep["saved"]:
             store.save(res.index)
-        log = spark.createDataFrame([{**rep, "batch_id": int(batch_id), "ts": now_ts}])
-        log.write.mode("append").parquet(run_log)
 
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        for m in batch.orderBy("snapshot").collect():  # one manifest file: one line a snapshot
+            one_snapshot(m.snapshot, m.path, batch_id)
+
+    reader = spark.readStream.schema(MANIFEST).option("maxFilesPerTrigger", 1).json(manifests)
     w = reader.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from lexivec.config import RetrievalConfig
-from lexivec.operators.boolean import parse_boolean
-from lexivec.operators.lexical import like_search
-from lexivec.sources.tables import spec
+from lexivec.operators.boolean import boolean_search, parse_boolean
+from lexivec.operators.lexical import lexical_search, like_search
+from lexivec.sources.tables import TableSpec, spec
 
 CFG = RetrievalConfig()
 EXTRA = [(-1, "the"), (-2, "ou"), (-3, "date"), (-4, " "), (-5, "e%t_n"), (-6, "x" * 70), (-7, "")]
@@ -51,4 +51,28 @@ def test_boolean_parser(spark):
     assert rows[3]["kind"] == "prefix" and rows[3]["prefix"] == "eps" and rows[3]["exact"] == []
     assert rows[4]["op"] == "-" and rows[4]["exact"] == ["zeta"]
     assert rows[5]["kind"] == "word" and rows[5]["exact"] == ["solo"]  # one-token phrase = word
-    assert 6 not in rows  # 'a' has no token of the minimum length: ignored
+    assert rows[6]["exact"] == ["a"]  # short words count like any other
+
+
+def test_short_boolean_terms(spark):
+    docs = spark.createDataFrame([(1, "c the cat", "tail end"), (2, "the tea", "x"), (3, "x the", "y")], "doc_id long, text string, more string")
+    table = TableSpec("d", docs, ("doc_id",))
+    texts = ["+c +the", "the -x", "+t*", "-x the c", '"the tail"', '"cat tail"', '"the cat"', "+z the"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = {}
+    for r in boolean_search([table], q, CFG).collect():
+        got.setdefault(texts[r["query_id"]], set()).add(int(r["pk"]))
+    assert got == {"+c +the": {1}, "the -x": {1}, "+t*": {1, 2, 3}, "-x the c": {1}, '"the cat"': {1}}
+    hybrid = lexical_search([table], q, CFG.with_(fulltext_required=True)).where("query_id = 1").collect()
+    assert [int(r["pk"]) for r in hybrid] == [1]
+
+
+def test_backslashes_in_like_queries(spark):
+    docs = spark.createDataFrame([(1, "c:dir x"), (2, "100% sure"), (3, "100 a"), (4, "ends c%"), (5, "c:\\dir")], "doc_id long, text string")
+    texts = ["C:\\dir", "100\\%", "c\\", "c:\\\\dir", "\\", "sure"]
+    q = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    got = {}
+    for r in like_search([TableSpec("d", docs, ("doc_id",))], q, CFG).collect():
+        got.setdefault(r["query_id"], []).append(int(r["pk"]))
+    # a backslash makes the next character literal, at the end the closing wildcard
+    assert {k: sorted(v) for k, v in got.items()} == {0: [1], 1: [2], 2: [4], 3: [5], 4: [4], 5: [2]}
