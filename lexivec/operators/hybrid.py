@@ -161,10 +161,12 @@ def enrich(ranked: DataFrame, specs: list[TableSpec], cfg: RetrievalConfig, n_q:
     top = ranked.where(F.col("rnk") <= cfg.enrich_top)
     bound = n_q * cfg.enrich_top
     keys = top.select("table", "pk").distinct()
-    en = enrichment(specs, keys, cfg, bound).where(F.col("enriched_head") != "")
+    # An empty text is told apart after the joins: a filter here would be pushed below the key
+    # join, and the text of every source row would be built for it.
+    en = enrichment(specs, keys, cfg, bound)
     per_row = 64 + 4 * max(cfg.row_enrich_chars, cfg.lex_snippet_chars)
     j = ranked.join(bounded_broadcast(en, bound, per_row, cfg), ["table", "pk"], "left")
-    is_top = (F.col("rnk") <= cfg.enrich_top) & F.col("enriched_head").isNotNull()
+    is_top = (F.col("rnk") <= cfg.enrich_top) & (F.coalesce("enriched_head", F.lit("")) != "")
     low_s = F.lower(F.col("snippet"))
     swap = F.exists(F.col("terms_in"), lambda t: ~F.contains(low_s, t))
     return j.select(

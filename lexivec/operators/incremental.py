@@ -26,6 +26,7 @@ from lexivec.config import ID_SEP, RetrievalConfig
 from lexivec.operators.chunking import chunk_docs, fallback_id, id_index, legacy_fingerprint
 from lexivec.operators.embedding import Embedder
 from lexivec.operators.index_build import INDEX_COLUMNS
+from lexivec.session import store_once
 
 KEY = ["table", "pk"]
 
@@ -115,7 +116,8 @@ def incremental_update(
     st_t = stored.where(in_target & F.col("pk").isNotNull())
     cur = current.where(in_target)
 
-    classes = classify(cur, stored_fingerprints(st_t))
+    # Read by six branches and the report: written once.
+    classes = store_once(classify(cur, stored_fingerprints(st_t)), "change-classes")
     cls_small = classes.select(*KEY, "change", "new_fp")
 
     # unchanged rows: compaction over their stored entries
@@ -125,7 +127,7 @@ def incremental_update(
     # new / changed rows: re-chunk and embed only these
     redo = cls_small.where(F.col("change").isin("new", "changed")).select(*KEY)
     new_chunks = chunk_docs(cur.join(redo, KEY, "left_semi"), cfg, now_ts)
-    added = embedder.embed_df(new_chunks, "chunk", "embedding").select(*INDEX_COLUMNS)
+    added = store_once(embedder.embed_df(new_chunks, "chunk", "embedding").select(*INDEX_COLUMNS), "added-entries")
 
     # entries replaced (changed rows) or removed (missing rows, when enabled)
     drop_change = ["changed"] + (["missing"] if cfg.delete_missing else [])

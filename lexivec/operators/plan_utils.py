@@ -19,10 +19,13 @@ def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int, cfg: Retriev
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin rebalance before CPU-heavy per-row work (chunking, tokenising, embedding),
-    but only when the input has fewer partitions than the cluster can run at once, e.g. a
-    table stored as one large row group. A 100 TB scan already has thousands of splits, so this
-    adds no shuffle there. The partition count is known from the plan; no job runs."""
-    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    but only when the input's size gives fewer file splits than the cluster can run at once, e.g. a
+    small table stored as one row group. A 100 TB scan already has thousands of splits, so this
+    adds no shuffle there. The size is the optimizer's own estimate; no job runs."""
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if size < n * split:
         return df.repartition(n)
     return df

@@ -95,6 +95,15 @@ def work_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def store_once(df, name: str):
+    """Write ``df`` to the shared folder and return the stored rows: what several branches read is
+    computed once, and its lineage ends there."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared work folder (never a machine-local temp dir)."""
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
