@@ -29,6 +29,7 @@ from lexivec.config import RetrievalConfig
 from lexivec.functions.text import tokens
 from lexivec.operators.lexical import LEX_COLUMNS, _rank_per_table, _snippet, corpus_stats, doc_tokens, text_columns
 from lexivec.operators.plan_utils import bounded_broadcast
+from lexivec.session import store_once
 from lexivec.sources.tables import TableSpec
 
 #: Every token counts here, also one-letter ones: a dropped required or excluded term would change
@@ -99,22 +100,21 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
             continue
         d = doc_tokens(s, cfg, breaks=True)
         occ = d.select("table", "pk", F.size(F.array_remove("toks", "")).alias("dl"), F.explode("toks").alias("term")).where("term != ''")
-        # relevant vocabulary: exact query tokens and prefix extensions (two-character equi-join)
-        vocab = occ.select("term").distinct()
-        # (a one-letter prefix meets the terms' first letter).
+        # The inverted index, written once: every later step reads it instead of the texts.
+        index = store_once(occ.groupBy("table", "pk", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "postings")
+        vocab = index.select("term").distinct()
+        # relevant vocabulary: exact query tokens and prefix extensions (two-character equi-join;
+        # a one-letter prefix meets the terms' first letter)
         heads = vocab.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), _k2("term")))).alias("k2"))
-        extensions = heads.join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("prefix", "term").distinct()
+        extensions = store_once(heads.join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("prefix", "term").distinct(), "extensions")
+        n_ext = extensions.count()
         rel = vocab.join(bb(exact_set), "term", "left_semi").unionByName(extensions.select("term")).distinct()
-        # The relevant postings feed five joins below: written once to the shared checkpoint
-        # folder (a lineage cut that survives executor loss) instead of being re-derived per use.
-        post = (
-            occ.join(bounded_broadcast(rel, bound * 64, 48, cfg), "term", "left_semi")
-            .groupBy("table", "pk", "term")
-            .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        ).checkpoint()
-        # exact parts of terms
-        exact_ok = (
-            post.join(bb(exact_req), "term")
+        # The postings of relevant terms feed five joins below.
+        post = store_once(index.join(bounded_broadcast(rel, bound + n_ext, 64, cfg), "term", "left_semi"), "query-postings")
+        # exact parts of terms: one token is matched by its posting, several must all be there
+        found = post.join(bb(exact_req), "term")
+        exact_ok = found.where("n_exact = 1").select("query_id", "table", "pk", "term_no").unionByName(
+            found.where("n_exact > 1")
             .groupBy("query_id", "table", "pk", "term_no")
             .agg(F.count(F.lit(1)).alias("_m"), F.first("n_exact").alias("_n"))
             .where(F.col("_m") == F.col("_n"))
@@ -122,16 +122,17 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
         )
         # prefix parts of terms
         prefix_hit = (
-            post.join(extensions, "term")
+            post.join(bounded_broadcast(extensions, n_ext, 64, cfg), "term")
             .join(bb(prefix_req.drop("k2")), "prefix")
             .select("query_id", "table", "pk", "term_no", "term")
         )
         prefix_ok = prefix_hit.select("query_id", "table", "pk", "term_no").distinct()
-        cand = exact_ok.withColumn("_e", F.lit(True)).join(
-            prefix_ok.withColumn("_p", F.lit(True)), ["query_id", "table", "pk", "term_no"], "full_outer"
-        )
-        m = cand.join(bb(meta), ["query_id", "term_no"]).where(
-            (~F.col("has_exact") | F.col("_e").isNotNull()) & (~F.col("has_prefix") | F.col("_p").isNotNull())
+        four = ["query_id", "table", "pk", "term_no"]
+        kinds = bb(meta)
+        m = (
+            exact_ok.join(kinds.where("has_exact and not has_prefix"), ["query_id", "term_no"])
+            .unionByName(prefix_ok.join(kinds.where("has_prefix and not has_exact"), ["query_id", "term_no"]))
+            .unionByName(exact_ok.join(prefix_ok, four).join(kinds.where("has_exact and has_prefix"), ["query_id", "term_no"]))
         )
         # phrases: all bigrams present (filtered before the shuffle), then order for 3+ tokens
         bi_occ = (
@@ -158,10 +159,10 @@ def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalCon
             .select("query_id", "table", "pk", "term_no")
         )
         phrase_ok = two.unionByName(more)
-        matched = (
+        matched = store_once(
             m.where(F.col("kind") != "phrase").select("query_id", "table", "pk", "term_no", "op")
             .unionByName(m.where(F.col("kind") == "phrase").join(phrase_ok, ["query_id", "table", "pk", "term_no"], "left_semi").select("query_id", "table", "pk", "term_no", "op"))
-        ).checkpoint()  # feeds the document rule and the scoring
+        , "matched-terms")  # feeds the document rule and the scoring
         # document-level rule
         n_req = meta.groupBy("query_id").agg(F.count_if(F.col("op") == "+").alias("n_req"))
         docs_ok = (
