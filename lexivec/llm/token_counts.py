@@ -101,18 +101,16 @@ def _texts_of(docs: DataFrame, keys: DataFrame, wanted: DataFrame, limit: int) -
     """Rows (digest, text) of ``docs`` that are in ``wanted`` (doc_id, digest)."""
     here = docs.select("doc_id", text_or_empty().alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     on = lambda other: here.doc_id.eqNullSafe(other.doc_id) & (here.digest == other.digest)
-    n_wanted = wanted.count()
-    if n_wanted <= limit:
+    skipped = keys.join(wanted, keys.doc_id.eqNullSafe(wanted.doc_id) & (keys.digest == wanted.digest), "left_anti").select("doc_id", "digest").distinct()
+    n_wanted, n_skipped = wanted.count(), skipped.count()
+    if n_skipped == 0:
+        found = here
+    elif n_skipped <= min(n_wanted, limit):
+        found = here.join(F.broadcast(skipped), on(skipped), "left_anti")
+    elif n_wanted <= limit:
         found = here.join(F.broadcast(wanted), on(wanted), "left_semi")
     else:
-        skipped = keys.join(wanted, keys.doc_id.eqNullSafe(wanted.doc_id) & (keys.digest == wanted.digest), "left_anti").select("doc_id", "digest").distinct()
-        n_skipped = skipped.count()
-        if n_skipped == 0:
-            found = here
-        elif n_skipped <= limit:
-            found = here.join(F.broadcast(skipped), on(skipped), "left_anti")
-        else:
-            found = here.join(wanted, on(wanted), "left_semi")
+        found = here.join(wanted, on(wanted), "left_semi")
     return found.select("digest", "text")
 
 
@@ -131,11 +129,13 @@ def count_tokens(docs: DataFrame, spec: str, cache_path: str, limit: int = BROAD
         counter = counter_of(shared.value)
         for rows in batches:
             yield batch(out, [tokenizer] * rows.num_rows, rows.column(0), counter(rows.column(1).to_pylist()))
+        counter.pieces.clear()
 
     counted = _texts_of(docs, keys, wanted, limit).mapInArrow(run, CACHE_SCHEMA).dropDuplicates(["digest"])
     counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
     # A job that failed half-way and was run again may have appended a digest twice.
     stored = open_cache(spark, cache_path).where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = save(stored, "token-counts")  # a plain side, so that AQE can split a hot digest's rows
     return keys.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
@@ -143,7 +143,7 @@ _COUNTERS: dict[str, PieceCounter] = {}
 
 
 def counter_of(spec: str) -> PieceCounter:
-    """One counter per Python worker and tokenizer; its pieces serve the worker's later tasks."""
+    """One counter per Python worker and tokenizer; tasks drop its pieces when they end."""
     digest = hashlib.sha256(spec.encode()).hexdigest()
     if digest not in _COUNTERS:
         _COUNTERS[digest] = PieceCounter(spec)
