@@ -198,9 +198,9 @@ def search(index: DataFrame, tree: Tree, queries: DataFrame, visits: int, k: int
     sizes = index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(visits_of.groupBy("leaf").agg(F.count(F.lit(1)).alias("q")), "leaf")
     plan = F.broadcast(sizes.select("leaf", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("rs"), F.ceil(F.col("q") / BLOCK_QUERIES).cast("int").alias("qs")))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    right = index.join(plan, "leaf").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rs"))).withColumn("q", every("qs"))
-    left = visits_of.join(plan, "leaf").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("qs"))).withColumn("r", every("rs")).join(queries.select("qid", "v"), "qid")
-    cell = ["leaf", "r", "q"]
+    right = index.join(plan, "leaf").withColumn("r", F.pmod(F.xxhash64("vec_id"), F.col("rs")).cast("int")).withColumn("q", every("qs"))
+    left = visits_of.join(plan, "leaf").withColumn("q", F.pmod(F.xxhash64("qid"), F.col("qs")).cast("int")).withColumn("r", every("rs")).join(queries.select("qid", "v"), "qid")
+    cell = ["leaf", "r", "q"]  # of equal types on both sides: cogroup hashes them as they are
     kinds = "qid long, vec_id long, score double"
 
     def block(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:

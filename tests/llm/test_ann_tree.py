@@ -52,6 +52,20 @@ def test_widened_to_all_leaves_it_is_exact(spark):
     assert [i for _, i in sorted(got[300])] == [0, *range(200, 209)]
 
 
+def test_recall_over_many_leaves_and_partitions(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(3000, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(vectors)], SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = A.neighbours(df, F.col("vec_id") % 20 == 0, k=10).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = brute(np.arange(3000), vectors.astype(float), [(i, vectors[i].astype(float)) for i in range(0, 3000, 20)], 10)
+    hits = sum((r.query_id, r.vec_id) in {(q, i) for q in want for i, _ in want[q]} for r in rows)
+    assert len(rows) == 1500 and hits >= 0.9 * 1500
+
+
 def test_blocks_do_not_change_the_result(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(i, rng.normal(size=4).tolist(), "x") for i in range(400)], SCHEMA)
