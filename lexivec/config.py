@@ -9,10 +9,6 @@ from dataclasses import dataclass, replace
 # ---------------------------------------------------------------------------
 # Terms that widen a context snippet / trigger the enriched-snippet swap, in this order.
 ESSENTIAL_TERMS = ("time", "date", "place", "location", "venue", "address")
-# Column types treated as text (database type names).
-TEXT_TYPES = ("char", "varchar", "text", "mediumtext", "longtext", "json")
-# Column types treated as temporal (database type names).
-TEMPORAL_TYPES = ("date", "datetime", "timestamp", "time", "year")
 # Substrings of a lower-cased column name that mark an interval start / end.
 START_MARKERS = ("start", "begin", "from")
 END_MARKERS = ("end", "finish", "to", "until")
@@ -45,7 +41,7 @@ class RetrievalConfig:
     # retrieval
     k_vec: int = 20
     k_ft: int = 50
-    fulltext_required: bool = False  # False: LIKE lexical search, True: BM25 full-text search
+    fulltext_required: bool = False  # False: LIKE lexical search, True: boolean full-text search
     like_chars: int = 64
     lex_snippet_chars: int = 500
     sem_snippet_chars: int = 250
@@ -71,8 +67,6 @@ class RetrievalConfig:
     delete_missing: bool = False
     # embedding
     embed_dim: int = 64
-    # guarded SQL
-    sql_limit_default: int = 200
     # physical knobs
     broadcast_max_bytes: int = 64 * 1024 * 1024  # largest side we ever ship to every task
     query_batch_rows: int = 4096  # query vectors per broadcast block in exact top-k

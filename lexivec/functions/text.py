@@ -22,12 +22,6 @@ def py_strip(c: Column | str) -> Column:
     return F.trim(_c(c), F.lit(WHITESPACE))
 
 
-def nonblank(c: Column | str) -> Column:
-    """NULL when the stripped value is empty, else the stripped value."""
-    s = py_strip(c)
-    return F.when(s != "", s)
-
-
 def tokens(c: Column | str, min_len: int = 2) -> Column:
     """Lower-case split on runs of non letters/digits, tokens of at least ``min_len`` chars."""
     parts = F.split(F.lower(_c(c)), TOKEN_SPLIT)
@@ -93,12 +87,3 @@ def chunk_array(text: Column | str, size: int, min_chars: int) -> Column:
     )
     kept = F.filter(slices, lambda x: F.length(x) >= min_chars)
     return F.when(n > 0, kept).otherwise(F.array().cast("array<string>"))
-
-
-def cut(c: Column | str, n: int) -> Column:
-    """First ``n`` characters."""
-    return F.substring(_c(c), 1, n)
-
-
-def contains_ci(haystack: Column, needle: Column) -> Column:
-    return F.contains(F.lower(haystack), F.lower(needle))

@@ -33,14 +33,6 @@ def l2_normalize(v: Column | str, as_float: bool = True) -> Column:
     return out.cast("array<float>") if as_float else out
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(
-        F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
-        F.lit(0.0).cast("double"),
-        lambda acc, x: acc + x,
-    )
-
-
 def check_dim(v: Column | str, dim: int) -> Column:
     """Fail the job on a vector of the wrong dimension (returns the vector otherwise)."""
     col = _c(v)

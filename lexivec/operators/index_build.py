@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from lexivec.config import RetrievalConfig
+from lexivec.functions.vectors import check_dim
 from lexivec.operators.chunking import chunk_docs
 from lexivec.operators.embedding import Embedder
 from lexivec.operators.plan_utils import spread
@@ -22,7 +23,9 @@ def build_chunks(specs: list[TableSpec], cfg: RetrievalConfig, indexed_at: int,
 
 
 def embed_chunks(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    return embedder.embed_df(chunks, "chunk", "embedding").select(*INDEX_COLUMNS)
+    """Entries with vectors; a vector of another dimension than the embedder's fails the job."""
+    e = embedder.embed_df(chunks, "chunk", "embedding")
+    return e.withColumn("embedding", check_dim("embedding", embedder.dim)).select(*INDEX_COLUMNS)
 
 
 def build_index(

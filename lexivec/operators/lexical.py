@@ -8,7 +8,7 @@ Two modes, as in the original:
   ``contains(lower(text), lower(q))`` (JVM, no regex) when the query has no wildcard, else the
   ``like`` of the lower-cased pattern. A query set too large to broadcast is cut into blocks by
   a hash of the key; each block is one pass.
-* **Full text** (BM25, Robertson & Zaragoza 2009): an inverted index ``postings(table, pk, term,
+* **Full text** (BM25, Robertson & Zaragoza 2009): an inverted index ``(table, pk, term,
   tf, dl)`` is a projection + explode + partial aggregate of the corpus; a query joins its
   terms to the postings with a broadcast of the (small) query-term side, so postings are never
   shuffled for a search. Document frequencies are computed only for the query terms.
@@ -173,19 +173,6 @@ def doc_tokens(spec: TableSpec, cfg: RetrievalConfig, breaks: bool = False) -> D
     return spread(spec.df).select(F.lit(spec.name).alias("table"), spec.pk_col().alias("pk"), toks.alias("toks"))
 
 
-def postings(docs: DataFrame) -> DataFrame:
-    """``(table, pk, term, tf, dl)``: one row per distinct term of a document.
-
-    The explode and the per-document count are partial aggregates keyed by (table, pk, term);
-    rows of one document stay together, so the aggregation needs one shuffle at most.
-    """
-    return (
-        docs.select("table", "pk", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-        .groupBy("table", "pk", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-    )
-
-
 def corpus_stats(docs: DataFrame) -> DataFrame:
     """``(table, n_docs, avgdl)`` — one tiny aggregate per table."""
     return docs.groupBy("table").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))

@@ -36,12 +36,13 @@ def counters(df: DataFrame, kind: str, ts: str, unit: str = "day") -> DataFrame:
     ).select("kind", F.date_format("_w", "yyyy-MM-dd").alias("window_start"), "n")
 
 
-def inflight_peak(intervals: DataFrame, start: str, end: str, bucket_unit: str = "month") -> DataFrame:
+def inflight_peak(intervals: DataFrame, start: str, end: str, bucket_unit: str = "day") -> DataFrame:
     """The highest number of open intervals ``[start, end]`` and the first instant it is reached.
 
     A global running sum is an unpartitioned window (one task). Instead: collapse the deltas per
     instant, sum them per time bucket (few rows), prefix-sum the buckets, broadcast those offsets
-    and run the running sum per bucket. Every window is partitioned.
+    and run the running sum per bucket. One window is not partitioned: the prefix over the buckets'
+    sums (one row a day).
     """
     ends = intervals.where(F.col(end).isNotNull())
     plus = intervals.where(F.col(start).isNotNull()).select(F.col(start).cast("timestamp").alias("t"), F.lit(1).alias("p"), F.lit(0).alias("m"))
@@ -49,7 +50,7 @@ def inflight_peak(intervals: DataFrame, start: str, end: str, bucket_unit: str =
     per_t = plus.unionByName(minus).groupBy("t").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
     per_t = per_t.withColumn("b", F.date_trunc(bucket_unit, "t"))
     per_b = per_t.groupBy("b").agg(F.sum(F.col("p") - F.col("m")).alias("net"))
-    # Prefix over buckets: the bucket table has one row per month, tiny by construction.
+    # Prefix over buckets: the bucket table has one row per unit of time, tiny by construction.
     wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_b.select("b", F.coalesce(F.sum("net").over(wb), F.lit(0)).alias("offset"))
     w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lexivec.config import LATENCY_BUCKETS, RetrievalConfig
+from lexivec.config import JOB_BUCKETS, LATENCY_BUCKETS, RetrievalConfig
 from lexivec.functions.vectors import norm
 from lexivec.operators.embedding import HashingEmbedder, embed_queries
 from lexivec.operators.index_build import build_index
@@ -37,6 +38,28 @@ def latency_histogram_q(spark, sf_dir):
     return h.select("event_type", "le", "cum_count", "value_sum", "value_count")
 
 
+_JOB_VALUES = ", ".join(f"('{bound_label(b)}', {float(b)!r}::DOUBLE)" for b in JOB_BUCKETS) + ", ('+Inf', 'inf'::DOUBLE)"
+
+
+@query(
+    "job_histogram",
+    sql=f"""
+WITH g AS (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) / 3600000000.0 AS hours FROM events),
+s AS (SELECT event_type, count(*) AS n, round(sum(hours), 6) AS value_sum, count(hours)::BIGINT AS value_count FROM g GROUP BY event_type)
+SELECT g.event_type, b.le, CASE WHEN b.le = '+Inf' THEN any_value(s.n) ELSE count(*) FILTER (WHERE g.hours <= b.bound) END::BIGINT AS cum_count,
+       any_value(s.value_sum) AS value_sum, any_value(s.value_count) AS value_count
+FROM g JOIN (VALUES {_JOB_VALUES}) b(le, bound) ON true JOIN s ON s.event_type = g.event_type
+GROUP BY g.event_type, b.le
+""",
+)
+def job_histogram_q(spark, sf_dir):
+    """The update job's bounds over the hours since a user's event before, per event type."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
+    e = read_table(spark, sf_dir, "events").withColumn("hours", gap / 3600000000.0)
+    return histogram(e, "hours", tuple(JOB_BUCKETS), ["event_type"]).select("event_type", "le", "cum_count", "value_sum", "value_count")
+
+
 @query(
     "event_counters",
     sql="""

@@ -100,10 +100,13 @@ class IndexStore:
 
 def load_or_build(store: IndexStore, build, auto_index: bool = True, initial_build: bool = True) -> DataFrame | None:
     """A committed index is loaded; otherwise it is built (and saved) when automatic
-    indexing and the initial build are on; else there is no index (retrieval returns nothing)."""
+    indexing and the initial build are on; else there is no index (retrieval returns nothing).
+    Building from an empty corpus is an error."""
+    from lexivec.operators.chunking import assert_nonempty
+
     if store.current_version() is not None:
         return store.load()
     if auto_index and initial_build:
-        store.save(build())
+        store.save(assert_nonempty(build()))
         return store.load()
     return None
