@@ -310,3 +310,42 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_dir(Session())
+
+
+def test_deletes_by_id_and_row(spark):
+    from lexivec.operators.incremental import delete_ids, delete_rows
+
+    index = spark.createDataFrame([("a", "t", "1"), ("b", "t", "1"), ("c", "t", "2"), ("d", "u", "1")], "id string, table string, pk string")
+    left = lambda df: sorted(r["id"] for r in df.collect())
+    ids = spark.createDataFrame([("a",), ("x",)], "id string")
+    assert left(delete_ids(index, ids)) == ["b", "c", "d"] and left(delete_ids(index, ids.limit(0))) == ["a", "b", "c", "d"]
+    assert left(delete_rows(index, spark.createDataFrame([("t", "1")], "table string, pk string"))) == ["c", "d"]
+
+
+def test_wrong_dimensions_and_empty_corpora_are_errors(spark):
+    from lexivec.functions.vectors import check_dim
+    from lexivec.sources.index_store import load_or_build
+
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<float>").coalesce(1)
+    assert df.limit(1).select(check_dim("v", 2).alias("v")).first()["v"] == [1.0, 2.0]
+    with pytest.raises(Exception, match="dimension mismatch"):
+        df.select(check_dim("v", 2)).collect()
+    store = IndexStore(spark, scratch_path(spark, "empty"))
+    with pytest.raises(RuntimeError, match="No texts"):
+        load_or_build(store, store.empty)
+    assert store.current_version() is None
+
+
+def test_entries_without_a_key_are_preserved(spark):
+    """Rows whose text falls under the minimum lose their entries; entries without a key stay."""
+    emb = HashingEmbedder(64)
+    docs = spec(spark, SF_SMALL, "part")
+    idx = build_index([docs], CFG, emb, 1)
+    no_key = idx.limit(2).withColumn("pk", F.lit(None).cast("string")).withColumn("id", F.concat(F.lit("nokey::"), "id"))
+    current = row_docs(docs, CFG).withColumn("text", F.when(F.col("pk") == "1", F.lit("x")).otherwise(F.col("text")))
+    current = current.withColumn("row_fp", F.when(F.col("pk") == "1", F.lit("changed")).otherwise(F.col("row_fp")))
+    r = incremental_update(idx.unionByName(no_key), current, CFG, emb, 2, ["part"])
+    out = r.index
+    assert out.where("id like 'nokey::%'").count() == 2
+    assert out.where("pk = '1'").count() == 0 and idx.where("pk = '1'").count() == 1
+    assert out.count() == idx.count() - 1 + 2
