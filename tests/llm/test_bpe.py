@@ -6,7 +6,7 @@ from corpus import awkward, empty, sha
 
 from lexivec.llm import bpe as B
 from lexivec.llm import token_counts as T
-from lexivec.llm.queries import QUERIES
+from lexivec.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,6 +14,11 @@ POOLS = ["abcde fgh", "  \n\t\r\x0b\x0c\x1c\x85\xa0 a1'", "'s't'llab ", "ՙ͸࢏
 EDGES = ["", " ", "<|endoftext|>", " <|endoftext|> a  <|endoftext|>", "a" * 5000, " " * 3000, "ab" * 4000 + " c\n\n d", "a b \n", "\n a b", "a \x1c b"]
 
 
+@pytest.fixture(scope="module")
+def bpe_spec():
+    return B.read_spec(tokenizer_path("byte_bpe_50k.json"))
+
+
 @pytest.fixture(scope="module")
 def encoder(bpe_spec):
     return B.BytePairs(bpe_spec)
