@@ -32,8 +32,8 @@ from lexivec.llm.common import batch, kept, map_batches
 
 #: The byte-level pre-tokenizer's fixed pattern (contractions, letters, digits, others, spaces).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces and words whose encodings a worker keeps; beyond it starts anew.
-MEMO = 1_000_000
+#: Pieces, words and pairs that a task keeps; beyond it starts anew. All are dropped at its end.
+MEMO = 300_000
 NEVER = 1 << 60
 
 
@@ -78,7 +78,8 @@ class BytePairs:
             self.pair_rank[x, y] = rank
             if self.rank[made] < 0:
                 self.left[made], self.right[made], self.rank[made] = x, y, rank
-        self.neighbours: dict[tuple[int, int], bool] = {}
+        self.neighbours: dict[int, bool] = {}  # a * size + b
+        self.size = size
         self.backward = self._backward_trie()
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
@@ -109,9 +110,9 @@ class BytePairs:
                 before, b = rank[b] + 1, self.left[b]
 
     def _fit(self, a: int, b: int) -> bool:
-        if len(self.neighbours) > 4 * MEMO:
+        if len(self.neighbours) > MEMO:
             self.neighbours.clear()
-        ok = self.neighbours[a, b] = self._stay_apart(a, b, NEVER)
+        ok = self.neighbours[a * self.size + b] = self._stay_apart(a, b, NEVER)
         return ok
 
     def _backward_trie(self) -> dict:
@@ -138,7 +139,7 @@ class BytePairs:
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each of the distinct, sorted ``words``: one depth-first walk of their trie."""
         out, last, path = [], [-1], b""
-        root, length, known, fit = self.backward, self.length, self.neighbours, self._fit
+        root, length, known, fit, size = self.backward, self.length, self.neighbours, self._fit, self.size
         for word in words:
             shared, most = 0, min(len(path), len(word))
             while shared < most and path[shared] == word[shared]:
@@ -159,7 +160,7 @@ class BytePairs:
                     at, token = ends.pop()
                     if at == 0:
                         break
-                    ok = known.get((last[at], token))
+                    ok = known.get(last[at] * size + token)
                     if fit(last[at], token) if ok is None else ok:
                         break
                 last.append(token)
@@ -175,6 +176,11 @@ class BytePairs:
         for word, ids in zip(fresh, self.encode_words(fresh), strict=True):
             self.words[word.decode()] = np.array(ids, "<u4").tobytes()
 
+    def forget(self) -> None:
+        """Drop what was remembered; the vocabulary stays."""
+        self.pieces, self.words = {}, {}
+        self.neighbours.clear()
+
     # -- texts ----------------------------------------------------------------------------------
 
     def _unassigned(self, text: str) -> bool:
@@ -256,7 +262,7 @@ _LOADED: dict[str, BytePairs] = {}
 
 
 def loaded(spec: str) -> BytePairs:
-    """One encoder per Python worker and vocabulary; its memo serves the worker's later tasks."""
+    """One encoder per Python worker and vocabulary; tasks drop its memo when they end."""
     digest = hashlib.sha256(spec.encode()).hexdigest()
     if digest not in _LOADED:
         _LOADED[digest] = BytePairs(spec)
@@ -285,7 +291,7 @@ def encode_documents(docs: DataFrame, spec: str) -> DataFrame:
 
         return step
 
-    return map_batches(docs, make, added)
+    return map_batches(docs, make, added, lambda: loaded(shared.value).forget())
 
 
 def decode_documents(encoded: DataFrame, spec: str) -> DataFrame:
@@ -314,5 +320,6 @@ def round_trip_digests(docs: DataFrame, spec: str) -> DataFrame:
             ids = bpe.encode([t or "" for t in rows.column(1).to_pylist()])
             texts = (bpe.decode(np.frombuffer(x, "<u4").tolist()).encode() for x in ids)
             yield batch(out, rows.column(0), [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x) for x in texts])
+        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

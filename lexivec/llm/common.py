@@ -16,8 +16,8 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from lexivec.session import ensure_session_defaults, scratch_path
 
 #: Rows and bytes of one Arrow batch: bounds what a Python worker holds at once.
-BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 #: The white space of every contract here: space and the five ASCII controls 0x09-0x0D. Python's
 #: ``bytes.split``/``bytes.strip`` use exactly this set.
@@ -76,9 +76,9 @@ def kept(docs: DataFrame, added: dict[str, str]) -> list[str]:
     return [c for c in docs.columns if c not in added]
 
 
-def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
+def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str], done: Callable[[], None] | None = None) -> DataFrame:
     """``docs`` mapped batch by batch: ``make`` runs once a task and gives the function from a
-    batch of the kept columns, in order, to all output columns. Inside, columns have plain
+    batch of the kept columns, in order, to all output columns; ``done`` runs at its end. Inside, columns have plain
     positional names, so any column name passes through."""
     names = kept(docs, added)
     plain = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
@@ -89,5 +89,7 @@ def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], l
         step = make()
         for rows in batches:
             yield pa.RecordBatch.from_arrays(step(rows), names=schema.names)
+        if done:
+            done()
 
     return plain.mapInArrow(run, schema).toDF(*names, *added)

@@ -33,7 +33,9 @@ EM_ROUNDS = 3
 #: Added to every expected count, so that no piece is impossible in a language.
 SMOOTHING = 0.02
 #: Distinct words whose scores a worker keeps before it starts anew.
-WORD_CACHE = 300_000
+WORD_CACHE = 200_000
+#: Words of one forward pass.
+FORWARD_WORDS = 40_000
 #: Scale per byte that keeps forward sums near 1, and how often they are rescaled exactly.
 BYTE_SCALE = 12.0
 RESCALE_EVERY = 24
@@ -310,7 +312,7 @@ class Scorer:
         ids = np.fromiter((i for words in split for i in map(self.ids.__getitem__, words)), np.int64, int(sizes.sum()))
         fresh = list(self.ids)[known:]
         if langs and fresh:
-            new = [forward(self.model, [w.encode() for w in fresh[i : i + 100_000]]) for i in range(0, len(fresh), 100_000)]
+            new = [forward(self.model, [w.encode() for w in fresh[i : i + FORWARD_WORDS]]) for i in range(0, len(fresh), FORWARD_WORDS)]
             self.logs = np.concatenate([self.logs, *new])
         lettered = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts), bool, len(texts))
         told, score = [UND] * len(texts), np.zeros(len(texts))
