@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, kept, map_batches
+from lexivec.llm.common import batch, hold_memo, kept, map_batches
 
 #: The byte-level pre-tokenizer's fixed pattern (contractions, letters, digits, others, spaces).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces, words and pairs that a task keeps; beyond it starts anew. All are dropped at its end.
-MEMO = 300_000
+#: Pieces, words and pairs that a worker keeps; beyond it starts anew.
+MEMO = 450_000
 NEVER = 1 << 60
 
 
@@ -262,10 +262,11 @@ _LOADED: dict[str, BytePairs] = {}
 
 
 def loaded(spec: str) -> BytePairs:
-    """One encoder per Python worker and vocabulary; tasks drop its memo when they end."""
+    """One encoder per Python worker and vocabulary; its memo serves the worker's later tasks."""
     digest = hashlib.sha256(spec.encode()).hexdigest()
     if digest not in _LOADED:
         _LOADED[digest] = BytePairs(spec)
+    hold_memo("bpe", lambda: [b.forget() for b in _LOADED.values()])
     return _LOADED[digest]
 
 
@@ -291,7 +292,7 @@ def encode_documents(docs: DataFrame, spec: str) -> DataFrame:
 
         return step
 
-    return map_batches(docs, make, added, lambda: loaded(shared.value).forget())
+    return map_batches(docs, make, added)
 
 
 def decode_documents(encoded: DataFrame, spec: str) -> DataFrame:
@@ -320,6 +321,5 @@ def round_trip_digests(docs: DataFrame, spec: str) -> DataFrame:
             ids = bpe.encode([t or "" for t in rows.column(1).to_pylist()])
             texts = (bpe.decode(np.frombuffer(x, "<u4").tolist()).encode() for x in ids)
             yield batch(out, rows.column(0), [len(x) // 4 for x in ids], [sha(x) for x in ids], [sha(x) for x in texts])
-        bpe.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -71,14 +71,26 @@ def in_pieces(rows: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         yield rows.slice(start, size)
 
 
+#: What a Python worker remembers between tasks, and how to drop it. Workers are used again by the
+#: tasks of other operators, so one operator's memo is held at a time.
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def hold_memo(owner: str, forget: Callable[[], None] = lambda: None) -> None:
+    """Called where a task starts: drops what other operators remembered in this worker."""
+    for other in [o for o in _MEMOS if o != owner]:
+        _MEMOS.pop(other)()
+    _MEMOS[owner] = forget
+
+
 def kept(docs: DataFrame, added: dict[str, str]) -> list[str]:
     """Columns that pass through an operator which adds (or replaces) ``added``."""
     return [c for c in docs.columns if c not in added]
 
 
-def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str], done: Callable[[], None] | None = None) -> DataFrame:
+def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], added: dict[str, str]) -> DataFrame:
     """``docs`` mapped batch by batch: ``make`` runs once a task and gives the function from a
-    batch of the kept columns, in order, to all output columns; ``done`` runs at its end. Inside, columns have plain
+    batch of the kept columns, in order, to all output columns. Inside, columns have plain
     positional names, so any column name passes through."""
     names = kept(docs, added)
     plain = docs.select(*[F.col(f"`{c}`") for c in names]).toDF(*[f"c{i}" for i in range(len(names))])
@@ -89,7 +101,5 @@ def map_batches(docs: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], l
         step = make()
         for rows in batches:
             yield pa.RecordBatch.from_arrays(step(rows), names=schema.names)
-        if done:
-            done()
 
     return plain.mapInArrow(run, schema).toDF(*names, *added)

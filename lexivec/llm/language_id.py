@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, kept, map_batches, save
+from lexivec.llm.common import batch, hold_memo, kept, map_batches, save
 
 UND = "und"
 #: Training bound: documents per language, and over all languages.
@@ -293,6 +293,7 @@ class Scorer:
     """Text -> (language, posterior), keeping the scores of the words seen so far."""
 
     def __init__(self, model: Unigrams):
+        hold_memo("language")
         self.model = model
         self.reset()
 

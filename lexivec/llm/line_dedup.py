@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, kept, map_batches, save, text_bytes
+from lexivec.llm.common import batch, hold_memo, kept, map_batches, save, text_bytes
 
 SLOTS = 4
 LOAD = 0.9
@@ -126,6 +126,7 @@ def count_lines(docs: DataFrame, min_chars: int = 1, text: str = "text") -> Data
     out = pa.schema([("key", pa.binary()), ("n", pa.int64())])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memo("lines")
         for rows in batches:
             found: Counter[bytes | None] = Counter()
             for body in text_bytes(rows.column(0)):

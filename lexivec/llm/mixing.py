@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, save, text_bytes
+from lexivec.llm.common import batch, hold_memo, save, text_bytes
 
 MAX_PATTERNS = 100_000
 RANGES = 4096
@@ -129,6 +129,7 @@ def word_sizes(docs: DataFrame, sources: Column) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("pattern", pa.string()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memo("sizes")
         for rows in batches:
             yield batch(out, rows.column(0), rows.column(1), [len(t.split()) for t in text_bytes(rows.column(2))])
 

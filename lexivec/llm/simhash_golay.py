@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, columns, save, text_bytes
+from lexivec.llm.common import batch, columns, hold_memo, save, text_bytes
 from lexivec.llm.components import components
 
 #: Segment widths; at most 23 each, 64 together.
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold_memo("fingerprints")
         for rows in batches:
             fps = np.fromiter((fingerprint(t, size) for t in text_bytes(rows.column(1))), np.uint64, rows.num_rows)
             yield batch(out, rows.column(0), fps.view(np.int64))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.llm.bpe import MEMO, cut_specials, cuts_words
-from lexivec.llm.common import batch, save, text_or_empty
+from lexivec.llm.common import batch, hold_memo, save, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 #: Rows of a list that is broadcast (some 60 bytes each).
@@ -129,7 +129,6 @@ def count_tokens(docs: DataFrame, spec: str, cache_path: str, limit: int = BROAD
         counter = counter_of(shared.value)
         for rows in batches:
             yield batch(out, [tokenizer] * rows.num_rows, rows.column(0), counter(rows.column(1).to_pylist()))
-        counter.pieces.clear()
 
     counted = _texts_of(docs, keys, wanted, limit).mapInArrow(run, CACHE_SCHEMA).dropDuplicates(["digest"])
     counted.write.mode("append").option("compression", "zstd").parquet(cache_path)
@@ -143,8 +142,9 @@ _COUNTERS: dict[str, PieceCounter] = {}
 
 
 def counter_of(spec: str) -> PieceCounter:
-    """One counter per Python worker and tokenizer; tasks drop its pieces when they end."""
+    """One counter per Python worker and tokenizer; its pieces serve the worker's later tasks."""
     digest = hashlib.sha256(spec.encode()).hexdigest()
     if digest not in _COUNTERS:
         _COUNTERS[digest] = PieceCounter(spec)
+    hold_memo("token counts", lambda: [c.pieces.clear() for c in _COUNTERS.values()])
     return _COUNTERS[digest]
