@@ -33,7 +33,7 @@ from lexivec.llm.common import batch, hold_memo, kept, map_batches
 #: The byte-level pre-tokenizer's fixed pattern (contractions, letters, digits, others, spaces).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Pieces, words and pairs that a worker keeps; beyond it starts anew.
-MEMO = 450_000
+MEMO = 700_000
 NEVER = 1 << 60
 
 
