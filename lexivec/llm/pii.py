@@ -4,13 +4,22 @@
    check (parts, Luhn, digit counts). Base spans always stay.
 2. High-recall generators propose further spans of each kind in looser forms; they may overlap.
 3. Every candidate is described by format features (digits, groups, separators, start) and context
-   features (neighbour characters, cue words before it). All are small categories.
-4. Boosted depth-2 trees are fitted to tell candidates that equal a base span from those that touch
-   none. The fit reads counts per feature combination, summed over all documents by Spark: a
-   bounded table (``MAX_CELLS``, the most frequent combinations), whatever the corpus size.
+   features (neighbour characters, cue words before it). All are small categories. What only tells
+   a looser form from a base pattern (the sign used, a plus, which separator) is left out, and so is
+   what decides the proof of point 4.
+4. A candidate that touches no base span is judged by checks of its own (``PROOFS``): proved (Luhn
+   without the separators; a spelled-out address with a top-level domain; digit count and a cue word
+   or a dialling form; four octets and a cue word), contradicted (a check fails) or open. Boosted
+   depth-2 trees are fitted to tell base spans and proved candidates from the others. The fit reads
+   counts per feature combination, summed over all documents by Spark: a bounded table
+   (``MAX_CELLS``, the most frequent combinations), whatever the corpus size.
 5. For each kind a threshold is calibrated on the documents left out of the fit (crc32 of the id,
-   remainder 2 of 4): the lowest score at which precision reaches ``PRECISION``. Candidates at or
-   above it that touch no base span are added; without such a score none is.
+   remainder 2 of 4): the lowest score at which the proved among the proved and contradicted
+   candidates reach ``PRECISION``. Base spans show that a score occurs, but do not count in that
+   share, and open candidates are no errors. A contradicted candidate counts as the errors that
+   pass the check beside it (``CHANCE``). Proved candidates at or above the threshold are added, and
+   open ones if most candidates like them are proved (score 0 or more); contradicted ones never.
+   Without such a score none is.
 
 Patterns start at the head of a run (look-behind, or the end of the previous match) and repeat
 possessively, so that they find just what the plain patterns find, in linear time and without
@@ -24,6 +33,8 @@ count for the fit); an empty table gives no rows.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,11 +50,14 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+AT, DOT = r"[(\[{](?i:at)[)\]}]", r"[(\[{](?i:dot)[)\]}]"
+LABEL = "[A-Za-z0-9-]"
 #: Looser forms: spelled-out signs, other separators, numbers without a plus sign.
 LOOSE = {
-    "email": rf"(?<!{LOCAL}){LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:[.,:][0-9]{1,3}){3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[\x20./_-]?[0-9]{2,6}){2,4}(?![0-9])",
+    "email": rf"(?<!{LOCAL}){LOCAL}++(?:\x20?{DOT}\x20?{LOCAL}++){{0,8}}+(?:\x20?(?:@|{AT})\x20?{LABEL}++(?:(?:\.|\x20\.\x20|\x20?{DOT}\x20?|\x20(?i:dot)\x20){LABEL}++)*+"
+    rf"|\x20(?i:at)\x20{LABEL}++(?:\x20(?i:dot)\x20{LABEL}++)++)",
+    "ip": r"(?<![0-9.])[0-9]{1,3}(?:(?:[.,:]|\[\.\]|\x20?[(\[](?i:dot)[)\]]\x20?)[0-9]{1,3}){3}(?![0-9])",
+    "card": r"(?<![0-9])[0-9]{4}(?:(\x20?[\p{P}\p{S}]\x20?|[\x20\xA0])[0-9]{2,6}(?:\1[0-9]{2,6}){1,3}|(?:[\x20./_-]?[0-9]{2,6}){2,4})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+|00)?\(?[0-9][0-9()\x20./-]{6,20}[0-9](?![0-9])",
 }
 #: Words before a span that name its kind.
@@ -96,17 +110,52 @@ CHECKS = {
 }
 
 
+def _lit(pattern: str) -> str:
+    """A pattern as a SQL string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+#: A spelled-out address as it would be written plainly, in lower case.
+PLAIN = (
+    f"lower(replace(regexp_replace(regexp_replace(x.m, {_lit(DOT + '|(?<=' + chr(92) + 'x20)(?i:dot)(?=' + chr(92) + 'x20)')}, '.'),"
+    f" {_lit(AT + '|(?<=' + chr(92) + 'x20)(?i:at)(?=' + chr(92) + 'x20)')}, '@'), ' ', ''))"
+)
+DIALLED = r"(?:^|[^a-z])(?:tel(?:[^l]|$)|tele|t\xe9l|phone|call|cell|fax|mobil|m\xf3vil|appel|anruf|ruf|llam|whatsapp|sms)"
+OTHER = r"(?:^|[^a-z])(?:order|invoice|isbn|issn|ref|reference|sku|serial|item|lot|batch|version|ticket|article|artikel|bestell[a-z]*|rechnung[a-z]*|facture|commande|pedido|factura)[^a-z0-9]*(?:(?:id|no|nr|num|number)[^a-z0-9]*)?$"
+OCTETS = "split(x.m, '[^0-9]+')"
+#: SQL: does a looser match x hold by itself (true), is it contradicted (false), or open (null)?
+PROOFS = {
+    "email": f"""case when {PLAIN} not rlike '^[a-z0-9][a-z0-9._%+-]*+@[a-z0-9][a-z0-9.-]*[.][a-z]{{2,24}}$' or {PLAIN} like '%..%' then false
+        when x.m rlike {_lit('@|' + AT)} or {PLAIN} rlike '[.](com|org|net|edu|gov|mil|info|biz|io|dev|app|eu|de|fr|es|uk)$' or lower(x.l) rlike '{CUES["email"]}' then true end""",
+    "ip": f"""case when exists({OCTETS}, p -> coalesce(try_cast(p as int), 256) > 255 or (p like '0_%')) or size(array_distinct(regexp_extract_all(x.m, '[^0-9]+', 0))) > 1 then false
+        when x.m like '%[%' or x.m like '%(%' or lower(x.l) rlike '{CUES["ip"]}' then true end""",
+    "card": f"case when not {CHECKS['card']} then false when lower(x.l) rlike {_lit(OTHER)} then null else true end",
+    "phone": f"""case when length({DIGITS}) < 9 and lower(x.l) rlike {_lit(DIALLED)} then null when length({DIGITS}) not between 9 and 15 then false
+        when lower(x.l) rlike {_lit(DIALLED)} then true when lower(x.l) rlike {_lit(OTHER)} or {CHECKS['card']} or x.m rlike '^[0-9]{{4}}[-./][0-9]{{1,2}}[-./][0-9]{{1,2}}([^0-9]|$)|^[0-9]{{1,2}}[-./][0-9]{{1,2}}[-./][0-9]{{4}}([^0-9]|$)' then false
+        when x.m rlike '^(00[1-9]|[(]0?[1-9][0-9]{{1,4}}[)])' then true end""",
+}
+#: Other matches are no candidates.
+LIKELY = {"card": f"length({DIGITS}) between 12 and 19"}
+#: Contradicted candidates for one that passes its kind's check by chance: Luhn holds for one number in ten.
+CHANCE = {"email": 1.0, "ip": 1.0, "card": 9.0, "phone": 1.0}
+
+
 def _features(kind: str) -> str:
-    """SQL: the categories of a located match x, as small integers."""
+    """SQL: the categories of a located match x, as small integers; 0 where a category would only
+    tell base patterns from looser forms, or decide the proof."""
+    number = "regexp_replace(x.m, '^([+]|00)', '')"
+    digits = f"least(length({DIGITS}), 20)" if kind in ("email", "card") else "0"
+    parts = f"least(size(split({PLAIN if kind == 'email' else number}, '[^0-9A-Za-z]+')), 8)" if kind != "ip" else "0"
+    seps = f"least(size(array_distinct(regexp_extract_all({number}, '[^0-9]+', 0))), 2)" if kind in ("card", "phone") else "0"
+    head = "case when x.m rlike '^[3-6]' then 3 when x.m rlike '^2' then 2 else 1 end" if kind == "card" else "0"
     side = lambda c: (
         f"case when {c} = '' then 0 when {c} rlike '[\\\\s]' then 1 when {c} rlike '\\\\p{{L}}' then 2 when {c} rlike '[0-9]' then 3 when {c} rlike '[:=#<(]' then 4 else 5 end"
     )
     return f"""named_struct(
-        'digits', least(length({DIGITS}), 20),
-        'parts', least(size(split(x.m, '[^0-9A-Za-z]+')), 8),
-        'seps', case when x.m rlike '[@]' then 6 when x.m rlike '[\\\\[(](at|dot)' then 7 when x.m rlike '^[0-9]+$' then 0 when x.m rlike '^[0-9.]+$' then 1
-                when x.m rlike '^[0-9 ]+$' then 2 when x.m rlike '^[0-9-]+$' then 3 when x.m rlike '[()]' then 4 else 5 end,
-        'head', case when x.m like '+%' then 0 when x.m like '00%' then 1 when x.m like '(%' then 2 when x.m rlike '^[3-6]' then 3 when x.m rlike '^[0-9]' then 4 else 5 end,
+        'digits', {digits},
+        'parts', {parts},
+        'seps', {seps},
+        'head', {head},
         'before', {side("right(x.l, 1)")},
         'after', {side("coalesce(x.r, '')")},
         'cue', if(lower(x.l) rlike '{CUES[kind]}', 1, 0))"""
@@ -114,9 +163,9 @@ def _features(kind: str) -> str:
 
 def spans_and_candidates(docs: DataFrame) -> DataFrame:
     """(row, doc_id, base, loose) for every row of ``docs`` (doc_id, text): base spans (s, k, e),
-    and candidates (s, k, e, f: the features); a candidate may come twice."""
+    and candidates (s, k, e, f: the features, p: the proof); a candidate may come twice."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text_or_empty().alias("t"))
-    signs = F.col("t").contains("@") | F.col("t").contains("(at)") | F.col("t").contains("[at]")
+    signs = F.col("t").contains("@") | F.col("t").rlike(AT + r"|\x20(?i:dot)\x20")
     has = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}
     lists = []
     for form, patterns in (("b", BASE), ("c", LOOSE)):
@@ -128,35 +177,36 @@ def spans_and_candidates(docs: DataFrame) -> DataFrame:
     located = cut.select("row", "doc_id", *[F.expr(_located(f"p_{f}_{k}", f"m_{f}_{k}")).alias(f"{f}_{k}") for f in "bc" for k in KINDS])
     base = ", ".join(f"transform(filter(b_{k}, x -> {CHECKS[k]}), x -> named_struct('s', x.s, 'k', {n}, 'e', x.e))" for n, k in enumerate(KINDS))
     loose = ", ".join(
-        f"transform(concat(b_{k}, c_{k}), x -> named_struct('s', x.s, 'k', {n}, 'e', x.e, 'f', {_features(k)}))" for n, k in enumerate(KINDS)
+        f"transform(filter(concat(b_{k}, c_{k}), x -> {LIKELY.get(k, 'true')}), x -> named_struct('s', x.s, 'k', {n}, 'e', x.e, 'f', {_features(k)}, 'p', {PROOFS[k]}))" for n, k in enumerate(KINDS)
     )
     return located.select("row", "doc_id", F.expr(f"array_sort(concat({base}))").alias("base"), F.expr(f"concat({loose})").alias("loose"))
 
 
 def labelled(found: DataFrame) -> DataFrame:
-    """The distinct candidates of ``spans_and_candidates`` (row, doc_id, s, e, k, f, label): label
+    """The distinct candidates of ``spans_and_candidates`` (row, doc_id, s, e, k, f, p, label): label
     1 equals a base span, 0 touches none, null touches one. Running extremes over a document's
-    spans by start find what touches, in time n log n."""
+    spans by start find what touches, in time n log n. ``p`` is judged where the label is 0."""
     loose = found.select("row", "doc_id", F.explode("loose").alias("c")).select("row", "doc_id", "c.*", F.lit(0).alias("base"))
-    base = found.select("row", "doc_id", F.explode("base").alias("c")).select("row", "doc_id", "c.*", F.lit(None).cast(loose.schema["f"].dataType).alias("f"), F.lit(1).alias("base"))
-    each = loose.unionByName(base).groupBy("row", "doc_id", "s", "e", "k").agg(F.min("f").alias("f"), F.max("base").alias("base"))
+    base = found.select("row", "doc_id", F.explode("base").alias("c")).select("row", "doc_id", "c.*", F.lit(None).cast(loose.schema["f"].dataType).alias("f"), F.lit(None).cast("boolean").alias("p"), F.lit(1).alias("base"))
+    each = loose.unionByName(base).groupBy("row", "doc_id", "s", "e", "k").agg(F.min("f").alias("f"), F.max("p").alias("p"), F.max("base").alias("base"))
     sofar = Window.partitionBy("row").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     is_base = F.col("base") == 1
     touches = F.coalesce(F.max(F.when(is_base, F.col("e"))).over(sofar.orderBy("s")) > F.col("s"), F.lit(False)) | F.coalesce(
         F.min(F.when(is_base, F.col("s"))).over(sofar.orderBy(F.desc("s"))) < F.col("e"), F.lit(False)
     )
-    return each.select("row", "doc_id", "s", "e", "k", "f", F.when(is_base, 1).when(~touches, 0).alias("label"))
+    return each.select("row", "doc_id", "s", "e", "k", "f", "p", F.when(is_base, 1).when(~touches, 0).alias("label"))
 
 
 # --- boosting on counted feature combinations ------------------------------------------------------
 
 
 class Cell:
-    """One feature combination: kind, categories, and its weights (positives, rows)."""
+    """One feature combination: kind, categories, and its weights (positives, rows; base spans that
+    are in neither)."""
 
-    def __init__(self, kind: int, values: tuple, positives: float, rows: float):
+    def __init__(self, kind: int, values: tuple, positives: float, rows: float, base: float = 0.0):
         self.values = (kind, *values)
-        self.positives, self.rows, self.score = positives, rows, 0.0
+        self.positives, self.rows, self.base, self.score = positives, rows, base, 0.0
 
 
 def _gain(gradient: float, weight: float) -> float:
@@ -222,6 +272,11 @@ def tree_value(tree: tuple, values: tuple) -> float:
     return one if values[test[0]] == test[1] else other
 
 
+def tree_sum(trees: list[tuple], values: tuple) -> float:
+    """The trees' sum as SQL adds it up: ``sum`` would carry the rounding errors along."""
+    return reduce(add, (tree_value(t, values) for t in trees), 0.0)
+
+
 def score_sql(trees: list[tuple]) -> str:
     """The trees' sum as one SQL expression over a candidate's columns."""
     name = lambda f: "k" if f == 0 else f"f.{FEATURES[f - 1]}"
@@ -230,14 +285,15 @@ def score_sql(trees: list[tuple]) -> str:
 
 
 def thresholds(cells: list[Cell], trees: list[tuple], precision: float) -> dict[int, float]:
-    """Per kind, the lowest score at and above which the positives' share reaches ``precision``."""
+    """Per kind, the lowest score at and above which the positives' share reaches ``precision``, if
+    positives or base spans have such a score."""
     out = {}
     for kind in range(len(KINDS)):
-        own = sorted(((sum(tree_value(t, c.values) for t in trees), c.positives, c.rows) for c in cells if c.values[0] == kind), reverse=True)
-        good = rows = 0.0
-        for i, (score, p, n) in enumerate(own):
-            good, rows = good + p, rows + n
-            if (i + 1 == len(own) or own[i + 1][0] < score) and good >= precision * rows and good > 0:
+        own = sorted(((tree_sum(trees, c.values), c.positives, c.rows, c.base) for c in cells if c.values[0] == kind), reverse=True)
+        good = rows = base = 0.0
+        for i, (score, p, n, b) in enumerate(own):
+            good, rows, base = good + p, rows + n, base + b
+            if (i + 1 == len(own) or own[i + 1][0] < score) and good >= precision * rows and good + base > 0:
                 out[kind] = score
     return out
 
@@ -246,10 +302,15 @@ def fit(candidates: DataFrame, max_cells: int = MAX_CELLS, precision: float = PR
     """Trees and thresholds from ``labelled`` candidates: one aggregate over all documents."""
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     one = candidates.where("label is not null").withColumn("held_out", held_out)
-    counted = one.groupBy("held_out", "k", *[F.col(f"f.{f}").alias(f) for f in FEATURES]).agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n"))
-    cells = [(r.held_out, Cell(r.k, tuple(r[f] for f in FEATURES), float(r.p), float(r.n))) for r in counted.orderBy(F.desc("n"), "k", *FEATURES).limit(max_cells).collect()]
-    trees = boost([c for h, c in cells if not h])
-    return trees, thresholds([c for h, c in cells if h], trees, precision)
+    sums = {"b": "label = 1", "p": "label = 0 and p", "c": "label = 0 and not p"}
+    counted = one.groupBy("held_out", "k", *[F.col(f"f.{f}").alias(f) for f in FEATURES]).agg(
+        *[F.expr(f"count_if({test})").alias(name) for name, test in sums.items()], F.count(F.lit(1)).alias("n")
+    )
+    table = counted.orderBy(F.desc("n"), "k", *FEATURES).limit(max_cells).collect()
+    values = lambda r: tuple(r[f] for f in FEATURES)
+    trees = boost([Cell(r.k, values(r), float(r.b + r.p), float(r.n)) for r in table if not r.held_out])
+    kept_out = [Cell(r.k, values(r), float(r.p), r.p + r.c / CHANCE[KINDS[r.k]], float(r.b)) for r in table if r.held_out]
+    return trees, thresholds(kept_out, trees, precision)
 
 
 # --- results ---------------------------------------------------------------------------------------
@@ -259,7 +320,7 @@ def select_spans(found: DataFrame, candidates: DataFrame, trees: list[tuple], li
     """(doc_id, base, spans): base spans and the added ones, sorted by start, kind, end."""
     # Scores equal to a threshold are in; the SQL sums in the same order as Python.
     enough = " or ".join(f"(k = {k} and score >= {s!r}D)" for k, s in sorted(limits.items())) or "false"
-    chosen = candidates.where("label = 0").withColumn("score", F.expr(score_sql(trees))).where(enough)
+    chosen = candidates.where("label = 0 and coalesce(p, true)").withColumn("score", F.expr(score_sql(trees))).where(enough).where("p or score >= 0")
     added = chosen.groupBy("row").agg(F.collect_list(F.struct("s", "k", "e")).alias("added"))
     every = F.expr("array_sort(concat(base, coalesce(added, slice(base, 1, 0))))")
     return found.select("row", "doc_id", "base").join(added, "row", "left").select("doc_id", "base", every.alias("spans"))

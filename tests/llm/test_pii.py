@@ -131,6 +131,35 @@ def test_loose_forms_are_added(spark):
     assert [tuple(x) for x in by_id[400].spans] in ([], [(5, 2, 24)])
 
 
+def card(rng, sep):
+    d = "4" + "".join(rng.choices("0123456789", k=14))
+    d += next(x for x in "0123456789" if luhn(d + x))
+    return sep.join(d[i : i + 4] for i in range(0, 16, 4))
+
+
+def test_common_looser_forms_are_added_and_clean_numbers_are_not(spark):
+    """Looser forms outnumber the base forms; numbers of the same shapes without meaning stay."""
+    rng = random.Random(3)
+    number = lambda k: "".join(rng.choices("0123456789", k=k))
+    planted, clean = [], []
+    for i in range(300):
+        planted.append(("write to ", f"jo{i} [at] host{i % 7} [dot] com", " today", 0))
+        planted.append(("phone ", f"0{rng.randint(150, 179)} {number(3)} {number(4)}", " today", 3))
+        planted.append(("card ", card(rng, "/."[i % 2]), " paid", 2))
+    for i in range(60):
+        planted.append(("write to ", f"jo{i}@host{i % 7}.com", " today", 0))
+        planted.append(("phone ", f"+49 {rng.randint(150, 179)} {number(3)} {number(4)}", " today", 3))
+        planted.append(("card ", card(rng, " "), " paid", 2))
+    for i in range(200):
+        wrong = card(rng, "/")
+        clean += [f"file {wrong[:-1]}{(int(wrong[-1]) + 5) % 10} closed", f"order no. {number(9)} sent", f"meet [at] noon {i}", f"on 2024-0{i % 9 + 1}-17 {number(2)}"]
+    texts = [a + m + z for a, m, z, _ in planted] + clean
+    rows = {r.doc_id: [tuple(x) for x in r.spans] for r in P.find_personal_data(documents(spark, texts)).collect()}
+    missed = [texts[i] for i, (a, m, _, k) in enumerate(planted) if (len(a), k, len(a + m)) not in rows[i]]
+    added = [texts[i] for i in range(len(planted), len(texts)) if rows[i]]
+    assert (missed, added) == ([], [])
+
+
 def test_redaction(spark):
     from pyspark.sql import functions as F
 
