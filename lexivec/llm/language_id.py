@@ -36,6 +36,10 @@ SMOOTHING = 0.02
 WORD_CACHE = 200_000
 #: Words of one forward pass.
 FORWARD_WORDS = 40_000
+#: Bytes of one forward-backward pass, and of the blocks in which the fit counts longer words: every
+#: byte is counted, only a piece across a block's border is not.
+EM_BYTES = 1 << 18
+EM_BLOCK = 4096
 #: Scale per byte that keeps forward sums near 1, and how often they are rescaled exactly.
 BYTE_SCALE = 12.0
 RESCALE_EVERY = 24
@@ -164,6 +168,8 @@ def forward(model: Unigrams, words: list[bytes], keep: list | None = None):
                 inside = pos + k <= last
                 alpha[pos[inside] + k] /= top[inside]
             log_scale[:active] += np.log(top)
+            if keep is not None:
+                keep.append((pos, last, top))
         step = []
         for row, size, piece in _matches(trie, codes, pos):
             alpha[pos[row] + size] += alpha[pos[row]] * scaled[piece]
@@ -181,7 +187,8 @@ def forward(model: Unigrams, words: list[bytes], keep: list | None = None):
 
 def expected_counts(model: Unigrams, words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """Expected uses of each piece (pieces x languages) over all segmentations, by
-    forward-backward; ``weights``: words x languages. Words of up to ``RESCALE_EVERY`` bytes."""
+    forward-backward; ``weights``: words x languages. Sums back are rescaled where the sums
+    forward were, so words may have any length."""
     keep: list = []
     forward(model, words, keep)
     if not keep:
@@ -191,17 +198,56 @@ def expected_counts(model: Unigrams, words: list[bytes], weights: np.ndarray) ->
     end = start + lengths
     total = alpha[end]
     beta[end] = np.where(total > 0, weights[order] / np.maximum(total, 1e-300), 0)
-    counts = np.zeros_like(model.probs)
+    pieces: list[np.ndarray] = []
+    uses: list[np.ndarray] = []
     for step in reversed(keep):
+        if isinstance(step, tuple):  # what lies before this place meets sums rescaled here
+            pos, last, top = step
+            for k in range(model.trie.depth + 1):
+                inside = pos + k <= last
+                beta[pos[inside] + k] /= top[inside]
+            continue
         for pos, size, piece in step:
             back = scaled[piece] * beta[pos + size]
-            used = alpha[pos] * back
-            for lang in range(counts.shape[1]):
-                counts[:, lang] += np.bincount(piece, used[:, lang], len(counts))
+            pieces.append(piece)
+            uses.append(alpha[pos] * back)
             beta[pos] += back
+    counts = np.zeros_like(model.probs)
+    if pieces:
+        piece, used = np.concatenate(pieces), np.concatenate(uses)
+        for lang in range(counts.shape[1]):
+            counts[:, lang] = np.bincount(piece, used[:, lang], len(counts))
     return counts
 
 
+def in_blocks(word: bytes) -> list[bytes]:
+    """``word`` cut before the first whole character at each ``EM_BLOCK`` bytes."""
+    cuts = [0]
+    while len(word) - cuts[-1] > EM_BLOCK:
+        at = cuts[-1] + EM_BLOCK
+        while word[at] & 0xC0 == 0x80 and at > cuts[-1] + EM_BLOCK - 4:
+            at -= 1
+        cuts.append(at)
+    return [word[x:y] for x, y in zip(cuts, [*cuts[1:], len(word)], strict=True)]
+
+
+def count_uses(model: Unigrams, lang: int, words: list[bytes], weights: list[float]) -> np.ndarray:
+    """Expected uses of each piece in weighted words of one language, ``EM_BYTES`` at a time."""
+    one = Unigrams([model.langs[lang]], model.trie, model.probs[:, [lang]])
+    blocks = sorted(((b, n) for w, n in zip(words, weights, strict=True) for b in in_blocks(w)), key=lambda x: len(x[0]))
+    uses = np.zeros(len(model.probs))
+    start = 0
+    while start < len(blocks):
+        end, size = start, 0
+        while end < len(blocks) and size < EM_BYTES:
+            size += len(blocks[end][0])
+            end += 1
+        part = blocks[start:end]
+        uses += expected_counts(one, [b for b, _ in part], np.array([[n] for _, n in part], np.float64))[:, 0]
+        start = end
+    return uses
+
+
 def held_out(doc_id: Column) -> Column:
     """The contract's fold: crc32 of the id's text, remainder 2 of 4."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -210,18 +256,17 @@ def held_out(doc_id: Column) -> Column:
 def training_words(docs: DataFrame, per_lang: int, total: int) -> tuple[list[str], DataFrame]:
     """Words of a bounded, seeded sample of labelled rows: (lang, word, n), and the languages.
 
-    Only ids and labels are read to choose the rows; at most ``per_lang`` ids of a language leave
-    a task, and at most ``total`` ids are broadcast.
+    Only ids and labels are read to choose the rows; at most ``per_lang`` ids of a language are
+    broadcast, and ``total`` ids in all, but one of every language at least.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    langs = sorted(r[0] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(total // 20).collect())
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     if not langs:
         return [], docs.sparkSession.createDataFrame([], "lang string, word binary, n long")
     per_lang = max(1, min(per_lang, total // len(langs)))
     w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
     ids = (
-        labelled.where(F.col("lang").isin(langs))
-        .select("doc_id", "lang").distinct()
+        labelled.select("doc_id", "lang").distinct()
         .withColumn("rn", F.row_number().over(w))
         .where(F.col("rn") <= per_lang)
         .select("doc_id", "lang")
@@ -239,7 +284,7 @@ def training_words(docs: DataFrame, per_lang: int, total: int) -> tuple[list[str
             yield batch(out, [k[0] for k in found], [k[1] for k in found], list(found.values()))
 
     counted = sample.mapInArrow(words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return langs, save(counted, "langid-words")
+    return langs, save(counted.sortWithinPartitions("lang"), "langid-words")
 
 
 def new_model(langs: list[str], pieces: list[bytes]) -> Unigrams:
@@ -266,12 +311,12 @@ def fit(docs: DataFrame, vocab_path: str, per_lang: int = TRAIN_DOCS_PER_LANG, t
             now = shared.value
             uses = np.zeros_like(now.probs)
             for rows in batches:
-                lang = np.fromiter((where[x] for x in rows.column(0).to_pylist()), np.int64, rows.num_rows)
-                weight = np.zeros((rows.num_rows, len(where)))
-                weight[np.arange(rows.num_rows), lang] = rows.column(2).to_numpy()
-                words_here = rows.column(1).to_pylist()
-                short = [i for i, w in enumerate(words_here) if len(w) < RESCALE_EVERY]
-                uses += expected_counts(now, [words_here[i] for i in short], weight[short])
+                of_lang: dict[str, list[int]] = {}
+                for i, lang in enumerate(rows.column(0).to_pylist()):
+                    of_lang.setdefault(lang, []).append(i)
+                words_here, times = rows.column(1).to_pylist(), rows.column(2).to_pylist()
+                for lang, own in of_lang.items():
+                    uses[:, where[lang]] += count_uses(now, where[lang], [words_here[i] for i in own], [times[i] for i in own])
             piece, lang = np.nonzero(uses)
             yield batch(out, lang.astype(np.int32), piece.astype(np.int32), uses[piece, lang])
 

@@ -51,6 +51,47 @@ def test_expected_counts_cover_every_byte_once(random_model):
     assert np.allclose((counts * random_model.trie.lengths[:, None]).sum(axis=0), [2 * 6, 3 * 3])
 
 
+def test_expected_counts_of_long_words(random_model, pieces):
+    """Against sums over all cuts before and after each piece, without rescaling."""
+    word = "internationalisierungsgrößenordnung日本語文字列".encode()
+    index, spaced = {p: i for i, p in enumerate(pieces)}, b" " + word
+    cuts = [(a, b, index[spaced[a:b]]) for a in range(len(spaced)) for b in range(a + 1, len(spaced) + 1) if spaced[a:b] in index]
+    fore, back = np.zeros((len(spaced) + 1, 2)), np.zeros((len(spaced) + 1, 2))
+    fore[0], back[-1] = 1, 1
+    for a, b, i in cuts:
+        fore[b] += fore[a] * random_model.probs[i]
+    for a, b, i in reversed(cuts):
+        back[a] += back[b] * random_model.probs[i]
+    want = np.zeros_like(random_model.probs)
+    for a, b, i in cuts:
+        want[i] += fore[a] * random_model.probs[i] * back[b] / fore[-1]
+    assert len(word) > 2 * L.RESCALE_EVERY
+    got = L.expected_counts(random_model, [word, b"on"], np.array([[1.0, 1.0], [0.0, 0.0]]))
+    assert np.allclose(got, want, atol=1e-9)
+    long = "語ab".encode() * 3000
+    assert b"".join(L.in_blocks(long)) == long and all(b.decode() for b in L.in_blocks(long))
+    counts = L.count_uses(random_model, 1, [long, b"on"], [2, 1])
+    assert np.isclose((counts * random_model.trie.lengths).sum(), 2 * (len(long) + len(L.in_blocks(long))) + 3)
+
+
+def test_languages_written_without_spaces(spark):
+    import random
+
+    rng = random.Random(5)
+    kana, thai = "あいうえおかきくけこさしすせそ", "กขคงจฉชซญดตถทธน"
+    rows = [(i, "".join(rng.choices(thai if i % 2 else kana, k=60)), "th" if i % 2 else "ja") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in L.language_of_documents(docs, VOCAB).collect()}
+    assert [i for i, _, lang in rows if got[i] != lang] == []
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"word{i} text", f"l{i:02}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, words = L.training_words(docs, 1, 20)
+    assert langs == [f"l{i:02}" for i in range(30)] and words.select("lang").distinct().count() == 30
+
+
 def test_held_out_accuracy_and_fold(spark):
     rows = QUERIES["op1_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     import zlib
