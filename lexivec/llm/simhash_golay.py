@@ -27,8 +27,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lexivec.llm.common import batch, columns, hold_memo, save, text_bytes
 from lexivec.llm.components import components
@@ -62,17 +63,19 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the unsigned fingerprint in a signed long."""
-    out = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, size: int = 3, key: Column | None = None) -> DataFrame:
+    """(doc_id, fp) for every row, and ``key`` if given; fp is the unsigned fingerprint in a signed long."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *([] if key is None else [key.alias("key")]))
+    fields = [f for f in rows.schema.fields if f.name != "text"]
+    schema = StructType([fields[0], StructField("fp", LongType()), *fields[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memo("fingerprints")
         for rows in batches:
             fps = np.fromiter((fingerprint(t, size) for t in text_bytes(rows.column(1))), np.uint64, rows.num_rows)
-            yield batch(out, rows.column(0), fps.view(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fps.view(np.int64)), *rows.columns[2:]], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 # --- Golay keys --------------------------------------------------------------------------------
@@ -217,26 +220,37 @@ def link_fingerprints(nodes: DataFrame, most: int = 2, bucket: int = BUCKET) ->
     return found.where(F.col("b").isNotNull()).unionByName(_ball_links(large, most))
 
 
+def _grouped(prints: DataFrame, most: int, bucket: int, first: Column) -> DataFrame:
+    """``prints`` (stored: doc_id, fp, ...) with component_id, and component_first: the least
+    ``first`` of the component."""
+    nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.min(first).alias("first")), "fingerprint-nodes")
+    roots = components(link_fingerprints(nodes, most, bucket))
+    grouped = nodes.join(roots.withColumnRenamed("key", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = grouped.groupBy("root").agg(F.min("doc").alias("component_id"), F.min("first").alias("component_first"))
+    named = save(grouped.select("fp", "root").join(least, "root").select("fp", "component_id", "component_first"), "fingerprint-groups")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, most: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text)."""
     prints = save(fingerprints(docs, size), "fingerprints")
-    nodes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), "fingerprint-nodes")
-    roots = components(link_fingerprints(nodes, most, bucket))
-    grouped = nodes.join(roots.withColumnRenamed("key", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = save(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "fingerprint-groups")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(prints, most, bucket, F.col("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 3, most: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component. Rows without an id cannot
-    be named and stay; of rows with one id, one stays."""
-    found = save(near_duplicates(docs, size, most).select("doc_id", "component_id"), "near-duplicates")
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    rest = docs.join(gone, "doc_id", "left_anti").select(*columns(docs))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    """One row of each component: the one with the least id (null last), then the least digest of
+    its text; of rows alike in both, the least as JSON text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.md5(F.col("text").cast("string").cast("binary")).alias("digest"))
+    prints = save(fingerprints(docs.select("doc_id", "text"), size, key), "fingerprints")
+    found = save(_grouped(prints, most, BUCKET, F.col("key")).select("key", "component_first"), "near-duplicates")
+    first = F.col("key").eqNullSafe(F.col("component_first"))
+    gone = found.where(~first).select(F.col("key").alias("__key")).distinct()
+    repeated = found.where(first).groupBy(F.col("key").alias("__key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__key")
+    met = key.eqNullSafe(F.col("__key"))
+    rest = docs.join(gone, met, "left_anti").select(*columns(docs))
     if repeated.isEmpty():
         return rest
-    return rest.join(repeated, "doc_id", "left_anti").select(*columns(docs)).unionByName(
-        rest.join(repeated, "doc_id", "left_semi").select(*columns(docs)).dropDuplicates(["doc_id"])
-    )
+    row = F.struct(*columns(docs))
+    one = rest.join(repeated, met, "left_semi").groupBy(key.alias("__key")).agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    one = one.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    return rest.join(repeated, met, "left_anti").select(*columns(docs)).unionByName(one)

@@ -109,3 +109,11 @@ def test_awkward_documents(spark):
     kept = S.one_of_each_group(awkward(spark, ["a.b"])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == [(False, 1), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
     assert S.near_duplicates(empty(spark)).collect() == [] and S.one_of_each_group(empty(spark)).collect() == []
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey")
+    rows = [(7, b, "x"), (7, a, "x"), (3, a, "x"), (None, c, "x"), (None, c, "x"), (9, c + " pink teal navy", "z"), (9, c + " pink teal navy", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string")
+    kept = sorted(((r.doc_id, r.text, r["a.b"]) for r in S.one_of_each_group(docs).collect()), key=str)
+    assert kept == sorted([(3, a, "x"), (7, b, "x"), (None, c, "x"), (9, c + " pink teal navy", "y")], key=str)
