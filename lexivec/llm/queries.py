@@ -125,6 +125,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.bpe import read_spec
+    from lexivec.llm.tokenizer_alignment import alignment_of_documents
+
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
+        model = f.read()
+    return alignment_of_documents(table(spark, sf_dir, "documents"), read_spec(tokenizer_path("byte_bpe_50k.json")), model)
+
+
+def op12_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.quality_crf import quality_of_documents
+
+    return quality_of_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexivec.llm.conversation_repair import damaged_and_repaired
+
+    return damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -136,6 +157,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann_tree": op8_ann_tree,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_quality_crf": op12_quality_crf,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _HOST = r"rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', 1)), '.')"
