@@ -7,17 +7,18 @@ prefix for ``word*``, and for a phrase when its tokens also occur consecutively.
 matches when every required term matches, no excluded term does, and at least one non-excluded
 term does. Score: BM25 over the distinct tokens of the matched non-excluded terms.
 
-Plan (every join against document data is an equi-join with the small query side broadcast):
-
-* the document vocabulary is reduced to the *relevant* terms (exact query tokens, plus terms that
-  extend a query prefix, found by an equi-join on the first two characters), and only
-  occurrences of relevant terms are counted into postings ``(table, pk, term, tf, dl)``;
-* a term's exact tokens match by counting joined postings; prefixes by the same two-character
-  equi-join on postings;
-* a phrase matches when the document has all its token bigrams (bigram occurrences are filtered
-  by the broadcast bigram set before anything is shuffled); phrases of three or more tokens are
-  re-checked in order, on candidate documents only;
-* scores reuse the postings, so the documents are tokenised once.
+Plan, over the stored index (``sources.text_index``; nothing is tokenised in a search):
+
+* words are looked up in the vocabulary, prefixes are its terms with that beginning (joined on the
+  first one or two characters); both bring their number of rows;
+* a query's *driver* is its rarest required term: only rows in the driver's postings are looked at
+  for any other term. Queries without a required term look at all their postings;
+* one-token words and prefixes are counted and summed per (query, row) directly. All extensions of
+  a prefix are summed once per (prefix, row), for every query that has the prefix. Which of them would
+  count one token twice is known from the query alone and left out beforehand;
+* terms of several tokens match when all their postings of a row are there; a phrase also needs a
+  position p of its first token with its n-th token at p + n: the position lists are merged by a join
+  on the phrase's start.
 """
 
 from __future__ import annotations
@@ -27,16 +28,19 @@ from pyspark.sql import functions as F
 
 from lexivec.config import RetrievalConfig
 from lexivec.functions.text import tokens
-from lexivec.operators.lexical import LEX_COLUMNS, _rank_per_table, _snippet, corpus_stats, doc_tokens, text_columns
-from lexivec.operators.plan_utils import bounded_broadcast
+from lexivec.operators.fulltext import with_keys
+from lexivec.operators.lexical import lexical_hits, rank_per_table, with_snippets
+from lexivec.operators.plan_utils import counted_broadcast
 from lexivec.session import store_once
 from lexivec.sources.tables import TableSpec
+from lexivec.sources.text_index import TextIndex, text_columns, text_index
 
 #: Every token counts here, also one-letter ones: a dropped required or excluded term would change
 #: which rows match.
 MIN_TOKEN = 1
 TERM_PATTERN = r'([+-]?)("[^"]*"|[^\s"]+)'
-KEY = ["query_id", "table", "pk"]
+PAIR = ["query_id", "did"]
+CLAUSE = ["query_id", "term_no"]
 
 
 def parse_boolean(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
@@ -63,147 +67,143 @@ def parse_boolean(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     return out.where((F.size("exact") > 0) | F.col("prefix").isNotNull())
 
 
-def _k2(c):
-    return F.substring(c, 1, 2)
+def prefix_terms(index: TextIndex, prefixes: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    """``(prefix, term, df, idf)``: the vocabulary under each distinct prefix."""
+    wanted = counted_broadcast(prefixes, 64, cfg)
+    vocab = index.terms.select("term", "df", "idf", F.explode(F.array_distinct(F.array(F.substring("head", 1, 1), F.col("head")))).alias("start"))
+    found = vocab.join(wanted.withColumn("start", F.substring("prefix", 1, 2)), "start").where(F.col("term").startswith(F.col("prefix")))
+    return found.select("prefix", "term", "df", "idf")
 
 
-def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    cfg = cfg.with_(min_token_len=MIN_TOKEN)
-    k1, b = cfg.bm25_k1, cfg.bm25_b
-    n_q = queries.count()
-    terms = parse_boolean(queries, cfg)
-    bound = n_q * 32
+def drivers(clauses: DataFrame, exact: DataFrame, extensions: DataFrame) -> DataFrame:
+    """``(query_id, driver, by_prefix)`` for queries with a required term: the token, or the prefix,
+    of their required terms with the fewest rows. A token that no row has is the rarest of all."""
+    needed = clauses.where("op = '+'")
+    words = needed.select(*CLAUSE, F.explode("exact").alias("driver")).join(
+        exact.select("query_id", "term_no", F.col("term").alias("driver"), "df"), [*CLAUSE, "driver"], "left"
+    )
+    sizes = extensions.groupBy("prefix").agg(F.sum("df").alias("df"))
+    starts = needed.where("prefix is not null").select(*CLAUSE, F.col("prefix").alias("driver")).join(
+        sizes.withColumnRenamed("prefix", "driver"), "driver", "left"
+    )
+    both = words.select("query_id", "driver", F.lit(False).alias("by_prefix"), F.coalesce("df", F.lit(0)).alias("df")).unionByName(
+        starts.select("query_id", "driver", F.lit(True).alias("by_prefix"), F.coalesce("df", F.lit(0)).alias("df"))
+    )
+    least = both.groupBy("query_id").agg(F.min(F.struct("df", "driver", "by_prefix")).alias("x"))
+    return least.select("query_id", "x.driver", "x.by_prefix")
 
-    def bb(df, row_bytes=96):
-        return bounded_broadcast(df, bound, row_bytes, cfg)
 
-    meta = terms.select(
-        "query_id", "term_no", "op", "kind", (F.size("exact") > 0).alias("has_exact"), F.col("prefix").isNotNull().alias("has_prefix")
+def once(simple: DataFrame, clauses: DataFrame) -> DataFrame:
+    """``simple(query_id, term_no, op, token, is_prefix)`` with ``counts``: does the term add to the
+    score? Excluded ones never do; a token is added by its first word, unless a prefix that adds
+    already has it; a prefix is added unless a shorter (or an equal, earlier) one has it."""
+    heads = clauses.where("prefix is not null and size(exact) = 0 and op != '-'").select(
+        "query_id", F.col("term_no").alias("other_no"), F.col("prefix").alias("other")
     )
-    exact_req = terms.select("query_id", "term_no", F.size("exact").alias("n_exact"), F.explode("exact").alias("term"))
-    prefix_req = terms.where(F.col("prefix").isNotNull()).select("query_id", "term_no", "prefix", _k2("prefix").alias("k2"))
-    exact_set = exact_req.select("term").distinct()
-    prefix_set = prefix_req.select("prefix", "k2").distinct()
-    phrase_terms = terms.where(F.col("kind") == "phrase")
-    bigram_req = phrase_terms.select(
-        "query_id",
-        "term_no",
-        (F.size("toks") - 1).alias("n_bi"),
-        F.posexplode(F.arrays_zip(F.slice("toks", 1, F.size("toks") - 1).alias("a"), F.slice("toks", 2, F.size("toks") - 1).alias("b"))).alias("bi_no", "bg"),
-    ).select("query_id", "term_no", "n_bi", "bi_no", F.col("bg.a").alias("a"), F.col("bg.b").alias("b"))
-    bigram_set = bigram_req.select("a", "b").distinct()
+    covered = simple.join(heads, "query_id").where(
+        F.col("token").startswith(F.col("other"))
+        & (~F.col("is_prefix") | (F.length("other") < F.length("token")) | ((F.col("other") == F.col("token")) & (F.col("other_no") < F.col("term_no"))))
+    )
+    covered = covered.select(*CLAUSE).distinct().withColumn("covered", F.lit(True))
+    first = simple.where("op != '-' and not is_prefix").groupBy("query_id", "token").agg(F.min("term_no").alias("first_no"))
+    out = simple.join(covered, CLAUSE, "left").join(first, ["query_id", "token"], "left")
+    counts = (F.col("op") != "-") & F.col("covered").isNull() & (F.col("is_prefix") | (F.col("term_no") == F.col("first_no")))
+    return out.select(*CLAUSE, "op", "token", "is_prefix", counts.alias("counts"))
+
+
+def phrase_rows(items: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``(query_id, did, term_no)`` of the phrases that occur. ``items(query_id, did, term_no, term,
+    pos)`` are the position lists, ``phrases(query_id, term_no, at, term, length)`` the n-th tokens.
+    Each token votes for the starts it allows; a start with all votes is an occurrence."""
+    votes = items.join(phrases, [*CLAUSE, "term"]).select(*PAIR, "term_no", "length", "at", F.explode("pos").alias("p"))
+    votes = votes.withColumn("start", F.col("p") - F.col("at")).groupBy(*PAIR, "term_no", "length", "start").agg(F.count("*").alias("votes"))
+    return votes.where(F.col("votes") == F.col("length")).select(*PAIR, "term_no").distinct()
+
+
+def scored_rows(index: TextIndex, clauses: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    """``(query_id, did, score_ft)`` of the rows that each query's grammar admits. ``clauses`` is
+    ``parse_boolean``, stored."""
+
+    def side(df: DataFrame) -> DataFrame:
+        return counted_broadcast(df, 96, cfg)
+
+    words = clauses.select(*CLAUSE, "op", F.explode("exact").alias("term"))
+    exact = store_once(index.terms.join(side(words), "term").select(*CLAUSE, "op", "term", "df", "idf"), "query-words")
+    extensions = store_once(prefix_terms(index, clauses.where("prefix is not null").select("prefix").distinct(), cfg), "extensions")
+    post = index.postings.select("term", "did", "imp")
+
+    # rows worth a look: the driver's, or all of a query without required terms
+    rarest = store_once(drivers(clauses, exact, extensions), "drivers")
+    by_word = post.join(side(rarest.where("not by_prefix").select("query_id", F.col("driver").alias("term"))), "term").select(*PAIR)
+    starts = extensions.join(rarest.where("by_prefix").select("query_id", F.col("driver").alias("prefix")), "prefix").select("query_id", "term")
+    looked_at = store_once(by_word.unionByName(post.join(side(starts), "term").select(*PAIR).distinct()), "driver-rows")
+    driven = side(rarest.select("query_id"))
+    rows = side(looked_at)
+
+    def at_drivers(df: DataFrame) -> DataFrame:
+        return df.join(driven, "query_id", "left_anti").unionByName(df.join(rows, PAIR, "left_semi"))
+
+    # one-token words and prefixes
+    one = clauses.where("kind != 'phrase' and (size(exact) = 1 and prefix is null or size(exact) = 0 and prefix is not null)")
+    simple = one.select(*CLAUSE, "op", F.coalesce("prefix", F.col("exact")[0]).alias("token"), F.col("prefix").isNotNull().alias("is_prefix"))
+    simple = store_once(once(simple, clauses), "query-terms")
+    idf = exact.select("term", "idf").distinct()
+    of_word = simple.where("not is_prefix").join(idf.withColumnRenamed("term", "token"), "token")
+    word_hits = post.join(side(of_word.withColumnRenamed("token", "term")), "term").select(
+        *PAIR, "op", F.when(F.col("counts"), F.col("idf") * F.col("imp")).otherwise(0.0).alias("w")
+    )
+    sums = post.join(side(extensions.select("prefix", "term", "idf")), "term").groupBy("prefix", "did").agg(F.sum(F.col("idf") * F.col("imp")).alias("w"))
+    of_prefix = simple.where("is_prefix").withColumnRenamed("token", "prefix")
+    prefix_hits = sums.join(side(of_prefix), "prefix").select(*PAIR, "op", F.when(F.col("counts"), F.col("w")).otherwise(0.0).alias("w"))
+
+    # terms of several tokens
+    many = clauses.where("kind = 'phrase' or size(exact) > 1 or size(exact) = 1 and prefix is not null")
+    several = store_once(many.select(*CLAUSE, "op", "kind", "toks", "prefix", F.size("exact").alias("n_exact")), "long-terms")
+    joined = exact.join(several.select(*CLAUSE, "n_exact"), CLAUSE)
+    positions = index.postings.select("term", "did", "imp", "pos")
+    items = store_once(at_drivers(positions.join(side(joined), "term").select(*PAIR, "term_no", "term", (F.col("idf") * F.col("imp")).alias("w"), "pos", "n_exact")), "long-term-rows")
+    whole = items.groupBy(*PAIR, "term_no", "n_exact").agg(F.count("*").alias("n")).where("n = n_exact").select(*PAIR, "term_no")
+    phrases = several.where("kind = 'phrase'").select(*CLAUSE, F.size("toks").alias("length"), F.posexplode("toks").alias("at", "term"))
+    of_phrase = side(phrases.select(*CLAUSE).distinct())
+    whole = whole.join(of_phrase, CLAUSE, "left_anti").unionByName(phrase_rows(items, phrases))
+    # word* of several tokens: an extension of its last token must be there too
+    half = several.where("prefix is not null")
+    ends = at_drivers(
+        post.join(side(half.select(*CLAUSE, "prefix").join(extensions, "prefix").select(*CLAUSE, "term", "idf")), "term")
+        .select(*PAIR, "term_no", "term", (F.col("idf") * F.col("imp")).alias("w"))
+    )
+    of_half = side(half.select(*CLAUSE))
+    whole = whole.join(of_half, CLAUSE, "left_anti").unionByName(
+        whole.join(of_half, CLAUSE, "left_semi").join(ends.select(*PAIR, "term_no").distinct(), [*PAIR, "term_no"])
+    )
+    whole = store_once(whole.join(side(several.select(*CLAUSE, "op")), CLAUSE), "long-terms-met")
+    # their tokens add to the score once, unless a one-token word or prefix adds them
+    adding = simple.where("counts").select("query_id", F.col("token").alias("other"), "is_prefix")
+    parts = items.select(*PAIR, "term_no", "term", "w").unionByName(ends).join(whole.where("op != '-'"), [*PAIR, "term_no"], "left_semi")
+    parts = parts.select(*PAIR, "term", "w").distinct()
+    has = (F.col("term") == F.col("other")) | (F.col("is_prefix") & F.col("term").startswith(F.col("other")))
+    known = parts.select("query_id", "term").distinct().join(adding, "query_id").where(has).select("query_id", "term").distinct()
+    parts = parts.join(known, ["query_id", "term"], "left_anti").select(*PAIR, F.lit(None).cast("string").alias("op"), "w")
+
+    met = at_drivers(word_hits.unionByName(prefix_hits)).unionByName(whole.select(*PAIR, "op", F.lit(0.0).alias("w"))).unionByName(parts)
+    totals = met.groupBy(*PAIR).agg(
+        F.count_if(F.col("op") == "+").alias("req"), F.count_if(F.col("op") == "-").alias("exc"),
+        F.count_if(F.col("op") != "-").alias("pos"), F.sum("w").alias("score_ft"),
+    )
+    n_req = clauses.groupBy("query_id").agg(F.count_if(F.col("op") == "+").alias("n_req"))
+    admitted = totals.join(side(n_req), "query_id").where("req = n_req and exc = 0 and pos > 0")
+    return admitted.select(*PAIR, "score_ft")
 
-    out = None
+
+def boolean_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    """J4 + J2 + W2. Tables without text columns have no hits."""
+    cfg = cfg.with_(min_token_len=MIN_TOKEN)
+    clauses = store_once(parse_boolean(queries, cfg), "query-clauses")
+    found = []
     for s in specs:
-        cols = text_columns(s, cfg.fulltext_columns)
-        if not cols:
-            continue
-        d = doc_tokens(s, cfg, breaks=True)
-        occ = d.select("table", "pk", F.size(F.array_remove("toks", "")).alias("dl"), F.explode("toks").alias("term")).where("term != ''")
-        # The inverted index, written once: every later step reads it instead of the texts.
-        index = store_once(occ.groupBy("table", "pk", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")), "postings")
-        vocab = index.select("term").distinct()
-        # relevant vocabulary: exact query tokens and prefix extensions (two-character equi-join;
-        # a one-letter prefix meets the terms' first letter)
-        heads = vocab.select("term", F.explode(F.array_distinct(F.array(F.substring("term", 1, 1), _k2("term")))).alias("k2"))
-        extensions = store_once(heads.join(bb(prefix_set), "k2").where(F.col("term").startswith(F.col("prefix"))).select("prefix", "term").distinct(), "extensions")
-        n_ext = extensions.count()
-        rel = vocab.join(bb(exact_set), "term", "left_semi").unionByName(extensions.select("term")).distinct()
-        # The postings of relevant terms feed five joins below.
-        post = store_once(index.join(bounded_broadcast(rel, bound + n_ext, 64, cfg), "term", "left_semi"), "query-postings")
-        # exact parts of terms: one token is matched by its posting, several must all be there
-        found = post.join(bb(exact_req), "term")
-        exact_ok = found.where("n_exact = 1").select("query_id", "table", "pk", "term_no").unionByName(
-            found.where("n_exact > 1")
-            .groupBy("query_id", "table", "pk", "term_no")
-            .agg(F.count(F.lit(1)).alias("_m"), F.first("n_exact").alias("_n"))
-            .where(F.col("_m") == F.col("_n"))
-            .select("query_id", "table", "pk", "term_no")
-        )
-        # prefix parts of terms
-        prefix_hit = (
-            post.join(bounded_broadcast(extensions, n_ext, 64, cfg), "term")
-            .join(bb(prefix_req.drop("k2")), "prefix")
-            .select("query_id", "table", "pk", "term_no", "term")
-        )
-        prefix_ok = prefix_hit.select("query_id", "table", "pk", "term_no").distinct()
-        four = ["query_id", "table", "pk", "term_no"]
-        kinds = bb(meta)
-        m = (
-            exact_ok.join(kinds.where("has_exact and not has_prefix"), ["query_id", "term_no"])
-            .unionByName(prefix_ok.join(kinds.where("has_prefix and not has_exact"), ["query_id", "term_no"]))
-            .unionByName(exact_ok.join(prefix_ok, four).join(kinds.where("has_exact and has_prefix"), ["query_id", "term_no"]))
-        )
-        # phrases: all bigrams present (filtered before the shuffle), then order for 3+ tokens
-        bi_occ = (
-            d.select("table", "pk", F.explode(F.arrays_zip(F.slice("toks", 1, F.greatest(F.size("toks") - 1, F.lit(0))).alias("a"),
-                                                            F.slice("toks", 2, F.greatest(F.size("toks") - 1, F.lit(0))).alias("b"))).alias("bg"))
-            .select("table", "pk", F.col("bg.a").alias("a"), F.col("bg.b").alias("b"))
-            .join(bb(bigram_set), ["a", "b"], "left_semi")
-            .distinct()
-        )
-        phrase_cand = (
-            bi_occ.join(bb(bigram_req), ["a", "b"])
-            .groupBy("query_id", "table", "pk", "term_no")
-            .agg(F.count(F.lit(1)).alias("_m"), F.first("n_bi").alias("_n"))
-            .where(F.col("_m") == F.col("_n"))
-            .select("query_id", "table", "pk", "term_no")
-        )
-        phr_toks = bb(phrase_terms.select("query_id", "term_no", F.array_join("toks", " ").alias("phrase"), F.size("toks").alias("n_t")))
-        pc = phrase_cand.join(phr_toks, ["query_id", "term_no"])
-        two = pc.where(F.col("n_t") == 2).select("query_id", "table", "pk", "term_no")
-        more = (
-            pc.where(F.col("n_t") > 2)
-            .join(d, ["table", "pk"])
-            .where(F.contains(F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-            .select("query_id", "table", "pk", "term_no")
-        )
-        phrase_ok = two.unionByName(more)
-        matched = store_once(
-            m.where(F.col("kind") != "phrase").select("query_id", "table", "pk", "term_no", "op")
-            .unionByName(m.where(F.col("kind") == "phrase").join(phrase_ok, ["query_id", "table", "pk", "term_no"], "left_semi").select("query_id", "table", "pk", "term_no", "op"))
-        , "matched-terms")  # feeds the document rule and the scoring
-        # document-level rule
-        n_req = meta.groupBy("query_id").agg(F.count_if(F.col("op") == "+").alias("n_req"))
-        docs_ok = (
-            matched.groupBy(*KEY)
-            .agg(
-                F.count_if(F.col("op") == "+").alias("req"),
-                F.count_if(F.col("op") == "-").alias("exc"),
-                F.count_if(F.col("op") != "-").alias("pos"),
-            )
-            .join(bb(n_req), "query_id")
-            .where((F.col("req") == F.col("n_req")) & (F.col("exc") == 0) & (F.col("pos") > 0))
-            .select(*KEY)
-        )
-        # score: BM25 over the distinct tokens of matched positive terms (postings reused)
-        # only documents that pass the rule are scored (prunes the prefix expansions early)
-        pos_terms = matched.where(F.col("op") != "-").join(docs_ok, KEY, "left_semi").select("query_id", "table", "pk", "term_no")
-        tok_exact = pos_terms.join(bb(exact_req.select("query_id", "term_no", "term")), ["query_id", "term_no"])
-        tok_pre = pos_terms.join(prefix_hit, ["query_id", "table", "pk", "term_no"])
-        doc_terms = tok_exact.select(*KEY, "term").unionByName(tok_pre.select(*KEY, "term")).distinct()
-        st = corpus_stats(d.withColumn("toks", F.array_remove("toks", ""))).collect()  # one row per table: (n_docs, avgdl)
-        stats = s.df.sparkSession.createDataFrame(st, "table string, n_docs long, avgdl double")
-        dfs = post.groupBy("table", "term").agg(F.count(F.lit(1)).alias("df"))
-        idf = dfs.join(F.broadcast(stats), "table").select(
-            "table", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-        )
-        w = (
-            doc_terms.join(post, ["table", "pk", "term"])
-            .join(idf, ["table", "term"])
-            .select(
-                *KEY,
-                (F.col("idf") * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"),
-            )
-        )
-        scores = w.groupBy(*KEY).agg(F.sum("w").alias("score_ft"))
-        hits = docs_ok.join(scores, KEY, "left").withColumn("score_ft", F.coalesce("score_ft", F.lit(0.0)))
-        top = _rank_per_table(hits, cfg.k_ft, by_score=True)
-        # join first, then build snippets for the joined rows only
-        rows = s.df.withColumn("pk", s.pk_col()).join(bounded_broadcast(top.drop("table"), n_q * cfg.k_ft, 160, cfg), "pk")
-        res = rows.select(
-            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"),
-            _snippet(cols, cfg.lex_snippet_chars).alias("snippet"), "score_ft", "lex_rank",
-        )
-        out = res if out is None else out.unionByName(res)
-    return out.select(*LEX_COLUMNS)
+        index = text_index(s, cfg)
+        if index is not None:
+            hits = with_keys(index, scored_rows(index, clauses, cfg)).withColumn("table", F.lit(s.name))
+            top = rank_per_table(hits, cfg.k_ft, by_score=True)
+            found.append(with_snippets(s, top, text_columns(s, cfg.fulltext_columns), cfg))
+    return lexical_hits(found, queries)

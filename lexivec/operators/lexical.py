@@ -24,20 +24,16 @@ from pyspark.sql import functions as F
 
 from lexivec.config import SNIPPET_SEP, RetrievalConfig
 from lexivec.functions.text import TOKEN_SPLIT, tokens
-from lexivec.operators.plan_utils import bounded_broadcast
-from lexivec.operators.plan_utils import spread
-from lexivec.sources.tables import TableSpec, type_class
+from lexivec.operators.plan_utils import bounded_broadcast, counted_broadcast, spread
+from lexivec.session import store_once
+from lexivec.sources.tables import TableSpec
+from lexivec.sources.text_index import text_columns
 
 LEX_COLUMNS = ["query_id", "table", "pk", "title", "snippet", "score_ft", "lex_rank"]
 PREFILTER_TOKENS = 3
 LITERAL_PATTERNS_MAX = 256  # short patterns inlined as literal predicates (a bounded set)
 
 
-def text_columns(spec: TableSpec, n: int) -> list[str]:
-    """First ``n`` text-typed columns by ordinal."""
-    return [f.name for f in spec.fields() if type_class(f.dataType) == "text"][:n]
-
-
 def _snippet(cols: list[str], n_chars: int) -> Column:
     """Truthy values (non-NULL, non-empty) joined by ' | ', cut."""
     vals = F.filter(F.array(*[F.col(c).cast("string") for c in cols]), lambda v: v.isNotNull() & (v != ""))
@@ -52,12 +48,36 @@ def _blocks(queries: DataFrame, n: int, est_row_bytes: int, cfg: RetrievalConfig
     return [keyed.where(F.col("_blk") == b).drop("_blk") for b in range(nblocks)]
 
 
-def _rank_per_table(hits: DataFrame, k: int, by_score: bool) -> DataFrame:
+def rank_per_table(hits: DataFrame, k: int, by_score: bool) -> DataFrame:
     order = [F.round("score_ft", 6).desc(), F.col("pk").asc()] if by_score else [F.col("pk").asc()]
     w = Window.partitionBy("query_id", "table").orderBy(*order)
     return hits.withColumn("lex_rank", F.row_number().over(w)).where(F.col("lex_rank") <= k)
 
 
+def with_snippets(spec: TableSpec, top: DataFrame, cols: list[str], cfg: RetrievalConfig) -> DataFrame:
+    """``LEX_COLUMNS`` of ranked keys: the rows are joined first, then snippets are built for them."""
+    top = store_once(top.drop("table"), "ranked-keys")
+    rows = spec.df.withColumn("pk", spec.pk_col()).join(counted_broadcast(top, 160, cfg), "pk")
+    score = F.col("score_ft") if "score_ft" in top.columns else F.lit(0.0)
+    return rows.select(
+        "query_id", F.lit(spec.name).alias("table"), "pk", F.lit("").alias("title"),
+        _snippet(cols, cfg.lex_snippet_chars).alias("snippet"), score.alias("score_ft"), "lex_rank",
+    )
+
+
+def lexical_hits(found: list[DataFrame], queries: DataFrame) -> DataFrame:
+    """All tables' hits; none at all keeps the columns."""
+    if not found:
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.sparkSession.createDataFrame(
+            [], f"query_id {kind}, table string, pk string, title string, snippet string, score_ft double, lex_rank int"
+        )
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.select(*LEX_COLUMNS)
+
+
 def _inner_tokens(q: Column, min_len: int) -> Column:
     """Tokens of a (lower-cased) pattern that are delimited on both sides inside it. If the
     pattern occurs in a text, each of them is also a whole token of that text, so 'has all inner
@@ -146,7 +166,7 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
         for h in parts[1:]:
             hits = hits.unionByName(h)
         # rank keys only, then attach snippets to the <= k_ft survivors (late materialisation)
-        top = _rank_per_table(hits.withColumn("table", F.lit(s.name)), cfg.k_ft, by_score=False)
+        top = rank_per_table(hits.withColumn("table", F.lit(s.name)), cfg.k_ft, by_score=False)
         # join first, then build snippets for the joined rows only
         rows = s.df.withColumn("pk", s.pk_col()).join(bounded_broadcast(top, n_q * cfg.k_ft, 64, cfg), "pk")
         res = rows.select(
@@ -161,91 +181,6 @@ def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig
     return out.select(*LEX_COLUMNS)
 
 
-# ---------------------------------------------------------------------------
-# BM25
-# ---------------------------------------------------------------------------
-def doc_tokens(spec: TableSpec, cfg: RetrievalConfig, breaks: bool = False) -> DataFrame:
-    """``(table, pk, toks)``: tokens of the first ``fulltext_columns`` text columns, in order.
-    ``breaks`` puts an empty token after each column, so that no phrase runs across columns."""
-    cols = text_columns(spec, cfg.fulltext_columns)
-    end = F.array(F.lit("")) if breaks else F.array().cast("array<string>")
-    toks = F.flatten(F.array(*[F.concat(F.coalesce(tokens(F.col(c), cfg.min_token_len), F.array().cast("array<string>")), end) for c in cols]))
-    return spread(spec.df).select(F.lit(spec.name).alias("table"), spec.pk_col().alias("pk"), toks.alias("toks"))
-
-
-def corpus_stats(docs: DataFrame) -> DataFrame:
-    """``(table, n_docs, avgdl)`` — one tiny aggregate per table."""
-    return docs.groupBy("table").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("toks")).alias("avgdl"))
-
-
-def query_terms(queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """Distinct tokens of each query: ``(query_id, term)``."""
-    return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text"), cfg.min_token_len))).alias("term"))
-
-
-def bm25_weights(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
-    """``(query_id, table, pk, term, w)``: the BM25 weight of each query term in each document
-    that contains it.
-
-    The tokens of every document are filtered by the (broadcast) set of query terms *before*
-    they are counted, so only postings of query terms are shuffled; ``dl`` travels with them.
-    """
-    k1, b = cfg.bm25_k1, cfg.bm25_b
-    terms = bounded_broadcast(qterms.select("term").distinct(), n_q * 256, 64, cfg)
-    toks = docs.select("table", "pk", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    hit = toks.join(terms, "term", "left_semi").groupBy("table", "pk", "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl")
-    )
-    stats = corpus_stats(docs)
-    df = hit.groupBy("table", "term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats), "table").select(
-        "table", "term", "avgdl", F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    return (
-        hit.join(F.broadcast(idf), ["table", "term"])
-        .join(bounded_broadcast(qterms.select("query_id", "term").distinct(), n_q * 256, 64, cfg), "term")
-        .select(
-            "query_id",
-            "table",
-            "pk",
-            "term",
-            (
-                F.col("idf")
-                * F.col("tf")
-                * (k1 + 1.0)
-                / (F.col("tf") + k1 * (1.0 - b + b * F.col("dl") / F.col("avgdl")))
-            ).alias("w"),
-        )
-    )
-
-
-def bm25_scores(docs: DataFrame, qterms: DataFrame, cfg: RetrievalConfig, n_q: int) -> DataFrame:
-    """``(query_id, table, pk, score_ft)`` summed over the query's terms present in the doc."""
-    return bm25_weights(docs, qterms, cfg, n_q).groupBy("query_id", "table", "pk").agg(F.sum("w").alias("score_ft"))
-
-
-def bm25_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """J3 + J2 (full-text snippet: first <=3 non-empty columns) + W2 ordered by score."""
-    n_q = queries.count()
-    out = None
-    for s in specs:
-        cols = text_columns(s, cfg.fulltext_columns)
-        if not cols:
-            continue
-        docs = doc_tokens(s, cfg)
-        sc = bm25_scores(docs, query_terms(queries, cfg), cfg, n_q)
-        top = _rank_per_table(sc, cfg.k_ft, by_score=True)
-        # At most k_ft rows per query: broadcast when that bound fits, else let the planner shuffle.
-        # Join first, then build snippets for the joined rows only.
-        top_b = bounded_broadcast(top.drop("table"), n_q * cfg.k_ft, 160, cfg)
-        hits = s.df.withColumn("pk", s.pk_col()).join(top_b, "pk").select(
-            "query_id", F.lit(s.name).alias("table"), "pk", F.lit("").alias("title"),
-            _snippet(cols, cfg.lex_snippet_chars).alias("snippet"), "score_ft", "lex_rank",
-        )
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def lexical_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
     """The lexical side of hybrid retrieval: full-text queries follow the boolean grammar (a plain
     query is a set of optional words); otherwise LIKE."""

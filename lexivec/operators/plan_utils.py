@@ -1,4 +1,4 @@
-"""Physical-plan helpers: broadcasting only behind a proven size bound."""
+"""Physical-plan helpers: broadcasting only behind a proven or counted size bound."""
 
 from __future__ import annotations
 
@@ -17,6 +17,12 @@ def bounded_broadcast(df: DataFrame, max_rows: int, row_bytes: int, cfg: Retriev
     return df
 
 
+def counted_broadcast(df: DataFrame, row_bytes: int, cfg: RetrievalConfig) -> DataFrame:
+    """``broadcast(df)`` when its rows, counted, times ``row_bytes`` fit the budget; otherwise the
+    plain frame (shuffle join). ``df`` is a stored table or a cheap projection of one."""
+    return bounded_broadcast(df, df.count(), row_bytes, cfg)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin rebalance before CPU-heavy per-row work (chunking, tokenising, embedding),
     but only when the input's size gives fewer file splits than the cluster can run at once, e.g. a

@@ -9,7 +9,8 @@ from lexivec.functions.text import tokens
 from lexivec.functions.vectors import norm
 from lexivec.operators.index_build import build_chunks
 from lexivec.operators.embedding import HashingEmbedder, embed_queries
-from lexivec.operators.lexical import bm25_search, like_search
+from lexivec.operators.fulltext import bm25_search
+from lexivec.operators.lexical import like_search
 from lexivec.plans import duck as D
 from lexivec.plans.catalog import query
 from lexivec.plans.hybrid_sql import SPLIT, _embed
@@ -173,19 +174,21 @@ def query_tokens_q(spark, sf_dir):
 
 
 def _boolean_queries(spark, sf_dir):
-    """One boolean query per benchmark passage, by rule from its first six tokens:
-    ``+t1 t2 "t3 t4" p5* -t6`` (p5 = first three characters of t5)."""
+    """One boolean query per benchmark passage, by rule from all its tokens:
+    ``+t1 t2 "t3 t4" p5* -t6 t7 t8 ...`` (p5 = first three characters of t5); parts that a short
+    passage lacks are left out."""
     t = tokens(F.col("text"))
 
     def at(i):
         return F.try_element_at(t, F.lit(i))
 
-    q = F.concat(
-        F.lit("+"), at(1), F.lit(" "), at(2), F.lit(' "'), at(3), F.lit(" "), at(4), F.lit('" '),
-        F.substring(at(5), 1, 3), F.lit("* -"), at(6),
+    q = F.concat_ws(
+        " ",
+        F.concat(F.lit("+"), at(1)), at(2), F.concat(F.lit('"'), at(3), F.lit(" "), at(4), F.lit('"')),
+        F.concat(F.substring(at(5), 1, 3), F.lit("*")), F.concat(F.lit("-"), at(6)),
+        F.array_join(F.slice(t, 7, F.greatest(F.size(t) - 6, F.lit(0))), " "),
     )
-    b = read_table(spark, sf_dir, "benchmark")
-    return b.where(F.size(t) >= 6).select(F.col("item_id").alias("query_id"), q.alias("text"))
+    return read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), q.alias("text"))
 
 
 @query(
@@ -194,21 +197,22 @@ def _boolean_queries(spark, sf_dir):
 WITH dt AS (SELECT doc_id::VARCHAR AS pk, {_toks('text', 1)} || {_toks('lang', 1)} || {_toks('source', 1)} AS toks FROM documents),
 st AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM dt),
 bq AS (SELECT item_id AS query_id, {_toks('text')} AS t FROM benchmark),
-q AS (SELECT query_id, t[1] AS t1, t[2] AS t2, t[3] AS t3, t[4] AS t4, substr(t[5], 1, 3) AS p5, t[6] AS t6
-      FROM bq WHERE len(t) >= 6),
+q AS (SELECT query_id, t[1] AS t1, t[2] AS t2, t[3] AS t3, t[4] AS t4, substr(t[5], 1, 3) AS p5, t[6] AS t6, t[7:] AS more
+      FROM bq),
 post AS (SELECT pk, t AS term, count(*) AS tf, any_value(dl) AS dl
          FROM (SELECT pk, len(toks) AS dl, unnest(toks) AS t FROM dt) GROUP BY pk, t),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 wt AS (SELECT pk, term, ln(1 + (st.n_docs - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1.0)
                         / (tf + 1.2 * (1.0 - 0.75 + 0.75 * dl / st.avgdl)) AS w
        FROM post JOIN dfs USING (term), st),
-m AS (SELECT q.*, d.pk, d.toks FROM q JOIN dt d ON list_contains(d.toks, q.t1) AND NOT list_contains(d.toks, q.t6)),
+m AS (SELECT q.*, d.pk, d.toks FROM q JOIN dt d ON list_contains(d.toks, q.t1) AND NOT coalesce(list_contains(d.toks, q.t6), false)),
 terms AS (
   SELECT query_id, pk, t1 AS term FROM m
   UNION SELECT query_id, pk, t2 FROM m WHERE list_contains(toks, t2)
   UNION SELECT query_id, pk, t3 FROM m WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || t3 || ' ' || t4 || ' ')
   UNION SELECT query_id, pk, t4 FROM m WHERE contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || t3 || ' ' || t4 || ' ')
-  UNION SELECT query_id, pk, tok FROM (SELECT query_id, pk, p5, unnest(toks) AS tok FROM m) WHERE starts_with(tok, p5)),
+  UNION SELECT query_id, pk, tok FROM (SELECT query_id, pk, p5, unnest(toks) AS tok FROM m) WHERE starts_with(tok, p5)
+  UNION SELECT query_id, pk, tok FROM (SELECT query_id, pk, toks, unnest(more) AS tok FROM m) WHERE list_contains(toks, tok)),
 sc AS (SELECT query_id, pk, sum(w) AS score FROM terms JOIN wt USING (pk, term) GROUP BY query_id, pk),
 hits AS (SELECT m.query_id, m.pk, round(coalesce(sc.score, 0.0), 6) AS score_ft FROM m LEFT JOIN sc USING (query_id, pk))
 SELECT * FROM (
