@@ -40,7 +40,7 @@ from lexivec.llm.common import hold_memo, save
 #: Pairs whose counts every task holds (17 bytes each).
 HEAVY = 500_000
 #: Bytes of pieces that a worker remembers in each of two generations, and the longest such piece.
-MEMO_BYTES = 64 << 20
+MEMO_BYTES = 150 << 20
 MEMO_PIECE = 256
 
 #: A space after a character that is no white space, with something behind it.
