@@ -89,6 +89,8 @@ class Aligner:
         self.a.no_truncation()
         self.a.no_padding()
         self.bytes_a = {i: bytes(letters[c] for c in t) for t, i in data["model"]["vocab"].items()}
+        if not {bytes([x]) for x in range(256)} <= set(self.bytes_a.values()):
+            raise ValueError("A must have a token for every byte")
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.size = self.b.get_piece_size()
         pieces = [self.b.id_to_piece(i) for i in range(self.size)]
@@ -111,11 +113,12 @@ class Aligner:
         for start in range(0, len(pieces), 2000):
             part = pieces[start : start + 2000]
             of_a = self.a.encode_batch([" " + p for p in part], add_special_tokens=False)
-            of_b = self.b.encode(part, return_type="proto", num_threads=1)
+            protos = self.b.encode(part, return_type="proto", num_threads=1)
             spelt, all_a, all_b = [], [], []
-            for p, a, b in zip(part, of_a, of_b, strict=True):
-                ids_a, ids_b = a.ids, [x.id for x in b.pieces]
-                ends = self._ends(" " + p, ids_a, a.offsets, ids_b, b.pieces)
+            for p, a, b in zip(part, of_a, protos, strict=True):
+                ids_a, of_b = a.ids, [(x.id, x.begin, x.end) for x in b.pieces]
+                ids_b = [i for i, _, _ in of_b]
+                ends = self._ends(" " + p, ids_a, a.offsets, ids_b, of_b)
                 if ends is None:
                     yield p, None
                 else:
@@ -127,15 +130,16 @@ class Aligner:
     def _ends(self, text: str, ids_a, offsets, ids_b, spans) -> tuple[list[int], list[int]] | None:
         """Bytes where the tokens of A and of B end; None when they do not spell the text."""
         whole = text.encode()
-        own_a, own_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-        if b"".join(own_a) != whole or b"".join(own_b) != whole:
+        own_b = [self.bytes_b[i] for i in ids_b]
+        if b"".join(own_b) != whole:  # A has every byte and always spells
             return None
         # B's spans are of the text without the space that B adds in front
         if len(whole) == len(text):  # a character is a byte: the spans' ends are all there is
-            return [e for _, e in offsets], [x.end + 1 for x in spans]
+            return [e for _, e in offsets], [e + 1 for _, _, e in spans]
+        own_a = [self.bytes_a[i] for i in ids_a]
         place = [0, *accumulate(len(c.encode()) for c in text)]
         ends_a = byte_ends([(place[s], place[e]) for s, e in offsets], own_a)
-        ends_b = byte_ends([(x.begin + 1 if n else 0, x.end + 1) for n, x in enumerate(spans)], own_b)
+        ends_b = byte_ends([(s + 1 if n else 0, e + 1) for n, (_, s, e) in enumerate(spans)], own_b)
         return None if ends_a is None or ends_b is None else (ends_a, ends_b)
 
     def _groups(self, all_a: list[tuple[list[int], list[int]]], all_b: list[tuple[list[int], list[int]]]) -> Iterator[Piece]:
