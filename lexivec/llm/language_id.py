@@ -347,6 +347,7 @@ class Scorer:
 
         self.ids: dict[str, int] = defaultdict(count().__next__)
         self.logs = np.zeros((0, len(self.model.langs)))
+        self.chars = np.zeros(0)
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs = self.model.langs
@@ -360,19 +361,79 @@ class Scorer:
         if langs and fresh:
             new = [forward(self.model, [w.encode() for w in fresh[i : i + FORWARD_WORDS]]) for i in range(0, len(fresh), FORWARD_WORDS)]
             self.logs = np.concatenate([self.logs, *new])
+            self.chars = np.concatenate([self.chars, np.fromiter(map(len, fresh), np.float64, len(fresh))])
         lettered = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts), bool, len(texts))
         told, score = [UND] * len(texts), np.zeros(len(texts))
         use = np.flatnonzero(lettered & (sizes > 0))
+        self.last = (sizes, ids, np.full(len(texts), -1))
         if langs and len(use):
             starts = np.concatenate([[0], np.cumsum(sizes)])[use]
             sums = np.add.reduceat(self.logs[ids], starts, axis=0)
             post = _posterior(sums)
             best = post.argmax(axis=1)
+            self.last[2][use] = best
             score[use] = post[np.arange(len(use)), best]
             for row, lang in zip(use, best, strict=True):
                 told[row] = langs[lang]
         return told, score
 
+    def word_fits(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Per text the log probability a character of each of its words, in the text's language;
+        no words for texts without a language."""
+        self(texts)
+        sizes, ids, best = self.last
+        ends = np.cumsum(sizes)
+        own = [ids[e - n : e] for n, e in zip(sizes, ends, strict=True)]
+        return [self.logs[i, b] / self.chars[i] if b >= 0 else np.zeros(0) for i, b in zip(own, best, strict=True)]
+
+
+#: A word is foreign to a language when a character of it costs so many times what one of a usual
+#: word does; a text is rejected when less than this share of its words is not foreign.
+FOREIGN = 3.0
+LEAST_SHARE = 0.4
+
+
+def usual_cost(labelled: DataFrame, model: Unigrams) -> float | None:
+    """The median over labelled rows of each text's median word cost (log probability a character)."""
+    added = {"usual": "double"}
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        scorer = Scorer(shared.value)
+
+        def step(rows: pa.RecordBatch) -> list[pa.Array]:
+            fits = scorer.word_fits(rows.column(0).to_pylist())
+            return [*rows.columns, pa.array([float(np.median(f)) if len(f) else None for f in fits], pa.float64())]
+
+        return step
+
+    found = map_batches(labelled.select(F.col("text").cast("string").alias("text")), make, added)
+    return found.agg(F.percentile_approx("usual", 0.5)).first()[0]
+
+
+def in_learned_languages(docs: DataFrame, model: Unigrams, labelled: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language: at least ``LEAST_SHARE`` of its words
+    cost at most ``FOREIGN`` times the usual, which rows of ``labelled`` (left out of the fit) tell.
+    Short texts, numbers and addresses among words do not matter that way. Where nothing could be
+    learned, every text with a letter stays."""
+    usual = usual_cost(labelled, model) if model.langs else None
+    if usual is None:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    added = {"__share": "double"}
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def make():
+        scorer = Scorer(shared.value)
+
+        def step(rows: pa.RecordBatch) -> list[pa.Array]:
+            fits = scorer.word_fits(rows.column(at).to_pylist())
+            return [*rows.columns, pa.array([float((f >= FOREIGN * usual).mean()) if len(f) else 0.0 for f in fits], pa.float64())]
+
+        return step
+
+    return map_batches(docs, make, added).where(F.col("__share") >= LEAST_SHARE).drop("__share")
+
 
 def identify(docs: DataFrame, model: Unigrams, text: str = "text") -> DataFrame:
     """Add ``lang_pred`` and ``score`` to every row; the columns kept are passed through. Columns

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from corpus import awkward, documents, empty
@@ -117,3 +119,29 @@ def test_without_labels_or_rows(spark):
     rows = L.language_of_documents(documents(spark, ["some text"]).withColumn("lang", __import__("pyspark").sql.functions.lit(None).cast("string")), VOCAB).collect()
     assert [(r.lang_pred, r.score) for r in rows] == [("und", 0.0)]
     assert L.language_of_documents(empty(spark), VOCAB).collect() == []
+
+
+def test_texts_in_no_learned_language_go_and_clean_ones_stay(spark):
+    import base64
+
+    import corpus_pipeline as C
+
+    rng = random.Random(8)
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    junk = [
+        " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(20)), base64.b64encode(rng.randbytes(900)).decode(),
+        "Αυτό είναι ένα κείμενο στα ελληνικά που δεν έχει μάθει το μοντέλο " * 5, "这是一个没有空格的中文文本模型没有学过它" * 10, "a$#@%^&*()_+ {}[]|;:<>?/~` " * 20,
+    ]
+    planted = spark.createDataFrame([(10_000_000 + i, t, "en", "x", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {r.doc_id for r in C.language_id(spark, docs.unionByName(planted), sf).select("doc_id").collect()}
+    assert not any(i >= 10_000_000 for i in kept)
+    assert kept == {r.doc_id for r in docs.where("text rlike '\\\\p{L}'").select("doc_id").collect()}
+
+
+def test_unlabelled_tables_pass_whole(spark):
+    import corpus_pipeline as C
+
+    rows = [(i, t, None, "a", 1) for i, t in enumerate(["some text", "日本語", "123", None, "", "ein Text", "x"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in C.language_id(spark, docs, "").collect()} == {0, 1, 5, 6}
