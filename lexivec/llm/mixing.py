@@ -13,10 +13,11 @@
    ends; what is left over is filled by the largest documents that still fit (``FILL_ROUNDS``),
    and at last by one that is too large if it comes nearer.
 
-Rows of one document id, size and pattern are one unit, so reruns agree row by row whatever the
-partitioning. Defined results: null texts have size 0; documents of size 0 take nothing; a null
-source is a source of its own, last in order; null ids share one place in the seeded order; extra
-columns are not read; an empty table gives no rows.
+Rows of one document id, text and pattern are one unit and alike, so reruns agree whatever the
+partitioning; of a unit's rows any number may get one pass more. Defined results: null texts have
+size 0; documents of size 0 take nothing; a null source is a source of its own, last in order; rows
+with null ids have their places by their texts; extra columns are not read; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexivec.llm.common import batch, hold_memo, save, text_bytes
+from lexivec.llm.common import batch, columns, hold_memo, save, text_bytes
 
 MAX_PATTERNS = 100_000
 RANGES = 4096
@@ -125,16 +126,21 @@ def _route_group(group, patterns, quotas, passes):
 
 
 def word_sizes(docs: DataFrame, sources: Column) -> DataFrame:
-    """(doc_id, pattern, size): pattern is the JSON text of the sorted distinct sources."""
-    out = pa.schema([("doc_id", pa.int64()), ("pattern", pa.string()), ("size", pa.int64())])
+    """(doc_id, pattern, digest, size): pattern is the JSON text of the sorted distinct sources."""
+    out = pa.schema([("doc_id", pa.int64()), ("pattern", pa.string()), ("digest", pa.int64()), ("size", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold_memo("sizes")
         for rows in batches:
-            yield batch(out, rows.column(0), rows.column(1), [len(t.split()) for t in text_bytes(rows.column(2))])
+            yield batch(out, rows.column(0), rows.column(1), rows.column(2), [len(t.split()) for t in text_bytes(rows.column(3))])
 
     pattern = F.to_json(F.array_sort(F.array_distinct(sources)))
-    return docs.select(F.col("doc_id").cast("long"), pattern.alias("pattern"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, pattern string, size long")
+    rows = docs.select(F.col("doc_id").cast("long"), pattern.alias("pattern"), text_digest().alias("digest"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, pattern string, digest long, size long")
+
+
+def text_digest() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def names(pattern: str) -> tuple[str, ...]:
@@ -146,54 +152,62 @@ def code_point_order(sources: list[str]) -> list[str]:
     return sorted(sources, key=lambda s: (s == "null", "" if s == "null" else json.loads(s)))
 
 
+UNIT = ["doc_id", "pattern", "digest", "size"]
+
+
 def _prefix(units: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Units of the seeded prefix of each pattern: the longest whose words stay within
-    ``wanted`` (pattern, extra)."""
+    """Units (``UNIT``, more: all their rows) of the seeded prefix of each pattern: the longest whose
+    words stay within ``wanted`` (pattern, extra)."""
     ranges = units.groupBy("pattern", "range").agg(F.sum("words").alias("words"))
     order = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     below = ranges.withColumn("below", F.coalesce(F.sum("words").over(order), F.lit(0)))
     edge = below.join(F.broadcast(wanted), "pattern").withColumn("whole", F.col("below") + F.col("words") <= F.col("extra"))
     edge = edge.select("pattern", "range", "whole", (F.col("extra") - F.col("below")).alias("room")).where("room >= 0")
     near = units.join(edge, ["pattern", "range"])
-    order = Window.partitionBy("pattern", "range").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("pattern", "range").orderBy("place", "doc_id", "digest", "size").rowsBetween(Window.unboundedPreceding, 0)
     last = near.where(~F.col("whole")).withColumn("sum", F.sum("words").over(order)).where("sum <= room")
-    return near.where("whole").select("doc_id", "pattern", "size").unionByName(last.select("doc_id", "pattern", "size"))
+    return near.where("whole").select(*UNIT, F.col("rows").alias("more")).unionByName(last.select(*UNIT, F.col("rows").alias("more")))
 
 
 def select_documents(sizes: DataFrame, taken: dict[str, int], totals: dict[str, int], seed: int, rounds: int = FILL_ROUNDS) -> DataFrame:
-    """(doc_id, pattern, size, rows, copies): how often the mix takes each unit. ``taken`` and
+    """(``UNIT``, rows, copies): ``rows`` of the unit's rows are taken ``copies`` times. ``taken`` and
     ``totals``: words to take and words there, by pattern."""
     spark = sizes.sparkSession
-    place = F.xxhash64("doc_id", F.lit(seed))
-    units = sizes.groupBy("doc_id", "pattern", "size").agg(F.count(F.lit(1)).alias("rows")).withColumns(
+    place = F.xxhash64("doc_id", "digest", F.lit(seed))
+    units = sizes.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("rows")).withColumns(
         {"words": F.col("size") * F.col("rows"), "place": place, "range": F.shiftrightunsigned(place, 52).cast("int")}
     )
     units = save(units, "mix-units")
     plan = [(p, taken[p] // totals[p] if totals[p] else 0, taken[p] % totals[p] if totals[p] else 0) for p in sorted(totals)]
     wanted = spark.createDataFrame(plan, "pattern string, passes long, extra long")
     extra = save(_prefix(units.where("size > 0"), wanted.where("extra > 0").select("pattern", "extra")), "mix-prefix")
-    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.pattern == b.pattern) & (a["size"] == b["size"])
+    same = lambda a, b: a.doc_id.eqNullSafe(b.doc_id) & (a.pattern == b.pattern) & (a.digest == b.digest) & (a["size"] == b["size"])
     gaps = {p: e for p, _, e in plan if e}
-    for words in extra.join(units, same(extra, units)).groupBy(units.pattern).agg(F.sum("words").alias("w")).collect():
+    for words in extra.groupBy("pattern").agg(F.sum(F.col("size") * F.col("more")).alias("w")).collect():
         gaps[words[0]] -= words[1]
     for last in [False] * rounds + [True]:
         open_ = [(p, g) for p, g in gaps.items() if g > 0]
         if not open_:
             break
         gap = F.broadcast(spark.createDataFrame(open_, "pattern string, gap long"))
-        off = F.abs(F.col("words") - F.col("gap"))
-        fits = units.join(gap, "pattern").where(F.col("words") > 0).where(off < F.col("gap") if last else F.col("words") <= F.col("gap"))
-        fits = fits.join(extra, same(units, extra), "left_anti")
-        best = fits.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "place", "doc_id", "size", "words")).alias("b")).select("pattern", "b.*").collect()
+        # as many rows of one unit as fit; at the end one that is too large, if it comes nearer
+        n = F.lit(1).cast("long") if last else F.least("rows", F.floor(F.col("gap") / F.col("size")).cast("long"))
+        fits = units.where("size > 0").join(gap, "pattern").withColumn("more", n)
+        off = F.abs(F.col("size") * F.col("more") - F.col("gap"))
+        fits = fits.where(off < F.col("gap")).where("more > 0").join(extra, same(units, extra), "left_anti")
+        best = fits.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "place", "doc_id", "digest", "size", "more")).alias("b")).select("pattern", "b.*").collect()
         for b in best:
-            gaps[b.pattern] -= b.words
+            gaps[b.pattern] -= b["size"] * b.more
         if best:
-            extra = extra.unionByName(spark.createDataFrame([(b.doc_id, b.pattern, b.size) for b in best], "doc_id long, pattern string, size long"))
-    chosen = extra.withColumn("more", F.lit(1))
-    joined = units.join(chosen, same(units, chosen), "left").select(units.doc_id, units.pattern, units["size"], "rows", "more")
-    return joined.join(F.broadcast(wanted.select("pattern", "passes")), "pattern").select(
-        "doc_id", "pattern", "size", "rows", (F.col("passes") + F.coalesce("more", F.lit(0))).alias("copies")
+            now = spark.createDataFrame([(b.doc_id, b.pattern, b.digest, b["size"], b.more) for b in best], extra.schema)
+            extra = extra.unionByName(now)
+    joined = units.join(extra, same(units, extra), "left").select(*[units[c] for c in UNIT], "rows", F.coalesce("more", F.lit(0)).alias("more"))
+    joined = joined.join(F.broadcast(wanted.select("pattern", "passes")), "pattern")
+    parts = F.array(
+        F.struct(F.col("more").alias("rows"), (F.col("passes") + 1).alias("copies")),
+        F.struct((F.col("rows") - F.col("more")).alias("rows"), F.col("passes").alias("copies")),
     )
+    return joined.select(*UNIT, F.explode(F.filter(parts, lambda x: x.rows > 0)).alias("x")).select(*UNIT, "x.rows", "x.copies")
 
 
 def mix(docs: DataFrame, sources: Column, weights=(5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 9) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -224,6 +238,17 @@ def mix(docs: DataFrame, sources: Column, weights=(5, 2, 1), share: float = 1.5,
 def mix_documents(docs: DataFrame, sources: Column, seed: int = 9, **how) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     selection, _, _ = mix(docs, sources, seed=seed, **how)
-    many = selection.where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(many.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    # a unit is taken evenly but for one copy; only a unit that is split needs its rows numbered
+    unit = ["__id", "__digest", "__pattern"]
+    many = selection.groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.col("pattern").alias("__pattern")).agg(
+        F.min("copies").cast("int").alias("__copies"), F.max("copies").alias("__most"), F.max(F.struct("copies", "rows"))["rows"].alias("__rows")
+    ).where("__most > 0")
+    keys = {"__doc_id": F.col("doc_id").cast("long"), "__text": text_digest(), "__sources": F.to_json(F.array_sort(F.array_distinct(sources)))}
+    same = F.col("__doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__digest")) & (F.col("__sources") == F.col("__pattern"))
+    joined = docs.withColumns(keys).join(many.hint("shuffle_hash"), same)
+    even = joined.where(F.col("__most") == F.col("__copies"))
+    split = joined.where(F.col("__most") > F.col("__copies"))
+    nth = F.row_number().over(Window.partitionBy(*unit).orderBy(F.xxhash64(*columns(docs))))
+    split = split.withColumn("__copies", F.when(nth <= F.col("__rows"), F.col("__copies") + 1).otherwise(F.col("__copies"))).where("__copies > 0")
+    out = even.unionByName(split).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return out.drop(*unit, *keys, "__copies", "__most", "__rows", "__copy")

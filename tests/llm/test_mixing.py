@@ -98,3 +98,18 @@ def test_awkward_documents(spark):
     assert n[5] % 2 == 0 and max(n[i] for i in n if i not in (5,)) <= 2
     assert M.mix(empty(spark), F.array("source"))[0].collect() == []
     assert M.mix_documents(empty(spark), F.array("source")).collect() == []
+
+
+def test_null_ids_and_repeated_rows_come_near_their_targets(spark):
+    schema = "doc_id long, text string, source string"
+    rows = [(None, f"w{i} " + "x " * 9, "a") for i in range(200)] + [(7, "same " * 10, "b")] * 200 + [(i, "other " * 10, "c") for i in range(200)]
+    docs = spark.createDataFrame(rows, schema).repartition(5)
+    for weights in ((5, 2, 1), (1, 1, 3)):
+        chosen, quotas, _ = M.mix(docs, F.array("source"), weights=weights)
+        target = {r.source: r.target for r in quotas.collect()}
+        taken = {r.pattern[2]: r.words for r in chosen.groupBy("pattern").agg(F.sum(F.col("size") * F.col("rows") * F.col("copies")).alias("words")).collect()}
+        assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items()), (taken, target)
+        mixed = [M.mix_documents(d, F.array("source"), weights=weights) for d in (docs, docs.repartition(3))]
+        counts = [{r.source: r["count"] for r in m.groupBy("source").count().collect()} for m in mixed]
+        assert counts[0] == {s: n // 10 for s, n in taken.items() if n}
+        assert sorted(map(str, mixed[0].collect())) == sorted(map(str, mixed[1].collect()))
