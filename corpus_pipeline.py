@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexivec.llm.bpe import encode_documents, read_spec
 from lexivec.llm.common import columns, save, setup, table
-from lexivec.llm.language_id import UND, fit, held_out, identify
+from lexivec.llm.language_id import fit, held_out, in_learned_languages
 from lexivec.llm.line_dedup import dedup_lines
 from lexivec.llm.mixing import mix_documents
 from lexivec.llm.queries import tokenizer_path
@@ -22,10 +22,13 @@ from lexivec.llm.simhash_golay import one_of_each_group
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a learned language is found; null texts and texts without letters go."""
+    """Documents in a learned language, by the model's own cost of their words; null texts and texts
+    without letters go. A table without labels keeps every text with a letter."""
     setup(spark)
-    model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"))), tokenizer_path("piece_bpe_32k.model"))
-    return identify(docs, model).where(F.col("lang_pred") != UND).select(*columns(docs))
+    known = docs.select("doc_id", "text", "lang")
+    left_out = held_out(F.col("doc_id"))
+    model = fit(known.where(~left_out), tokenizer_path("piece_bpe_32k.model"))
+    return in_learned_languages(docs, model, known.where(left_out & F.col("lang").isNotNull())).select(*columns(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
