@@ -42,7 +42,7 @@ class RetrievalConfig:
     k_vec: int = 20
     k_ft: int = 50
     fulltext_required: bool = False  # False: LIKE lexical search, True: boolean full-text search
-    like_chars: int = 64
+    like_chars: int | None = 64  # None = the whole query
     lex_snippet_chars: int = 500
     sem_snippet_chars: int = 250
     lex_text_columns: int = 4

@@ -1,19 +1,15 @@
-"""Lexical search.
-
-Two modes, as in the original:
-
-* **LIKE** (default): a hit is a row whose *first* text column contains the first 64 chars of the
-  query, case-insensitively; wildcards in the query are not escaped (kept). ``score_ft`` = 0.
-  Plan: the corpus streams, the (size-checked) query side is broadcast, and the predicate is
-  ``contains(lower(text), lower(q))`` (JVM, no regex) when the query has no wildcard, else the
-  ``like`` of the lower-cased pattern. A query set too large to broadcast is cut into blocks by
-  a hash of the key; each block is one pass.
-* **Full text** (BM25, Robertson & Zaragoza 2009): an inverted index ``(table, pk, term,
-  tf, dl)`` is a projection + explode + partial aggregate of the corpus; a query joins its
-  terms to the postings with a broadcast of the (small) query-term side, so postings are never
-  shuffled for a search. Document frequencies are computed only for the query terms.
-
-Both emit ``lex_hits(query_id, table, pk, title, snippet, score_ft, lex_rank)`` with at most
+"""Lexical search (J1, J2, W2, X1) and the choice between its two modes.
+
+* **LIKE** (default): a hit is a row whose *first* text column contains the first ``like_chars``
+  characters of the query (None: all), case-insensitively; wildcards in the query are not escaped
+  (kept). ``score_ft`` = 0. One plan for any number of queries: equal patterns are answered once;
+  the rarest runs of three characters of a pattern give candidates from the stored index
+  (``sources.text_index``), and the pattern itself is tested on those alone. A pattern whose longest
+  literal run has one or two characters takes the rows of all runs that hold it; only patterns
+  without any literal character meet every row, as their result does.
+* **Full text**: ``operators.fulltext`` (BM25) and ``operators.boolean`` (grammar).
+
+All emit ``lex_hits(query_id, table, pk, title, snippet, score_ft, lex_rank)`` with at most
 ``k_ft`` rows per (query, table), ordered (FIX: the original limit was unordered).
 """
 
@@ -23,15 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.config import SNIPPET_SEP, RetrievalConfig
-from lexivec.functions.text import TOKEN_SPLIT, tokens
-from lexivec.operators.plan_utils import bounded_broadcast, counted_broadcast, spread
+from lexivec.operators.plan_utils import counted_broadcast
 from lexivec.session import store_once
 from lexivec.sources.tables import TableSpec
-from lexivec.sources.text_index import text_columns
+from lexivec.sources.text_index import GRAM, GramIndex, gram_index, runs_of, text_columns
 
 LEX_COLUMNS = ["query_id", "table", "pk", "title", "snippet", "score_ft", "lex_rank"]
-PREFILTER_TOKENS = 3
-LITERAL_PATTERNS_MAX = 256  # short patterns inlined as literal predicates (a bounded set)
+RAREST = 4  # runs of a pattern that a candidate must have
 
 
 def _snippet(cols: list[str], n_chars: int) -> Column:
@@ -40,14 +34,6 @@ def _snippet(cols: list[str], n_chars: int) -> Column:
     return F.substring(F.array_join(vals, SNIPPET_SEP), 1, n_chars)
 
 
-def _blocks(queries: DataFrame, n: int, est_row_bytes: int, cfg: RetrievalConfig) -> list[DataFrame]:
-    nblocks = max(1, -(-(n * est_row_bytes) // cfg.broadcast_max_bytes))
-    if nblocks == 1:
-        return [queries]
-    keyed = queries.withColumn("_blk", F.pmod(F.xxhash64("query_id"), F.lit(nblocks)))
-    return [keyed.where(F.col("_blk") == b).drop("_blk") for b in range(nblocks)]
-
-
 def rank_per_table(hits: DataFrame, k: int, by_score: bool) -> DataFrame:
     order = [F.round("score_ft", 6).desc(), F.col("pk").asc()] if by_score else [F.col("pk").asc()]
     w = Window.partitionBy("query_id", "table").orderBy(*order)
@@ -78,22 +64,6 @@ def lexical_hits(found: list[DataFrame], queries: DataFrame) -> DataFrame:
     return out.select(*LEX_COLUMNS)
 
 
-def _inner_tokens(q: Column, min_len: int) -> Column:
-    """Tokens of a (lower-cased) pattern that are delimited on both sides inside it. If the
-    pattern occurs in a text, each of them is also a whole token of that text, so 'has all inner
-    tokens' is a necessary condition of the substring test (an exact prefilter)."""
-    parts = F.split(q, TOKEN_SPLIT)
-    inner = F.when(F.size(parts) >= 3, F.slice(parts, 2, F.size(parts) - 2)).otherwise(F.array().cast("array<string>"))
-    inner = F.array_distinct(F.filter(inner, lambda t: F.length(t) >= min_len))
-    # Any subset of necessary tokens is still a necessary condition: keep the longest few
-    # (long tokens are the selective ones), so common words do not inflate the candidate join.
-    longest_first = F.array_sort(
-        inner,
-        lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0),
-    )
-    return F.slice(longest_first, 1, PREFILTER_TOKENS)
-
-
 def like_pattern(q: Column) -> Column:
     """``%q%`` as a Spark LIKE pattern, by the database's rule: a backslash makes the next
     character literal (also the closing ``%``). Spark allows it only before ``%``, ``_`` and
@@ -101,84 +71,58 @@ def like_pattern(q: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit("%"), q, F.lit("%")), r"(?s)(\\[%_\\])|\\(.)", "$1$2")
 
 
+def literal_runs(q: Column, wild: Column) -> Column:
+    """Runs of characters that every match has: the pattern between its wildcards. An escaped
+    character also ends a run, which only leaves out a condition."""
+    return F.filter(F.when(wild, F.split(q, r"(?s)\\.?|[%_]")).otherwise(F.array(q)), lambda r: r != "")
+
+
+def candidates(index: GramIndex, patterns: DataFrame, cfg: RetrievalConfig) -> DataFrame:
+    """``(p, did)``: rows that have the rarest runs of each pattern ``(p, run)`` (its literal runs)."""
+    long = patterns.where(F.length("run") >= GRAM).select("p", F.explode(F.array_distinct(runs_of("run"))).alias("gram")).distinct()
+    counted = long.join(index.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rarest = Window.partitionBy("p").orderBy("n", "gram")
+    chosen = store_once(counted.withColumn("r", F.row_number().over(rarest)).where(F.col("r") <= RAREST).drop("r", "n"), "pattern-runs")
+    n_chosen = chosen.groupBy("p").agg(F.count("*").alias("n"))
+    hits = index.grams.join(counted_broadcast(chosen, 64, cfg), "gram").groupBy("p", "did").agg(F.count("*").alias("n"))
+    all_of = hits.join(counted_broadcast(n_chosen, 32, cfg), ["p", "n"]).select("p", "did")
+    # short literals: every run that holds them; the parts of a run are its one- and two-character pieces
+    short = patterns.join(long.select("p").distinct(), "p", "left_anti")
+    short = short.groupBy("p").agg(F.max(F.struct(F.length("run"), "run")).alias("x")).select("p", F.col("x.run").alias("part"))
+    part = lambda at, n: F.substring("gram", at, n)
+    parts = F.array_distinct(F.array(part(1, 1), part(2, 1), part(3, 1), part(1, 2), part(2, 2)))
+    holding = index.counts.select("gram", F.explode(parts).alias("part")).join(counted_broadcast(short, 64, cfg), "part").select("p", "gram").distinct()
+    holding = store_once(holding, "short-runs")
+    any_of = index.grams.join(counted_broadcast(holding, 64, cfg), "gram").select("p", "did").distinct()
+    return all_of.unionByName(any_of)
+
+
 def like_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:
-    """J1 + J2 + W2 over every table that has a text column; ``queries(query_id, text)``.
-
-    Two exact paths, unioned:
-    * queries with inner tokens and no wildcard: token postings of the first text column are
-      equi-joined to the (broadcast) query tokens; a row is a candidate when it has all of them,
-      and only candidates run the substring test (no corpus x queries loop);
-    * the rest (short queries, wildcards): broadcast nested loop over the corpus, in blocks that
-      fit the broadcast budget.
-    """
-    q = queries.select(
-        "query_id",
-        F.lower(F.substring(F.coalesce(F.col("text"), F.lit("")), 1, cfg.like_chars)).alias("_q"),
-    ).withColumn("_wild", F.col("_q").rlike(r"[%_\\]"))
-    q = q.withColumn("_q", F.when(F.col("_wild"), like_pattern(F.col("_q"))).otherwise(F.col("_q")))
-    q = q.withColumn("_inner", F.when(~F.col("_wild"), _inner_tokens(F.col("_q"), cfg.min_token_len)).otherwise(F.array().cast("array<string>")))
-    indexed_q = q.where(F.size("_inner") > 0)
-    loop_q = q.where(F.size("_inner") == 0).select("query_id", "_q", "_wild")
-    # one small action on the query side decides which branches exist
-    counts = {r["k"]: r["n"] for r in q.groupBy((F.size("_inner") > 0).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_idx, n_loop = counts.get(True, 0), counts.get(False, 0)
-    n_q = n_idx + n_loop
-    qterms = indexed_q.select("query_id", F.size("_inner").alias("_n"), F.explode("_inner").alias("term"))
-    out = None
-    loop_rows = None
+    """J1 + J2 + W2 over every table that has a text column; ``queries(query_id, text)``."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    q = queries.select("query_id", F.lower(F.substring(text, 1, cfg.like_chars) if cfg.like_chars is not None else text).alias("q"))
+    q = store_once(q.withColumn("p", F.sha2("q", 256)), "like-queries")
+    patterns = q.select("p", "q").distinct().withColumn("wild", F.col("q").rlike(r"[%_\\]"))
+    patterns = patterns.withColumn("runs", literal_runs(F.col("q"), F.col("wild"))).withColumn("q", F.when(F.col("wild"), like_pattern(F.col("q"))).otherwise(F.col("q")))
+    patterns = store_once(patterns, "like-patterns")
+    matches = F.when(F.col("wild"), F.expr("lt like q")).otherwise(F.contains("lt", "q"))
+    tests = counted_broadcast(patterns.select("p", "q", "wild"), 128 + 4 * (cfg.like_chars or 1024), cfg)
+    bare = patterns.where(F.size("runs") == 0).select("p", "q", "wild")
+    any_bare = not bare.isEmpty()
+    found = []
     for s in specs:
-        cols = text_columns(s, cfg.lex_text_columns)
-        if not cols:
-            continue
-        first = cols[0]
-        corpus = spread(s.df).select(s.pk_col().alias("pk"), F.lower(F.col(first)).alias("_lt")).where(F.col("_lt").isNotNull())
-        parts = []
-        if n_idx:
-            # indexed path: candidates from token postings, substring test on candidates only
-            post = corpus.select("pk", F.explode(F.array_distinct(tokens(F.col("_lt"), cfg.min_token_len))).alias("term"))
-            cand = (
-                post.join(bounded_broadcast(qterms, n_q * PREFILTER_TOKENS, 96, cfg), "term")
-                .groupBy("query_id", "pk")
-                .agg(F.count(F.lit(1)).alias("_m"), F.first("_n").alias("_n"))
-                .where(F.col("_m") == F.col("_n"))
-                .select("query_id", "pk")
-            )
-            qtext = bounded_broadcast(indexed_q.select("query_id", "_q"), n_q, 96 + 4 * cfg.like_chars, cfg)
-            parts.append(corpus.join(cand, "pk").join(qtext, "query_id").where(F.contains("_lt", "_q")).select("query_id", "pk"))
-        # loop path: short or wildcard patterns. A small set becomes literal predicates (each
-        # pattern compiled once, evaluated in generated code, one pass over the corpus); a large
-        # set is a broadcast nested loop in budget-sized blocks.
-        if n_loop and n_loop <= LITERAL_PATTERNS_MAX:
-            if loop_rows is None:
-                loop_rows = [(r["query_id"], r["_q"], r["_wild"]) for r in loop_q.collect()]
-            lt = F.col("_lt")
-            ids = F.array(*[
-                F.when(lt.like(pat) if wild else lt.contains(pat), F.lit(qid).cast("long")) for qid, pat, wild in loop_rows
-            ])
-            parts.append(corpus.select("pk", F.explode(F.filter(ids, lambda x: x.isNotNull())).alias("query_id")))
-        elif n_loop:
-            for blk in _blocks(loop_q, n_loop, 96 + 4 * cfg.like_chars, cfg):
-                cond = F.when(F.col("_wild"), F.expr("_lt like _q")).otherwise(F.contains("_lt", "_q"))
-                parts.append(corpus.join(F.broadcast(blk), cond, "inner").select("query_id", "pk"))
-        if not parts:
+        index = gram_index(s)
+        if index is None:
             continue
-        hits = parts[0]
-        for h in parts[1:]:
-            hits = hits.unionByName(h)
-        # rank keys only, then attach snippets to the <= k_ft survivors (late materialisation)
-        top = rank_per_table(hits.withColumn("table", F.lit(s.name)), cfg.k_ft, by_score=False)
-        # join first, then build snippets for the joined rows only
-        rows = s.df.withColumn("pk", s.pk_col()).join(bounded_broadcast(top, n_q * cfg.k_ft, 64, cfg), "pk")
-        res = rows.select(
-            "query_id", "table", "pk", F.lit("").alias("title"), _snippet(cols, cfg.lex_snippet_chars).alias("snippet"),
-            F.lit(0.0).alias("score_ft"), "lex_rank",
-        )
-        out = res if out is None else out.unionByName(res)
-    if out is None:
-        return queries.sparkSession.createDataFrame(
-            [], "query_id long, table string, pk string, title string, snippet string, score_ft double, lex_rank int"
-        )
-    return out.select(*LEX_COLUMNS)
+        pairs = store_once(candidates(index, patterns.select("p", F.explode("runs").alias("run")), cfg), "like-candidates")
+        hits = index.rows.join(counted_broadcast(pairs, 80, cfg), "did").join(tests, "p").where(matches).select("p", "pk")
+        if any_bare:  # no literal character at all: such a pattern matches nearly every row
+            hits = hits.unionByName(index.rows.join(counted_broadcast(bare, 256, cfg), matches).select("p", "pk"))
+        by_key = Window.partitionBy("p").orderBy("pk")
+        top = hits.withColumn("lex_rank", F.row_number().over(by_key)).where(F.col("lex_rank") <= cfg.k_ft)
+        top = q.select("query_id", "p").join(top, "p").drop("p")
+        found.append(with_snippets(s, top, text_columns(s, cfg.lex_text_columns), cfg))
+    return lexical_hits(found, queries)
 
 
 def lexical_search(specs: list[TableSpec], queries: DataFrame, cfg: RetrievalConfig) -> DataFrame:

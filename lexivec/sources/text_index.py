@@ -1,6 +1,6 @@
-"""Stored full-text index of a table: built once per version of its rows, read by every search.
+"""Stored indexes of a table's texts: built once per version of its rows, read by every search.
 
-Four Parquet tables under one folder of the shared work folder:
+**Full text** (``text_index``): four Parquet tables under one folder of the shared work folder:
 
 * ``docs(did, pk)``: a number for every row;
 * ``postings(term, did, level, imp, pos)``: sorted by term, within a term by impact. ``imp`` is the
@@ -10,6 +10,13 @@ Four Parquet tables under one folder of the shared work folder:
 * ``terms(term, df, idf, top, head)``: the vocabulary sorted by term, so a prefix is a range;
   ``head`` is the first two characters.
 
+**Substrings** (``gram_index``) of the first text column, lower-cased:
+
+* ``rows(did, pk, lt)``: the texts;
+* ``grams(gram, did)``: the distinct runs of three characters of each text (a shorter text is a run
+  by itself), sorted by run;
+* ``terms(gram, n)``: how many texts have a run.
+
 Range partitioning by (term, did) also splits the postings of a term that is in every row.
 """
 
@@ -19,7 +26,7 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexivec.config import RetrievalConfig
@@ -122,3 +129,43 @@ def build(spec: TableSpec, cfg: RetrievalConfig, root: str) -> None:
     terms = terms.select("term", "df", idf.alias("idf"), "top", F.substring("term", 1, 2).alias("head"))
     write(terms.repartitionByRange("term").sortWithinPartitions("term"), "terms")  # its marker completes the index
     drop(spark, f"{root}/tokens")
+
+
+GRAM = 3
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    rows: DataFrame
+    grams: DataFrame
+    counts: DataFrame
+
+
+def runs_of(text: str) -> Column:
+    """All runs of ``GRAM`` characters in a text; a shorter text is one run, an empty one none."""
+    last = F.greatest(F.length(text) - GRAM, F.lit(0))
+    # the characters are an argument of the outer function, so that they are split once; a slice
+    # costs the same at any place of a long text
+    cut = lambda chars: F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.array_join(F.slice(chars, i, GRAM), ""))
+    return F.transform(F.array(F.split(text, "")), cut)[0]
+
+
+def gram_index(spec: TableSpec) -> GramIndex | None:
+    """The index of the first text column, built if it is not stored yet; None without one."""
+    cols = text_columns(spec, 1)
+    if not cols:
+        return None
+    spark = spec.df.sparkSession
+    root, complete = stored_place(spec, "gram-index", cols)
+    if not complete:
+
+        def write(df: DataFrame, name: str) -> DataFrame:
+            df.write.mode("overwrite").parquet(f"{root}/{name}")
+            return spark.read.parquet(f"{root}/{name}")
+
+        texts = spread(spec.df).select(spec.pk_col().alias("pk"), F.lower(F.col(f"`{cols[0]}`")).alias("lt")).where("lt is not null and pk is not null")
+        rows = write(texts.select(F.monotonically_increasing_id().alias("did"), "pk", "lt"), "rows")
+        grams = rows.where("lt != ''").select("did", F.explode(F.array_distinct(runs_of("lt"))).alias("gram"))
+        grams = write(grams.select("gram", "did").repartitionByRange("gram", "did").sortWithinPartitions("gram", "did"), "grams")
+        write(grams.groupBy("gram").agg(F.count("*").alias("n")), "terms")  # its marker completes the index
+    return GramIndex(*(spark.read.parquet(f"{root}/{t}") for t in ("rows", "grams", "terms")))
