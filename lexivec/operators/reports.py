@@ -1,13 +1,15 @@
 """Reports re-aimed at log / event tables (A5-A9): histograms, counters, in-flight peak, health.
 
-All are single-pass partial aggregates; nothing explodes rows or crosses them with a list.
+All are partial aggregates, the peak a segmented scan; nothing crosses rows with a list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexivec.operators.segmented import by_ranges, running_sum
+
 
 def bound_label(b: float) -> str:
     return repr(float(b))
@@ -36,34 +38,23 @@ def counters(df: DataFrame, kind: str, ts: str, unit: str = "day") -> DataFrame:
     ).select("kind", F.date_format("_w", "yyyy-MM-dd").alias("window_start"), "n")
 
 
-def inflight_peak(intervals: DataFrame, start: str, end: str, bucket_unit: str = "day") -> DataFrame:
+def inflight_peak(intervals: DataFrame, start: str, end: str, ranges: int | None = None) -> DataFrame:
     """The highest number of open intervals ``[start, end]`` and the first instant it is reached.
 
-    A global running sum is an unpartitioned window (one task). Instead: collapse the deltas per
-    instant, sum them per time bucket (few rows), prefix-sum the buckets, broadcast those offsets
-    and run the running sum per bucket. One window is not partitioned: the prefix over the buckets'
-    sums (one row a day).
+    Starts and ends are counted per instant; the running level is a two-level prefix sum over ranges of
+    instants (``segmented.running_sum``), so neither a day nor all time is one task.
     """
     ends = intervals.where(F.col(end).isNotNull())
     plus = intervals.where(F.col(start).isNotNull()).select(F.col(start).cast("timestamp").alias("t"), F.lit(1).alias("p"), F.lit(0).alias("m"))
     minus = ends.select(F.col(end).cast("timestamp").alias("t"), F.lit(0).alias("p"), F.lit(1).alias("m"))
     per_t = plus.unionByName(minus).groupBy("t").agg(F.sum("p").alias("p"), F.sum("m").alias("m"))
-    per_t = per_t.withColumn("b", F.date_trunc(bucket_unit, "t"))
-    per_b = per_t.groupBy("b").agg(F.sum(F.col("p") - F.col("m")).alias("net"))
-    # Prefix over buckets: the bucket table has one row per unit of time, tiny by construction.
-    wb = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_b.select("b", F.coalesce(F.sum("net").over(wb), F.lit(0)).alias("offset"))
-    w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    lvl = (
-        per_t.join(F.broadcast(offsets), "b")
-        .withColumn("before", F.col("offset") + F.coalesce(F.sum(F.col("p") - F.col("m")).over(w), F.lit(0)))
-        .withColumn("peak", F.col("before") + F.col("p"))
-    )
-    top = lvl.agg(F.max("peak").alias("max_inflight"))
-    first = lvl.join(F.broadcast(top), F.col("peak") == F.col("max_inflight")).agg(
-        F.first("max_inflight").alias("max_inflight"), F.min("t").alias("first_at")
+    ranged = by_ranges(per_t.withColumn("net", F.col("p") - F.col("m")), [], ["t"], ranges)
+    # an interval that ends at an instant is still open at it
+    lvl = running_sum(ranged, [], ["t"], "net", "after").select("t", (F.col("after") + F.col("m")).alias("peak"))
+    top = lvl.agg(F.max(F.struct("peak", (-F.unix_micros("t")).alias("first"))).alias("x"))
+    return top.select(
+        F.col("x.peak").cast("long").alias("max_inflight"), F.date_format(F.timestamp_micros(-F.col("x.first")), "yyyy-MM-dd HH:mm:ss").alias("first_at")
     )
-    return first.select(F.col("max_inflight").cast("long"), F.date_format("first_at", "yyyy-MM-dd HH:mm:ss").alias("first_at"))
 
 
 def index_health(index: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexivec.config import JOB_BUCKETS, LATENCY_BUCKETS, RetrievalConfig
@@ -10,6 +9,7 @@ from lexivec.functions.vectors import norm
 from lexivec.operators.embedding import HashingEmbedder, embed_queries
 from lexivec.operators.index_build import build_index
 from lexivec.operators.reports import bound_label, counters, histogram, index_health, inflight_peak
+from lexivec.operators.segmented import by_ranges, previous, running_sum
 from lexivec.plans import hybrid_sql as HS
 from lexivec.plans.catalog import query
 from lexivec.plans.q_hybrid import INDEXED_AT, run_hybrid
@@ -54,9 +54,10 @@ GROUP BY g.event_type, b.le
 )
 def job_histogram_q(spark, sf_dir):
     """The update job's bounds over the hours since a user's event before, per event type."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    e = read_table(spark, sf_dir, "events").withColumn("hours", gap / 3600000000.0)
+    order = ["us", "event_id"]
+    e = read_table(spark, sf_dir, "events").select("event_type", "user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    e = previous(by_ranges(e, ["user_id"], order), ["user_id"], order, "us", "before")
+    e = e.withColumn("hours", (F.col("us") - F.col("before")) / 3600000000.0)
     return histogram(e, "hours", tuple(JOB_BUCKETS), ["event_type"]).select("event_type", "le", "cum_count", "value_sum", "value_count")
 
 
@@ -143,6 +144,22 @@ def diagnostics_q(spark, sf_dir):
     )
 
 
+@query(
+    "segmented_scan",
+    sql="""
+SELECT event_id, user_id, round(sum(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS running,
+       round(value - lag(value) OVER w, 4) AS change
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
+""",
+)
+def segmented_scan_q(spark, sf_dir):
+    """Running sum and change of value per user over all events, heavy users spread over ranges."""
+    order = ["ts", "event_id"]
+    e = by_ranges(read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], order)
+    e = previous(running_sum(e, ["user_id"], order, "value", "running"), ["user_id"], order, "value", "before")
+    return e.select("event_id", "user_id", F.round("running", 2).alias("running"), F.round(F.col("value") - F.col("before"), 4).alias("change"))
+
+
 _CAT_CLASS = """CASE WHEN data_type = 'VARCHAR' THEN 'text'
                      WHEN data_type LIKE 'TIMESTAMP%' OR data_type = 'DATE' OR data_type LIKE 'TIME%' THEN 'temporal'
                      ELSE 'other' END"""

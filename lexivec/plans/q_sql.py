@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from lexivec.plans.catalog import query
 from lexivec.plans.sql_guard import random_rows, run_guarded
-from lexivec.sources.tables import read_table, register_views
+from lexivec.sources.tables import named_tables, read_table, register_views
 
 # (name, spark sql, duckdb sql or None = same text, params)
 SUITE: list[tuple[str, str, str | None, dict | None]] = [
@@ -218,7 +218,7 @@ SUITE: list[tuple[str, str, str | None, dict | None]] = [
 
 def _make(sql: str, params):
     def run(spark, sf_dir):
-        register_views(spark, sf_dir)
+        register_views(spark, sf_dir, named_tables(spark, sql))
         return run_guarded(spark, sql, params, limit_default=None)
 
     return run

@@ -99,6 +99,16 @@ def register_views(spark: SparkSession, sf_dir: str, names: tuple[str, ...] = AL
         read_table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
+def named_tables(spark: SparkSession, sql: str) -> tuple[str, ...]:
+    """The given tables that a statement names, by Spark's parser; all of them if it cannot tell.
+    A name that the statement itself defines may be among them, which does no harm."""
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql).toString().lower()
+    except Exception:  # the guard reports what is wrong with the statement
+        return ALL_TABLES
+    return tuple(t for t in ALL_TABLES if re.search(rf"\b{t}\b", plan))
+
+
 def allowed(table: str, allow_list: tuple[str, ...] | None) -> bool:
     """An empty list or '*' allows every table."""
     if not allow_list:

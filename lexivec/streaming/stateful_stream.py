@@ -1,86 +1,65 @@
-"""Streaming form of the keyed state machines (T3, T4, T5): ``applyInPandasWithState``.
+"""Streaming form of admission and failure bursts (T3, T4, T5): ``applyInPandasWithState``.
 
-State per key is a few numbers (bucket: tokens, last time; breaker: failures, opened_at,
-window start) kept in the state store and recovered from the checkpoint after a restart. Inside a
-micro-batch a key's rows are sorted by (time, id) before stepping; an event older than the
-state's last time counts as zero elapsed time, as in the original. With an event-time timeout
-the state of a key is dropped once it is equivalent to a fresh key's, which bounds the store.
+State per key is a few numbers in the state store, recovered from the checkpoint after a restart. A
+micro-batch's rows of a key are sorted by (time, id); an event older than the last one seen counts as
+simultaneous with it. With an event-time timeout a key's state is dropped after the pause that makes it
+a new key's, which bounds the store.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lexivec.streaming.keyed_state import FB_SCHEMA, TB_SCHEMA, FailureBurst, TokenBucket
-
-TB_STATE = "tokens double, last long"
-FB_STATE = "failures long, opened_at double, window_start double"
+from lexivec.streaming.keyed_state import FB_SCHEMA, TB_SCHEMA, FailureBurst, TokenBucket, admissions, bursts
 
+TB_STATE = "last long, complete_at double"
+FB_STATE = "last long, failures long, until double, began double"
 
-def _prep(events: DataFrame, key: str, ts: str, id_col: str, extra: list) -> DataFrame:
-    return events.select(
-        F.col(key).alias("key"),
-        F.col(ts).cast("timestamp").alias("ts"),
-        F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
-        F.col(id_col).alias("event_id"),
-        *extra,
-    )
 
+def _stream(events: DataFrame, key, ts, id_col, extra, watermark, pause: float, step: Callable, out, state_kind: str) -> DataFrame:
+    """``step(rows, times, state or None)`` gives the output columns and the new state."""
 
-def token_bucket_stream(events: DataFrame, p: TokenBucket, key="user_id", ts="ts", id_col="event_id", watermark="1 day") -> DataFrame:
     def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
+        rows = pd.concat(list(pdfs), ignore_index=True)
         if state.hasTimedOut:
             state.remove()
             return
-        pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-        st = None
-        if state.exists:
-            tokens, last = state.get
-            st = (float(tokens), int(last))
-        adm, tok = [], []
-        for us in pdf["us"].to_numpy():
-            if st is None:
-                st = p.initial(int(us))
-            st, ok = p.step(st, int(us))
-            adm.append(ok)
-            tok.append(st[0])
-        state.update((st[0], st[1]))
-        state.setTimeoutTimestamp(int(st[1] // 1000 + p.idle_reset_seconds * 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": k[0], "admitted": adm, "tokens": tok})
-
-    src = _prep(events, key, ts, id_col, []).withWatermark("ts", watermark)
-    return src.groupBy("key").applyInPandasWithState(fn, TB_SCHEMA, TB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        rows = rows.sort_values(["us", "event_id"], kind="stable")
+        last, old = (int(state.get[0]), tuple(state.get[1:])) if state.exists else (None, None)
+        us = rows["us"].to_numpy()
+        us = us if last is None else np.maximum(us, last)
+        columns, new = step(rows, us, old)
+        state.update((int(us[-1]), *new))
+        state.setTimeoutTimestamp(int(us[-1] // 1000 + pause * 1000 + 1000))
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "key": k[0], **columns})
+
+    source = events.select(
+        F.col(key).alias("key"), F.col(ts).cast("timestamp").alias("ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+        F.col(id_col).alias("event_id"), *extra,
+    ).withWatermark("ts", watermark)
+    return source.groupBy("key").applyInPandasWithState(fn, out, state_kind, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def token_bucket_stream(events: DataFrame, p: TokenBucket, key="user_id", ts="ts", id_col="event_id", watermark="1 day") -> DataFrame:
+    def step(rows, us, old):
+        admitted, tokens, complete_at = admissions(us, p, old[0] if old else None)
+        return {"admitted": admitted, "tokens": tokens}, (float(complete_at),)
+
+    return _stream(events, key, ts, id_col, [], watermark, p.pause, step, TB_SCHEMA, TB_STATE)
 
 
 def failure_bursts_stream(
     events: DataFrame, p: FailureBurst, key="user_id", ts="ts", id_col="event_id", type_col="event_type", watermark="1 day"
 ) -> DataFrame:
-    def fn(k, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if state.hasTimedOut:
-            state.remove()
-            return
-        pdf = pdf.sort_values(["us", "event_id"], kind="stable")
-        st = None
-        if state.exists:
-            f, o, w = state.get
-            st = (int(f), float(o), float(w))
-        outs, fails = [], []
-        for us, failed in zip(pdf["us"].to_numpy(), pdf["failed"].to_numpy()):
-            if st is None:
-                st = p.initial(int(us))
-            st, o = p.step(st, int(us), bool(failed))
-            outs.append(o)
-            fails.append(st[0])
-        state.update((st[0], st[1], st[2]))
-        horizon = max(p.fail_window, p.open_seconds) + 1.0
-        state.setTimeoutTimestamp(int((max(st[1], st[2]) + horizon) * 1000))
-        yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "key": k[0], "outcome": outs, "failures": fails})
+    def step(rows, us, old):
+        outcome, count, (have, until, began) = bursts(us, rows["failed"].to_numpy(bool), p, (int(old[0]), old[1], old[2]) if old else None)
+        return {"outcome": outcome, "failures": count}, (have, max(until, -1e18), began)
 
     failed = F.col(type_col).isin(list(p.failure_types)).alias("failed")
-    src = _prep(events, key, ts, id_col, [failed]).withWatermark("ts", watermark)
-    return src.groupBy("key").applyInPandasWithState(fn, FB_SCHEMA, FB_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return _stream(events, key, ts, id_col, [failed], watermark, p.pause, step, FB_SCHEMA, FB_STATE)
