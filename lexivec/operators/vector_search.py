@@ -1,21 +1,21 @@
 """Exact cosine top-k of many queries against a vector corpus.
 
-Plan shape (per query block):
-
-    corpus scan ──mapInPandas(numpy block product + local top-k)──► candidates
-                                   ▲                                   │ shuffle by query_id
-                     broadcast query block (size-checked)              ▼
-                                                        row_number() <= k  (WindowGroupLimit)
-
-* The corpus is never shuffled or collected; each task multiplies its Arrow batch (n x d)
-  by the query block (d x q) and keeps, per query, only candidates that can still be in the
-  global top-k (the local k-th score minus a rounding margin). The shuffle therefore carries
-  at most ~k rows per query per batch.
-* The query side is broadcast only when its size is under ``cfg.broadcast_max_bytes``;
-  larger query sets are cut into blocks of ``cfg.query_batch_rows`` rows (block number by
-  hash of the query key, so no driver-side collection of the whole set), each block is one
-  broadcast pass over the corpus, and the passes are unioned.
-* Ties: final order is ``round(score, 6) desc, id asc`` in both Spark and the SQL oracle.
+Two plans with the same rows:
+
+* **Few queries** (one block of at most ``query_batch_rows``, within the broadcast budget): the block is
+  broadcast and the corpus is neither shuffled nor collected. Each task multiplies its Arrow batch by the
+  block and keeps, per query, what can still be in the top k (its local k-th score less a rounding
+  margin).
+* **Many queries**: blocks meet blocks on the executors. Corpus and queries are put into at most
+  ``CELLS`` cells around corpus rows; a cell of more than ``BLOCK_ROWS`` rows is several blocks. No score
+  of two cells exceeds the cosine of what is left of the angle between their centres after both radii.
+  Every cell of queries first meets the cells with the highest bounds, which gives each query a k-th
+  score; then it meets those that can still reach the least of them, and skips the others. The driver
+  sees centres and a row per cell, never the vectors.
+
+Then ``row_number() <= k`` per query (planned as a partial and a final WindowGroupLimit). Ties: the final
+order is ``round(score, 6) desc, id asc`` in both Spark and the SQL oracle. Rows with a component that is
+not finite have no score.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexivec.functions.vectors import EPS
+from lexivec.session import store_once
 
 MARGIN = 2e-6  # candidates within this of the local k-th score are kept (rounding-safe)
 
@@ -39,7 +40,8 @@ def _normalise_rows(m: np.ndarray) -> np.ndarray:
 def _stack(vs: pd.Series, dim: int) -> np.ndarray:
     if len(vs) == 0:
         return np.zeros((0, dim), dtype=np.float64)
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in vs])
+    none = np.full(dim, np.nan)  # a null vector has no score
+    return np.vstack([none if v is None else np.asarray(v, dtype=np.float64) for v in vs])
 
 
 def _local_topk(scores: np.ndarray, k: int) -> np.ndarray:
@@ -88,10 +90,7 @@ def topk_candidates(
             s = c @ qt  # (n x q)
             if exclude_self:
                 s = np.where(ids[:, None] == q_ids[None, :], -np.inf, s)
-            mask = _local_topk(s, k)
-            if exclude_self:
-                mask &= np.isfinite(s)
-            r, j = np.nonzero(mask)
+            r, j = np.nonzero(_local_topk(s, k) & np.isfinite(s))
             yield pd.DataFrame({"query_id": q_ids[j], id_col: ids[r], "score": s[r, j]})
 
     return corpus.select(id_col, vec_col).mapInPandas(run, out_schema)
@@ -110,27 +109,125 @@ def rank_topk(cands: DataFrame, id_col: str, k: int, score_col: str = "score") -
     )
 
 
-def _query_blocks(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, cfg_max_bytes: int, batch_rows: int):
-    """Yield (ids, matrix) blocks of normalised query vectors, each under the broadcast budget.
-
-    The common case (the whole query set fits one block) is one bounded collect of at most
-    ``rows_per_block + 1`` rows; only a larger set pays for a count and per-block passes."""
-    q = queries.select(F.col(qid_col).alias("_qid"), F.col(qvec_col).alias("_qv"))
-    per_row = dim * 8 + 64
-    rows_per_block = max(1, min(batch_rows, cfg_max_bytes // per_row))
-    first = q.limit(rows_per_block + 1).toPandas()
-    if len(first) <= rows_per_block:
-        if len(first):
-            yield first["_qid"].to_numpy(), _normalise_rows(_stack(first["_qv"], dim))
-        return
-    n = q.count()
-    nblocks = max(1, -(-n // rows_per_block))
-    q = q.withColumn("_blk", F.pmod(F.xxhash64("_qid"), F.lit(nblocks)))
-    for b in range(nblocks):
-        pdf = q.where(F.col("_blk") == b).select("_qid", "_qv").toPandas()
-        if pdf.empty:
-            continue
-        yield pdf["_qid"].to_numpy(), _normalise_rows(_stack(pdf["_qv"], dim))
+CELLS = 1024
+BLOCK_ROWS = 4096
+
+
+def _cells(df: DataFrame, id_col: str, vec_col: str, dim: int, centres, normalise: bool) -> DataFrame:
+    """``(cell, id, vec, angle, norm)``: the nearest centre and the angle to it; rows without a direction
+    have the cell behind the last centre."""
+    id_kind = df.schema[id_col].dataType
+    out = T.StructType([
+        T.StructField("cell", T.IntegerType()), T.StructField("id", id_kind), T.StructField("vec", T.ArrayType(T.DoubleType())),
+        T.StructField("angle", T.DoubleType()), T.StructField("norm", T.DoubleType()),
+    ])
+
+    def run(batches):
+        middle = centres.value
+        for pdf in batches:
+            v = _stack(pdf[vec_col], dim)
+            if len(v) and v.shape[1] != dim:
+                raise ValueError(f"Vector dimension mismatch: expected {dim} got {v.shape[1]}")
+            fine = np.isfinite(v).all(axis=1)
+            v, ids = v[fine], pdf[id_col].to_numpy()[fine]
+            if len(v) == 0:
+                continue
+            unit = _normalise_rows(v)
+            v = unit if normalise else v
+            norm = np.sqrt((v * v).sum(axis=1))
+            near = unit @ middle.T
+            cell = np.where((unit * unit).sum(axis=1) < 0.5, len(middle), near.argmax(axis=1))
+            angle = np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield pd.DataFrame({"cell": cell.astype(np.int32), "id": ids, "vec": list(v), "angle": angle, "norm": norm})
+
+    return df.select(id_col, vec_col).where(F.col(vec_col).isNotNull()).mapInPandas(run, out)
+
+
+def _bounds(centres: np.ndarray, left: dict, right: dict) -> np.ndarray:
+    """Highest possible score of every pair of cells (queries' x corpus's); -inf where one is empty."""
+    n = len(centres)
+    apart = np.arccos(np.clip(centres @ centres.T, -1, 1))
+    out = np.full((n + 1, n + 1), -np.inf)
+    for q, (_, q_radius, _, _) in left.items():
+        for c, (_, c_radius, low, high) in right.items():
+            best = 0.0 if n in (q, c) else float(np.cos(max(0.0, apart[q, c] - q_radius - c_radius - 1e-7)))
+            out[q, c] = best * (high if best > 0 else low) + MARGIN
+    return out
+
+
+def _meet(corpus: DataFrame, queries: DataFrame, pairs: list[tuple[int, int]], parts: tuple[dict, dict], k: int, exclude_self: bool) -> DataFrame:
+    """Candidates ``(query_id, id, score)`` of the given pairs of cells, block by block."""
+    spark = corpus.sparkSession
+    # at most (CELLS + 1) ** 2 rows; the blocks of a cell are counted off on the executors
+    met = F.broadcast(spark.createDataFrame([(q, c, parts[0][q], parts[1][c]) for q, c in pairs], "q_cell int, c_cell int, q_parts int, c_parts int"))
+    pair = ["q_cell", "q_part", "c_cell", "c_part"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.withColumnsRenamed({"cell": "q_cell", "part": "q_part"}).join(met, "q_cell").withColumn("c_part", every("c_parts")).select(*pair, "id", "vec")
+    right = corpus.withColumnsRenamed({"cell": "c_cell", "part": "c_part"}).join(met, "c_cell").withColumn("q_part", every("q_parts")).select(*pair, "id", "vec")
+    out = T.StructType([
+        T.StructField("query_id", queries.schema["id"].dataType), T.StructField("id", corpus.schema["id"].dataType), T.StructField("score", T.DoubleType()),
+    ])
+
+    def run(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or c.empty:
+            return pd.DataFrame({"query_id": q["id"][:0], "id": c["id"][:0], "score": np.zeros(0)})
+        s = np.vstack(c["vec"].to_numpy()) @ _normalise_rows(np.vstack(q["vec"].to_numpy())).T
+        ids, q_ids = c["id"].to_numpy(), q["id"].to_numpy()
+        if exclude_self:
+            s = np.where(ids[:, None] == q_ids[None, :], -np.inf, s)
+        r, j = np.nonzero(_local_topk(s, k) & np.isfinite(s))
+        return pd.DataFrame({"query_id": q_ids[j], "id": ids[r], "score": s[r, j]})
+
+    return left.groupBy(*pair).cogroup(right.groupBy(*pair)).applyInPandas(run, out)
+
+
+def block_topk(corpus, queries, k, dim, id_col, vec_col, qid_col, qvec_col, normalise_corpus, exclude_self, report: dict | None = None) -> DataFrame:
+    """The plan for many queries. ``report`` takes the numbers of block pairs met and skipped."""
+    spark = corpus.sparkSession
+    n_cells = max(1, min(CELLS, -(-corpus.count() // BLOCK_ROWS)))
+    # centres: the corpus rows least by a hash of the id, CELLS at most
+    some = corpus.where(F.col(vec_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).select(vec_col).limit(n_cells).toArrow()
+    centres = _normalise_rows(_stack(pd.Series(some[vec_col].to_pylist()), dim))
+    centres = centres[np.isfinite(centres).all(axis=1) & ((centres * centres).sum(axis=1) > 0.5)]
+    if len(centres) == 0:
+        centres = np.eye(1, dim)
+    shared = spark.sparkContext.broadcast(centres)
+    sides, stats = [], []
+    for df, i, v, normalise in ((queries, qid_col, qvec_col, True), (corpus, id_col, vec_col, normalise_corpus)):
+        cells = store_once(_cells(df, i, v, dim, shared, normalise), "cells")
+        own = cells.groupBy("cell").agg(F.count("*"), F.max("angle"), F.min("norm"), F.max("norm")).collect()
+        stats.append({r[0]: tuple(r[1:]) for r in own})
+        size = spark.createDataFrame([(c, -(-n // BLOCK_ROWS)) for c, (n, *_) in stats[-1].items()], "cell int, parts int")
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")
+        sides.append(cells.join(F.broadcast(size), "cell").select("cell", part, "id", "vec"))
+    parts = tuple({c: -(-n // BLOCK_ROWS) for c, (n, *_) in own.items()} for own in stats)
+    bound = _bounds(centres, *stats)
+    first, later = [], []
+    for q in stats[0]:
+        enough = 0
+        for c in sorted(stats[1], key=lambda c: (-bound[q, c], c)):
+            (first if enough < 4 * (k + 1) else later).append((q, c))
+            enough += stats[1][c][0]
+    meet = lambda pairs: _meet(sides[1], sides[0], pairs, parts, k, exclude_self)
+    found = store_once(meet(first), "first-pairs")
+    nth = Window.partitionBy("query_id").orderBy(F.col("score").desc())
+    kth = found.withColumn("n", F.row_number().over(nth)).where(F.col("n") == k).select(F.col("query_id").alias("id"), "score")
+    low = sides[0].join(kth, "id", "left").groupBy("cell").agg(F.min(F.coalesce("score", F.lit(-2.0 * 1e300))).alias("low")).collect()
+    low = {r["cell"]: r["low"] for r in low}
+    left = [(q, c) for q, c in later if bound[q, c] >= low[q] - MARGIN]
+    if report is not None:
+        blocks = lambda pairs: sum(parts[0][q] * parts[1][c] for q, c in pairs)
+        report.update(met=blocks(first) + blocks(left), skipped=blocks(later) - blocks(left))
+    cands = found.unionByName(meet(left)) if left else found
+    return rank_topk(cands.withColumnRenamed("id", id_col), id_col, k)
+
+
+def _one_block(queries: DataFrame, qid_col: str, qvec_col: str, dim: int, most_rows: int):
+    """(ids, normalised matrix) of a query set of at most ``most_rows`` rows; None for a larger one."""
+    rows = queries.select(F.col(qid_col).alias("_qid"), F.col(qvec_col).alias("_qv")).limit(most_rows + 1).toArrow()
+    if rows.num_rows > most_rows:
+        return None
+    return rows["_qid"].to_numpy(), _normalise_rows(_stack(pd.Series(rows["_qv"].to_pylist(), dtype=object), dim))
 
 
 def vector_topk(
@@ -152,11 +249,11 @@ def vector_topk(
     Queries are L2-normalised (like the original search); the corpus is normalised on the fly
     only if ``normalise_corpus`` (index vectors are stored normalised).
     """
-    parts = [
-        topk_candidates(corpus, id_col, vec_col, ids, m, k, normalise_corpus, exclude_self)
-        for ids, m in _query_blocks(queries, qid_col, qvec_col, dim, max_broadcast_bytes, query_batch_rows)
-    ]
-    if not parts:
+    most = min(query_batch_rows, max_broadcast_bytes // (dim * 8 + 64))
+    block = _one_block(queries, qid_col, qvec_col, dim, most)
+    if block is None:
+        return block_topk(corpus, queries, k, dim, id_col, vec_col, qid_col, qvec_col, normalise_corpus, exclude_self)
+    if len(block[0]) == 0:
         spark: SparkSession = corpus.sparkSession
         schema = T.StructType(
             [
@@ -167,7 +264,4 @@ def vector_topk(
             ]
         )
         return spark.createDataFrame([], schema)
-    cands = parts[0]
-    for p in parts[1:]:
-        cands = cands.unionByName(p)
-    return rank_topk(cands, id_col, k)
+    return rank_topk(topk_candidates(corpus, id_col, vec_col, *block, k, normalise_corpus, exclude_self), id_col, k)

@@ -44,6 +44,31 @@ def l2_normalize_q(spark, sf_dir):
     )
 
 
+@query(
+    "vector_topk_blocks",
+    sql=f"""
+WITH {_UNIT},
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, round(list_dot_product(q.v, c.v), 6) AS score
+  FROM unit q JOIN unit c ON q.vec_id <> c.vec_id
+)
+SELECT * FROM (
+  SELECT query_id, vec_id, score,
+         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rnk
+  FROM s) WHERE rnk <= {TOPK}
+""",
+)
+def vector_topk_blocks_q(spark, sf_dir):
+    """The same by the plan for more queries than one broadcast block holds: blocks meet blocks."""
+    e = read_table(spark, sf_dir, "embeddings")
+    queries = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    r = vector_topk(
+        e.select("vec_id", "embedding"), queries, TOPK, dim=64, id_col="vec_id", vec_col="embedding", normalise_corpus=True, exclude_self=True,
+        query_batch_rows=0,
+    )
+    return r.select("query_id", "vec_id", "score", F.col("rnk").cast("long").alias("rnk"))
+
+
 @query(
     "vector_topk",
     sql=f"""
