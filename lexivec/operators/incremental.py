@@ -37,6 +37,7 @@ class UpdateResult:
     classes: DataFrame  # (table, pk, change, n_existing)
     deleted_ids: DataFrame  # (id) of entries removed
     report: DataFrame  # one row of counters
+    touched: DataFrame  # (table, pk) of rows whose entries differ from the stored ones
 
 
 def _ord(df: DataFrame) -> Column:
@@ -142,7 +143,12 @@ def incremental_update(
     new_index = untouched.select(*INDEX_COLUMNS).unionByName(kept.select(*INDEX_COLUMNS)).unionByName(added)
     deleted_ids = compact_deleted.unionByName(replaced_deleted)
     report = update_report(classes, added, compact_deleted, new_index, target_tables, cfg)
-    return UpdateResult(new_index, classes.drop("new_fp"), deleted_ids, report)
+    # unchanged rows differ where a duplicate goes or a fingerprint is filled in
+    same = st_t.join(unchanged, KEY).groupBy(*KEY, F.coalesce("chunk", F.lit("")).alias("_ck")).agg(
+        ((F.count("*") > 1) | F.bool_or(~F.col("row_fp").eqNullSafe(F.col("new_fp")))).alias("_differs")
+    )
+    differing = redo.unionByName(dropped_keys).unionByName(same.where("_differs").select(*KEY)).distinct()
+    return UpdateResult(new_index, classes.drop("new_fp"), deleted_ids, report, differing)
 
 
 def update_report(classes, added, compact_deleted, new_index, target_tables, cfg) -> DataFrame:

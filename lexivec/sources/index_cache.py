@@ -52,7 +52,7 @@ def cached_index(
         "indexed_at": indexed_at,
     }
     h = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:24]
-    store = IndexStore(spark, f"{work_dir(spark)}/index-cache/{h}")
+    store = IndexStore(spark, f"{work_dir(spark)}/index-cache-buckets/{h}")
     if store.current_version() is None:
         store.save(build_index(specs, cfg, embedder, indexed_at))
     return store.load()

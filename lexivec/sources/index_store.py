@@ -1,17 +1,18 @@
-"""Index table storage (S8, S9, S16): versioned Parquet directories in the shared work folder.
+"""Index table storage (S8, S9, S16): Parquet folders in the shared work folder.
 
-``<root>/v=<n>/`` holds one complete index version, partitioned by ``table``. A version counts
-as committed once Spark's job commit has written its ``_SUCCESS`` marker, so readers always
-see either the old or the new version, never a half-written one (the original rewrote one JSON
-file in place and deleted vectors before the new ones were embedded). Old versions are kept for
-readers in flight; pruning them is an operator decision.
+A row's entries are in one of ``BUCKETS`` hash buckets of (table, pk). ``<root>/v=<n>/bucket=<b>/`` holds
+the buckets that version n rewrote: all of them for a whole index, only those of the changed rows for an
+update. A reader takes each bucket from the last committed version that has it, once, when it loads; no
+file is ever changed, so it sees one state of the index throughout. A version is committed once Spark's
+job commit has written its ``_SUCCESS`` marker. A bucket that a version empties holds one placeholder row.
+Pruning old versions is an operator decision.
 
 Paths go through the Hadoop FileSystem API, so the same code works on HDFS / object stores.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,14 @@ INDEX_SCHEMA = T.StructType(
 )
 
 
+BUCKETS = 64
+STORED = T.StructType([*INDEX_SCHEMA.fields, T.StructField("placeholder", T.BooleanType())])
+
+
+def bucket_of() -> Column:
+    return F.pmod(F.xxhash64(F.coalesce("table", F.lit("")), F.coalesce("pk", F.lit(""))), F.lit(BUCKETS)).cast("int")
+
+
 class IndexStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -63,18 +72,37 @@ class IndexStore:
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], INDEX_SCHEMA)
 
+    def buckets(self) -> dict[int, int]:
+        """The last committed version of every bucket."""
+        out = {}
+        for v in self._versions():
+            for st in self._fs.listStatus(self._Path(self.path(v))):
+                name = st.getPath().getName()
+                if name.startswith("bucket="):
+                    out[int(name[7:])] = v
+        return out
+
     def load(self) -> DataFrame:
-        """The latest committed version, or an empty index."""
-        v = self.current_version()
-        if v is None:
+        """The committed index, or an empty one."""
+        found = self.buckets()
+        if not found:
             return self.empty()
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path(v))
+        paths = [f"{self.path(v)}/bucket={b}" for b, v in sorted(found.items())]
+        return self.spark.read.schema(STORED).parquet(*paths).where("placeholder is null").drop("placeholder")
 
-    def save(self, index: DataFrame) -> int:
-        """Write a complete new version; readers switch when the commit marker exists."""
+    def save(self, index: DataFrame, touched: DataFrame | None = None) -> int:
+        """Write ``index`` as a new version. ``touched``: the (table, pk) whose entries differ from
+        the stored ones; only their buckets are written then. Readers switch when the commit marker exists."""
         # a write that died leaves a folder without a commit marker: never reuse its number
         v = max(self._versions(committed_only=False) or [0]) + 1
-        index.select(*[f.name for f in INDEX_SCHEMA.fields]).write.mode("errorifexists").partitionBy("table").parquet(self.path(v))
+        every = list(range(BUCKETS))
+        if touched is not None and self.current_version() is not None:
+            every = sorted(r[0] for r in touched.select(bucket_of().alias("b")).distinct().collect())  # BUCKETS at most
+        rows = index.select(*INDEX_SCHEMA.names, F.lit(None).cast("boolean").alias("placeholder"), bucket_of().alias("bucket"))
+        nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in INDEX_SCHEMA.fields]
+        marks = self.spark.createDataFrame([(b,) for b in every], "bucket int").select(*nulls, F.lit(True).alias("placeholder"), "bucket")
+        rows = rows.where(F.col("bucket").isin(every)).unionByName(marks)
+        rows.hint("rebalance", "bucket").write.mode("errorifexists").partitionBy("bucket").parquet(self.path(v))
         return v
 
     def load_legacy_json(self, path: str, now_ts: int) -> DataFrame:

@@ -11,7 +11,8 @@ Every micro-batch
    index version (only new / changed rows are embedded),
 3. writes the report, with the snapshot and the batch, to the snapshot's own folder of the run log
    (T6), and
-4. writes a new index version when the report says something changed (U12).
+4. writes the buckets of the rows that differ as a new index version when the report says something
+   changed (U12).
 
 ``trigger(processingTime='60 seconds')`` is the original cadence; tests use ``availableNow``.
 A batch that is replayed after a failure keeps the report it wrote before, and its update is a
@@ -83,7 +84,7 @@ def start_index_stream(
             log = spark.createDataFrame([{**rep, "snapshot": int(snapshot), "batch_id": int(batch_id), "ts": now_ts}])
             log.write.mode("overwrite").parquet(f"{run_log}/run={int(snapshot)}")
         if rep["saved"]:
-            store.save(res.index)
+            store.save(res.index, res.touched)
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
         for m in batch.orderBy("snapshot").collect():  # one manifest file: one line a snapshot
