@@ -44,8 +44,39 @@ _TERMS = "[" + ", ".join(f"'{t}'" for t in ESSENTIAL_TERMS) + "]"
 _N = len(ESSENTIAL_TERMS)
 _HEADER = CONTEXT_HEADER.replace("\n", "' || chr(10) || '")
 
-def base(K_VEC: int = 20, K_FT: int = 50) -> str:
-    """The CTE chain for given candidate counts (final cut max(k_vec, 10))."""
+_SNIPPET = "substr(array_to_string(list_filter([d.text, d.lang, d.source], lambda v: v IS NOT NULL AND v <> ''), ' | '), 1, 500)"
+
+LIKE_LEX = f"""
+lex0 AS (
+  SELECT q.query_id, 'documents' AS "table", d.doc_id::VARCHAR AS pk, {_SNIPPET} AS snippet, 0.0::DOUBLE AS score_ft
+  FROM documents d JOIN q ON lower(d.text) LIKE '%' || lower(substr(q.text, 1, 64)) || '%'),"""
+
+
+def _words(x: str) -> str:
+    return f"coalesce(list_filter(regexp_split_to_array(lower({x}), {SPLIT}), lambda t: length(t) >= 1), [])"
+
+
+# Plain queries of the boolean grammar: every word is optional, one of several tokens needs all of them.
+FULLTEXT_LEX = f"""
+fd AS (SELECT doc_id::VARCHAR AS pk, {_words('text')} || {_words('lang')} || {_words('source')} AS toks FROM documents),
+fst AS (SELECT count(*) AS n_docs, avg(len(toks)) AS avgdl FROM fd),
+fpost AS (SELECT pk, t AS term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT pk, len(toks) AS dl, unnest(toks) AS t FROM fd) GROUP BY pk, t),
+fdf AS (SELECT term, count(*) AS df FROM fpost GROUP BY term),
+fw AS (SELECT pk, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (1.2 + 1.0) / (tf + 1.2 * (1.0 - 0.75 + 0.75 * dl / avgdl)) AS w
+       FROM fpost JOIN fdf USING (term), fst),
+fc AS (SELECT query_id, cno, unnest(list_distinct(ct)) AS term, len(list_distinct(ct)) AS n
+       FROM (SELECT query_id, cno, {_words('word')} AS ct
+             FROM (SELECT query_id, unnest(words) AS word, generate_subscripts(words, 1) AS cno
+                   FROM (SELECT query_id, regexp_split_to_array(text, '\\s+') AS words FROM q)))),
+fhit AS (SELECT query_id, cno, pk FROM fc JOIN fpost USING (term) GROUP BY query_id, cno, pk HAVING count(*) = any_value(n)),
+fterm AS (SELECT DISTINCT h.query_id, h.pk, fc.term FROM fhit h JOIN fc USING (query_id, cno)),
+fsc AS (SELECT query_id, pk, sum(w) AS score_ft FROM fterm JOIN fw USING (pk, term) GROUP BY query_id, pk),
+lex0 AS (
+  SELECT f.query_id, 'documents' AS "table", f.pk, {_SNIPPET} AS snippet, f.score_ft FROM fsc f JOIN documents d ON d.doc_id::VARCHAR = f.pk),"""
+
+
+def base(K_VEC: int = 20, K_FT: int = 50, lexical: str = LIKE_LEX) -> str:
+    """The CTE chain for given candidate counts (final cut max(k_vec, 10)) and a lexical mode."""
     FINAL_K = max(K_VEC, 10)
     return f"""
 WITH docs AS ({D.row_docs_cte('documents', 'doc_id', ['text', 'lang', 'source'])}),
@@ -61,18 +92,14 @@ sem AS (
   SELECT * FROM (SELECT query_id, id, score AS score_sem,
                         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS sem_rank FROM sc)
   WHERE sem_rank <= {K_VEC}),
-semm AS (SELECT s.*, c."table", c.pk, c.chunk FROM sem s JOIN chunks c USING (id)),
-lex0 AS (
-  SELECT q.query_id, 'documents' AS "table", d.doc_id::VARCHAR AS pk,
-         substr(array_to_string(list_filter([d.text, d.lang, d.source], lambda v: v IS NOT NULL AND v <> ''), ' | '), 1, 500) AS snippet
-  FROM documents d JOIN q ON lower(d.text) LIKE '%' || lower(substr(q.text, 1, 64)) || '%'),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "table" ORDER BY pk) AS lex_rank FROM lex0)
+semm AS (SELECT s.*, c."table", c.pk, c.chunk FROM sem s JOIN chunks c USING (id)),{lexical}
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, "table" ORDER BY round(score_ft, 6) DESC, pk) AS lex_rank FROM lex0)
         WHERE lex_rank <= {K_FT}),
 sagg AS (SELECT query_id, "table", pk, list({{'r': sem_rank, 's': score_sem, 'c': chunk}} ORDER BY sem_rank) AS chunks
          FROM semm GROUP BY query_id, "table", pk),
 j AS (
   SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l."table", s."table") AS "table", coalesce(l.pk, s.pk) AS pk,
-         l.snippet AS lsnip, l.lex_rank, coalesce(s.chunks, []) AS chunks
+         l.snippet AS lsnip, l.lex_rank, coalesce(l.score_ft, 0.0) AS score_ft, coalesce(s.chunks, []) AS chunks
   FROM lex l FULL OUTER JOIN sagg s ON l.query_id = s.query_id AND l."table" = s."table" AND l.pk = s.pk),
 merged AS (
   SELECT query_id, "table", pk,
@@ -81,7 +108,7 @@ merged AS (
            lambda acc, x: CASE WHEN x <> '' AND NOT contains(acc, x) THEN substr(acc || ' | ' || x, 1, 500) ELSE acc END,
            CASE WHEN lex_rank IS NOT NULL THEN coalesce(substr(lsnip, 1, 500), '') ELSE substr(chunks[1].c, 1, 250) END
          ) AS snippet,
-         0.0::DOUBLE AS score_ft,
+         score_ft,
          CASE WHEN lex_rank IS NOT NULL
               THEN greatest(0.0, coalesce(list_max(list_transform(chunks, lambda c: c.s)), 0.0))
               ELSE list_max(list_transform(chunks, lambda c: c.s)) END AS score_sem,
@@ -137,6 +164,9 @@ SELECT rnk, query_id, "table", pk, score, round(score_sem, 6) AS score_sem FROM
 ENRICHED_SQL = BASE + f"""
 SELECT query_id, rnk, pk, snippet, enriched FROM enriched WHERE rnk <= {TOP_ENRICH}"""
 
+FULLTEXT_RANK_SQL = base(lexical=FULLTEXT_LEX) + """
+SELECT rnk, query_id, "table", pk, round(score_ft, 6) AS score_ft, round(score_sem, 6) AS score_sem, snippet, sem_only FROM ranked"""
+
 CONTEXT_SQL = BASE + """
 SELECT query_id, rnk, line FROM ctx"""
 

@@ -41,6 +41,17 @@ def hybrid_rank_q(spark, sf_dir):
     return r.select(F.col("rnk").cast("long").alias("rnk"), "query_id", "table", "pk", "score", F.round("score_sem", 6).alias("score_sem"))
 
 
+@query("hybrid_fulltext", sql=HS.FULLTEXT_RANK_SQL)
+def hybrid_fulltext_q(spark, sf_dir):
+    """Hybrid retrieval in full-text mode: whole passages follow the boolean grammar, their scores and
+    the vector scores are blended."""
+    r = run_hybrid(spark, sf_dir, CFG.with_(fulltext_required=True))["ranked"]
+    return r.select(
+        F.col("rnk").cast("long").alias("rnk"), "query_id", "table", "pk", F.round("score_ft", 6).alias("score_ft"),
+        F.round("score_sem", 6).alias("score_sem"), "snippet", "sem_only",
+    )
+
+
 @query("hybrid_enriched", sql=HS.ENRICHED_SQL)
 def hybrid_enriched_q(spark, sf_dir):
     e = run_hybrid(spark, sf_dir)["enriched"]

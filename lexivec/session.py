@@ -104,6 +104,18 @@ def store_once(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The one folder that holds all scratch tables of this application."""
+    return f"{work_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared work folder (never a machine-local temp dir)."""
-    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh sub-folder of the application's scratch folder in the shared work folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove this application's scratch tables, for its end or between jobs: results that were not
+    written elsewhere can no longer be read afterwards. Stored indexes stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
