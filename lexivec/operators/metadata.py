@@ -1,8 +1,9 @@
-"""Metadata sanitise + flatten (P14, P15): nested values become top-level ``prefix_key`` columns.
+"""Metadata sanitise + flatten (P14, P15): nested values become flat ``prefix_key`` entries.
 
-Maps have per-row keys; their key set is taken from the caller (it is schema knowledge, e.g. the
-temporal columns of a table) or discovered with one distinct over the map keys, which is bounded
-by the number of source columns, not by the data.
+Two forms. *Long* (``metadata_entries``): rows of (key, value) per record; keys of maps are data and stay
+data, so any number of them is fine. *Wide* (``flatten_metadata``): a column per key, for maps whose keys
+are schema knowledge, given by the caller or discovered, ``MAX_MAP_KEYS`` of a map at most (else an error
+that names the long form).
 """
 
 from __future__ import annotations
@@ -39,8 +40,40 @@ def _flatten(prefix: str, c: Column, dt: T.DataType, map_keys: dict[str, list[st
         out.append(sanitize(c, dt).cast("string").alias(prefix))
 
 
+MAX_MAP_KEYS = 1000
+
+
 def discover_map_keys(df: DataFrame, col: str) -> list[str]:
-    return sorted(r[0] for r in df.select(F.explode(F.map_keys(col))).distinct().collect())
+    keys = [r[0] for r in df.select(F.explode(F.map_keys(col))).distinct().limit(MAX_MAP_KEYS + 1).collect()]
+    if len(keys) > MAX_MAP_KEYS:
+        raise ValueError(f"{col} has more than {MAX_MAP_KEYS} keys; use metadata_entries")
+    return sorted(keys)
+
+
+ENTRIES = "array<struct<key: string, value: string>>"
+
+
+def _entries(key: Column, c: Column, dt: T.DataType) -> Column:
+    """All entries below a value, by its type; nulls have none."""
+    none = F.array().cast(ENTRIES)
+    if isinstance(dt, T.StructType):
+        parts = [_entries(F.concat(key, F.lit(f"_{f.name}")), c[f.name], f.dataType) for f in dt.fields]
+        return F.concat(*parts) if parts else none
+    if isinstance(dt, T.MapType):
+        below = lambda e: _entries(F.concat(key, F.lit("_"), e["key"].cast("string")), e["value"], dt.valueType)
+        return F.coalesce(F.flatten(F.transform(F.map_entries(c), below)), none)
+    if isinstance(dt, T.ArrayType):
+        value = F.to_json(c if isinstance(dt.elementType, (T.StructType, T.MapType, T.ArrayType)) else F.transform(c, lambda e: sanitize(e, dt.elementType).cast("string")))
+    else:
+        value = sanitize(c, dt).cast("string")
+    return F.when(c.isNotNull(), F.array(F.struct(key.alias("key"), value.alias("value")))).otherwise(none)
+
+
+def metadata_entries(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, key, value)``: a row for every value below the other columns, durations as HH:MM:SS, times
+    in ISO form, arrays as JSON."""
+    parts = [_entries(F.lit(f.name), F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields if f.name not in keys]
+    return df.select(*keys, F.explode(F.concat(*parts)).alias("e")).select(*keys, "e.key", "e.value")
 
 
 def flatten_metadata(df: DataFrame, map_keys: dict[str, list[str]] | None = None) -> DataFrame:

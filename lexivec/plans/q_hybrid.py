@@ -17,11 +17,16 @@ INDEXED_AT = 1_700_000_000
 NOW = "1999-01-01 00:00:00"
 
 
+def stored_index(spark, sf_dir, cfg: RetrievalConfig = CFG):
+    """The documents index: a stored table, built once per input version (see sources.index_cache)."""
+    docs, emb = spec(spark, sf_dir, "documents"), HashingEmbedder(cfg.embed_dim, cfg.min_token_len)
+    return cached_index(spark, [docs], [table_path(sf_dir, "documents")], cfg, emb, INDEXED_AT)
+
+
 def run_hybrid(spark, sf_dir, cfg: RetrievalConfig = CFG):
     docs = spec(spark, sf_dir, "documents")
     emb = HashingEmbedder(cfg.embed_dim, cfg.min_token_len)
-    # The index is a stored table, built once per input version (see sources.index_cache).
-    index = cached_index(spark, [docs], [table_path(sf_dir, "documents")], cfg, emb, INDEXED_AT)
+    index = stored_index(spark, sf_dir, cfg)
     queries = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return hybrid_search(index, [docs], queries, cfg, emb, F.to_timestamp(F.lit(NOW)))
 

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 from lexivec.config import JOB_BUCKETS, LATENCY_BUCKETS, RetrievalConfig
 from lexivec.functions.vectors import norm
 from lexivec.operators.embedding import HashingEmbedder, embed_queries
-from lexivec.operators.index_build import build_index
 from lexivec.operators.reports import bound_label, counters, histogram, index_health, inflight_peak
 from lexivec.operators.segmented import by_ranges, previous, running_sum
 from lexivec.plans import hybrid_sql as HS
 from lexivec.plans.catalog import query
-from lexivec.plans.q_hybrid import INDEXED_AT, run_hybrid
+from lexivec.plans.q_hybrid import INDEXED_AT, run_hybrid, stored_index
 from lexivec.sources.tables import ALL_TABLES, catalog_columns, read_table, spec, text_columns_first_n
 
 CFG = RetrievalConfig()
+#: What a result says about a row.
+RESULT_KEYS = ("table", "pk", "title", "snippet", "score_ft", "score_sem", "status", "indexed_at")
 
 _LABELS = [bound_label(b) for b in LATENCY_BUCKETS]
 _HIST_VALUES = ", ".join(f"('{lab}', {b!r}::DOUBLE)" for lab, b in zip(_LABELS, LATENCY_BUCKETS)) + ", ('+Inf', 'inf'::DOUBLE)"
@@ -102,10 +103,8 @@ SELECT count(*)::BIGINT AS vectors, count(DISTINCT pk)::BIGINT AS "rows", count(
 """,
 )
 def index_health_q(spark, sf_dir):
-    """Vector count, rows, tables, dimension and last indexing time of the documents index."""
-    emb = HashingEmbedder(CFG.embed_dim)
-    idx = build_index([spec(spark, sf_dir, "documents")], CFG, emb, INDEXED_AT)
-    return index_health(idx)
+    """Vector count, rows, tables, dimension and last indexing time of the stored documents index."""
+    return index_health(stored_index(spark, sf_dir, CFG))
 
 
 @query(
@@ -116,7 +115,8 @@ nm AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qf GROUP BY query_id),
 rc AS (SELECT query_id, count(*)::BIGINT AS retrieval_count, max(CASE WHEN rnk = 1 THEN round(score_sem, 6) END) AS sample_score_sem
        FROM ranked GROUP BY query_id)
 SELECT q.query_id, 64::BIGINT AS embed_dim, round(coalesce(nm.n, 0.0), 6) AS embed_norm,
-       coalesce(rc.retrieval_count, 0)::BIGINT AS retrieval_count, rc.sample_score_sem,
+       coalesce(rc.retrieval_count, 0)::BIGINT AS retrieval_count,
+       CASE WHEN rc.retrieval_count > 0 THEN 'indexed_at,pk,score_ft,score_sem,snippet,status,table,title' END AS sample_keys, rc.sample_score_sem,
        (SELECT count(*) FROM chunks)::BIGINT AS stored_meta
 FROM q LEFT JOIN nm USING (query_id) LEFT JOIN rc USING (query_id)
 """,
@@ -133,13 +133,15 @@ def diagnostics_q(spark, sf_dir):
         F.count(F.lit(1)).cast("long").alias("retrieval_count"),
         F.max(F.when(F.col("rnk") == 1, F.round("score_sem", 6))).alias("sample_score_sem"),
     )
-    idx = build_index([spec(spark, sf_dir, "documents")], cfg, emb, INDEXED_AT).agg(F.count(F.lit(1)).cast("long").alias("stored_meta"))
+    idx = stored_index(spark, sf_dir, cfg).agg(F.count(F.lit(1)).cast("long").alias("stored_meta"))
+    keys = F.array_join(F.array(*[F.lit(c) for c in sorted(RESULT_KEYS)]), ",")  # of a query's first result, if it has one
     return (
         qv.join(rc, "query_id", "left")
         .crossJoin(F.broadcast(idx))  # attaches one scalar (a one-row aggregate)
         .select(
             "query_id", F.lit(emb.dim).cast("long").alias("embed_dim"), "embed_norm",
-            F.coalesce("retrieval_count", F.lit(0)).cast("long").alias("retrieval_count"), "sample_score_sem", "stored_meta",
+            F.coalesce("retrieval_count", F.lit(0)).cast("long").alias("retrieval_count"),
+            F.when(F.col("retrieval_count") > 0, keys).alias("sample_keys"), "sample_score_sem", "stored_meta",
         )
     )
 

@@ -8,7 +8,7 @@ from lexivec.config import RetrievalConfig
 from lexivec.functions.text import iso_text
 from lexivec.functions.timeparse import status_of
 from lexivec.operators.chunking import chunk_docs
-from lexivec.operators.metadata import flatten_metadata
+from lexivec.operators.metadata import flatten_metadata, metadata_entries
 from lexivec.operators.plan_utils import spread
 from lexivec.operators.rowdocs import row_docs
 from lexivec.plans import duck as D
@@ -89,3 +89,27 @@ FROM ({D.chunks_of('(' + D.row_docs_cte('events', 'event_id', ['event_type', 'pr
 def metadata_flatten_events_q(spark, sf_dir):
     """Same for events: microsecond timestamps keep their fraction in ISO form."""
     return _flat(spark, sf_dir, "events")
+
+
+@query(
+    "metadata_entries",
+    sql=f"""
+WITH e AS (SELECT event_id, event_type, user_id, ts, event_id % 200000 AS secs, props FROM events)
+SELECT event_id, 'meta_at' AS key, {D.ts_iso('ts')} AS value FROM e
+UNION ALL SELECT event_id, 'meta_took', printf('%02d:%02d:%02d', secs // 3600, (secs % 3600) // 60, secs % 60) FROM e
+UNION ALL SELECT event_id, 'meta_tags', '["' || event_type || '","' || user_id || '"]' FROM e
+UNION ALL SELECT event_id, 'meta_props_' || k, json_extract_string(props, '$."' || k || '"') FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM e)
+UNION ALL SELECT event_id, 'by_' || event_type || '_id', user_id::VARCHAR FROM e
+""",
+)
+def metadata_entries_q(spark, sf_dir):
+    """Nested metadata of every event in long form: a struct with a time, a duration, an array and a map
+    parsed from ``props``, and a map of structs whose keys are data."""
+    e = read_table(spark, sf_dir, "events")
+    took = F.make_dt_interval(secs=(F.col("event_id") % 200_000).cast("decimal(18,6)"))
+    meta = F.struct(
+        F.col("ts").alias("at"), took.alias("took"), F.array("event_type", F.col("user_id").cast("string")).alias("tags"),
+        F.from_json("props", "map<string,string>").alias("props"),
+    )
+    by = F.create_map(F.col("event_type"), F.struct(F.col("user_id").alias("id"), F.lit(None).cast("string").alias("none")))
+    return metadata_entries(e.select("event_id", meta.alias("meta"), by.alias("by")), ["event_id"])
