@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexivec.config import RetrievalConfig
 from lexivec.operators.chunking import fallback_id
 from lexivec.operators.embedding import HashingEmbedder
-from lexivec.operators.incremental import incremental_update, replace_rows, upsert
+from lexivec.operators.incremental import delete_ids, incremental_update, replace_rows, upsert
 from lexivec.operators.index_build import build_chunks, embed_chunks
 from lexivec.operators.rowdocs import row_docs
 from lexivec.plans import duck as D
@@ -219,3 +219,15 @@ def replace_rows_q(spark, sf_dir):
     idx = _index_v1(spark, sf_dir)
     new = embed_chunks(build_chunks([_v2(spark, sf_dir)], CFG, T2), _emb())
     return replace_rows(idx, new).select("id", "pk", "row_fp")
+
+
+@query(
+    "delete_by_id",
+    sql=f"""
+WITH c1 AS ({_chunks(_V1)}), c2 AS ({_chunks(_V2)})
+SELECT id, pk FROM c1 WHERE id NOT IN (SELECT id FROM c2)
+""",
+)
+def delete_by_id_q(spark, sf_dir):
+    """The v1 index without the entries whose IDs v2 has too."""
+    return delete_ids(_index_v1(spark, sf_dir), build_chunks([_v2(spark, sf_dir)], CFG, T2)).select("id", "pk")

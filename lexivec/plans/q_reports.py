@@ -12,7 +12,9 @@ from lexivec.operators.segmented import by_ranges, previous, running_sum
 from lexivec.plans import hybrid_sql as HS
 from lexivec.plans.catalog import query
 from lexivec.plans.q_hybrid import INDEXED_AT, run_hybrid, stored_index
-from lexivec.sources.tables import ALL_TABLES, catalog_columns, read_table, spec, text_columns_first_n
+from lexivec.sources.tables import (
+    ALL_TABLES, TABLE_KEYS, allowed, catalog_columns, column_values, key_report, read_table, resolve_index_columns, spec, text_columns_first_n,
+)
 
 CFG = RetrievalConfig()
 #: What a result says about a row.
@@ -168,30 +170,68 @@ _CAT_CLASS = """CASE WHEN data_type = 'VARCHAR' THEN 'text'
 _CAT_TABLES = ", ".join(f"'{t}'" for t in ALL_TABLES)
 
 
+_VALUES = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, column_name, n_values FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n_values)"
+    for t in ALL_TABLES
+)
+
+
 @query(
     "catalog_columns",
     sql=f"""
-SELECT table_name, ordinal_position::BIGINT AS ordinal, column_name, {_CAT_CLASS} AS type_class
-FROM information_schema.columns WHERE table_name IN ({_CAT_TABLES})
+SELECT table_name, ordinal_position::BIGINT AS ordinal, column_name, {_CAT_CLASS} AS type_class, n_values
+FROM information_schema.columns JOIN ({_VALUES}) USING (table_name, column_name) WHERE table_name IN ({_CAT_TABLES})
 """,
 )
 def catalog_columns_q(spark, sf_dir):
-    """Schema catalog of every given table (from the parquet footers)."""
+    """Schema catalog of every given table, with the non-null values that each column holds."""
     specs = [spec(spark, sf_dir, t) for t in ALL_TABLES]
-    return catalog_columns(spark, specs).drop("spark_type")
+    return catalog_columns(spark, specs).drop("spark_type").join(column_values(specs), ["table_name", "column_name"])
 
 
 @query(
     "text_columns_first4",
     sql=f"""
-SELECT table_name, ordinal, column_name, text_rank FROM (
+SELECT table_name, ordinal, column_name, text_rank, n_values FROM (
   SELECT table_name, ordinal_position::BIGINT AS ordinal, column_name,
          row_number() OVER (PARTITION BY table_name ORDER BY ordinal_position) AS text_rank
-  FROM information_schema.columns WHERE table_name IN ({_CAT_TABLES}) AND data_type = 'VARCHAR')
+  FROM information_schema.columns WHERE table_name IN ({_CAT_TABLES}) AND data_type = 'VARCHAR') JOIN ({_VALUES}) USING (table_name, column_name)
 WHERE text_rank <= 4
 """,
 )
 def text_columns_first4_q(spark, sf_dir):
-    """First four text columns per table (the lexical-search column map)."""
+    """First four text columns per table (the lexical-search column map) and the values they hold."""
     specs = [spec(spark, sf_dir, t) for t in ALL_TABLES]
-    return text_columns_first_n(catalog_columns(spark, specs), 4)
+    return text_columns_first_n(catalog_columns(spark, specs), 4).join(column_values(specs), ["table_name", "column_name"])
+
+
+_ALLOWED = ("documents", "part", "orders")
+
+
+@query(
+    "resolved_columns",
+    sql=f"""
+SELECT spec, n_values FROM (VALUES ('documents.text', 'documents', 'text'), ('part.p_name', 'part', 'p_name')) s(spec, table_name, column_name)
+JOIN ({_VALUES}) USING (table_name, column_name)
+""",
+)
+def resolved_columns_q(spark, sf_dir):
+    """Index columns from explicit names: tables off the allow-list and unknown columns drop out; with the
+    values that the others hold."""
+    specs = [spec(spark, sf_dir, t) for t in ALL_TABLES if allowed(t, _ALLOWED)]
+    names = ["documents.text", "part.p_name", "part.nope", "supplier.s_name", "orders"]
+    valid, _ = resolve_index_columns(spark, catalog_columns(spark, specs), names, _ALLOWED)
+    return valid.join(column_values(specs), ["table_name", "column_name"]).select("spec", "n_values")
+
+
+_KEYS = " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, '{"|".join(k)}' AS key, count(*)::BIGINT AS n_rows, (count(*) FILTER (WHERE {" AND ".join(f"{c} IS NOT NULL" for c in k)}))::BIGINT AS n_keyed,
+        (SELECT count(*) FROM (SELECT DISTINCT {", ".join(k)} FROM {t} WHERE {" AND ".join(f"{c} IS NOT NULL" for c in k)}))::BIGINT AS n_keys FROM {t}"""
+    for t, k in TABLE_KEYS.items()
+)
+
+
+@query("key_report", sql=f"SELECT *, n_rows = n_keys AS is_key FROM ({_KEYS})")
+def key_report_q(spark, sf_dir):
+    """The declared key of every given table against its rows."""
+    return key_report([spec(spark, sf_dir, t) for t in ALL_TABLES])

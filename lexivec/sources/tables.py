@@ -141,6 +141,35 @@ def catalog_columns(spark: SparkSession, specs: list[TableSpec], allow_list: tup
     return spark.createDataFrame(rows, CATALOG_SCHEMA)
 
 
+def column_values(specs: list[TableSpec]) -> DataFrame:
+    """``(table_name, column_name, n_values)``: non-null values of every column, one pass a table."""
+    out = None
+    for s in specs:
+        names = [f.name for f in s.fields()]
+        counts = s.df.agg(*[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
+        pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("n_values")) for i, c in enumerate(names)])
+        rows = counts.select(F.lit(s.name).alias("table_name"), F.explode(pairs).alias("x")).select("table_name", "x.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def key_report(specs: list[TableSpec]) -> DataFrame:
+    """``(table_name, key, n_rows, n_keyed, n_keys, is_key)``: does the declared key tell the rows
+    of each table apart? Rows per key are counted first, so no set of keys is held in one place."""
+    out = None
+    for s in specs:
+        null = F.lit(False)
+        for c in s.pk:
+            null = null | F.col(c).isNull()
+        per_key = s.df.select(F.when(~null, s.pk_col()).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+        row = per_key.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.when(F.col("k").isNotNull(), F.col("n"))), F.lit(0)).alias("n_keyed"),
+            F.count("k").alias("n_keys"),
+        ).select(F.lit(s.name).alias("table_name"), F.lit("|".join(s.pk)).alias("key"), "*", (F.col("n_rows") == F.col("n_keys")).alias("is_key"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def text_columns_first_n(catalog: DataFrame, n: int = 4) -> DataFrame:
     """The first ``n`` text columns by ordinal per table; tables without one drop out."""
     from pyspark.sql import Window
