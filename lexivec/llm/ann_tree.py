@@ -139,11 +139,15 @@ def build_index(rows: DataFrame, k: int, sample: int = SAMPLE, leaf_rows: int =
     copies = Window.partitionBy("v").orderBy("vec_id")
     kept = rows.distinct().withColumn("rn", F.row_number().over(copies)).where(F.col("rn") <= k + 1).drop("rn")
     kept = save(kept, "ann-rows")
-    chosen = kept.orderBy(F.xxhash64("vec_id", F.lit(8)), "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
+    total = kept.count()
+    # only rows whose hash can be among the least are sorted: six deviations more than the sample's share
+    place_of = F.xxhash64("vec_id", F.lit(8))
+    share = (sample + 6 * sample**0.5) / max(total, 1)
+    near = kept if share >= 1 else kept.where(place_of < int(share * 2**64) - 2**63)
+    chosen = near.orderBy(place_of, "vec_id").limit(sample).select("v").toArrow().column("v").combine_chunks()
     if not len(chosen):
         return kept.select(F.lit(0).cast("long").alias("leaf"), "vec_id", "v"), None, np.zeros((0, 1))
     taken = _vectors(chosen)
-    total = kept.count()
     tree = Tree(np.unique(taken, axis=0), max(LEAF_SAMPLE, int(len(taken) * leaf_rows / max(total, 1))))
     shared = rows.sparkSession.sparkContext.broadcast(tree)
     out = pa.schema([("leaf", pa.int64()), ("vec_id", pa.int64()), ("v", pa.list_(pa.float64()))])
