@@ -4,9 +4,12 @@ Documents are split by their length and then by successive bytes (in steps of gr
 a group is a single document or its texts have ended: texts that stay together to their last byte
 are equal. No digest decides equality.
 
-The recursion runs in two places by one rule. Across the cluster, groups that hold more than
-``total / GROUPS`` documents are split by their next bytes with a count per prefix, level by level;
-only the prefixes of groups that are still too large come to the driver (at most ``GROUPS`` a level).
+The recursion runs in two places by one rule. Across the cluster, groups that weigh more than a
+task's planned bytes (or than ``1 / GROUPS`` of the table, if that is less) are split by their next
+bytes with a sum per prefix, level by level. Of groups that are still too large only an eight-byte
+name comes to the driver, at most ``NAMES`` a level: two groups of one name are split alike, which
+changes where rows go and never what is equal. So the group that a task holds does not grow with the
+table (up to ``NAMES * TASK_BYTES``, 32 TB; in proportion beyond: 100 MB at 100 TB).
 What remains is dealt to tasks by its group, and each task goes on splitting in memory. Before
 that shuffle every task collapses the equal texts it has scanned, so a text that a third of all rows
 share travels once a task, and the rows it stands for follow by a join on the stand-in's row
@@ -22,6 +25,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,8 +35,12 @@ from lexivec.llm.common import batch, save, text_bytes, text_or_empty
 
 #: Prefix widths of the levels after the length; the last ones double on.
 WIDTHS = [8, 32, 128, 512, 2048, 8192, 32768]
-#: Groups over this share of the rows are split further before the shuffle.
+#: Groups over this share of the table are split further before the shuffle, however small it is.
 GROUPS = 500
+#: Names of large groups that a level may send to the driver (8 bytes each).
+NAMES = 1_000_000
+#: Bytes that a row weighs beside its text.
+ROW_BYTES = 64
 #: Text bytes a task holds before it collapses equal texts, and those planned for a task.
 HELD_BYTES = 32 << 20
 TASK_BYTES = 32 << 20
@@ -64,33 +72,48 @@ def radix_groups(texts: list[bytes]) -> list[list[int]]:
     return done
 
 
-def _large_groups(docs: DataFrame, groups: int) -> tuple[list[set], int, int]:
-    """Per level, the (length, prefix) of groups over ``total / groups`` rows; rows and bytes."""
+def group_name(size: int, prefix: bytes) -> int:
+    """The name of a group of texts with that length and prefix, as Spark's ``xxhash64`` gives it."""
+    name = xxhash.xxh64_intdigest(prefix, seed=xxhash.xxh64_intdigest(size.to_bytes(8, "little"), seed=42))
+    return name - (1 << 64) if name >> 63 else name
+
+
+def _large_groups(docs: DataFrame, groups: int, task_bytes: int = TASK_BYTES) -> tuple[list[np.ndarray], int, int]:
+    """Per level, the sorted names of the groups that weigh too much; rows and bytes of the table."""
     rows = docs.select(text_or_empty().cast("binary").alias("text")).withColumn("size", F.octet_length("text"))
     lengths = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
     total, total_bytes = lengths.agg(F.sum("n"), F.sum(F.col("n") * F.col("size").cast("long"))).first()
     if not total:
         return [], 0, 0
-    most = total // groups + 1
-    found = [(r["size"], b"") for r in lengths.where(F.col("n") > most).select("size").collect()]
-    levels = []
-    while found:
-        levels.append(set(found))
+    weight = total_bytes + ROW_BYTES * total
+    most = max(min(task_bytes, weight // groups), weight // NAMES)
+    name = lambda level: F.xxhash64(F.col("size").cast("long"), F.substring("text", 1, width(level)))
+    levels: list[np.ndarray] = []
+    open_ = rows
+    while True:
         level = len(levels)
-        open_ = [(s, p) for s, p in found if s > width(level - 1)]
-        if not open_:
+        summed = open_.groupBy(name(level).alias("name")).agg(F.sum(F.col("size") + F.lit(ROW_BYTES)).alias("weight"), F.max("size").alias("size"))
+        found = summed.where(F.col("weight") > most).select("name", "size").toPandas()
+        if found.empty:
+            break
+        levels.append(np.sort(found["name"].to_numpy(np.int64)))
+        longer = found[found["size"] > width(level)]
+        if longer.empty:
             break
-        wanted = F.broadcast(docs.sparkSession.createDataFrame(open_, "size int, before binary"))
-        near = rows.withColumn("before", F.substring("text", 1, width(level - 1))).join(wanted, ["size", "before"], "left_semi")
-        counted = near.groupBy("size", F.substring("text", 1, width(level)).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-        found = [(r["size"], bytes(r.p)) for r in counted.where(F.col("n") > most).select("size", "p").collect()]
+        wanted = F.broadcast(docs.sparkSession.createDataFrame(longer[["name"]]))
+        open_ = rows.where(F.col("size") > width(level)).withColumn("name", name(level)).join(wanted, "name", "left_semi").drop("name")
     return levels, total, total_bytes
 
 
-def route(text: bytes, levels: list[set]) -> bytes:
+def _holds(names: np.ndarray, name: int) -> bool:
+    at = int(names.searchsorted(name))
+    return at < len(names) and int(names[at]) == name
+
+
+def route(text: bytes, levels: list[np.ndarray]) -> bytes:
     """The group that a text is dealt by: its length, and its bytes as far as its groups are large."""
     level, key = 0, b""
-    while level < len(levels) and (len(text), key) in levels[level] and width(level) < len(text):
+    while level < len(levels) and _holds(levels[level], group_name(len(text), key)) and width(level) < len(text):
         level += 1
         key = text[: width(level)]
     return len(text).to_bytes(8, "big") + key
@@ -127,7 +150,7 @@ def _id_order(row: tuple) -> tuple:
 def exact_groups(docs: DataFrame, groups: int = GROUPS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
-    levels, total, total_bytes = _large_groups(docs, groups)
+    levels, total, total_bytes = _large_groups(docs, groups, task_bytes)
     shared = spark.sparkContext.broadcast(levels)
     dealt = pa.schema([("route", pa.int64()), ("own", pa.int64()), ("doc_id", pa.int64()), ("stand_in", pa.int64()), ("n", pa.int64()), ("text", pa.large_binary())])
 

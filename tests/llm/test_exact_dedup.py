@@ -52,3 +52,22 @@ def test_awkward_documents(spark):
     assert sorted(r.kept for r in fives) == [False, True] and all(r.group_size == 3 and r.keep_id == 5 for r in fives)
     assert ids[None, True].keep_id is None
     assert X.exact_groups(empty(spark)).collect() == []
+
+
+def test_names_are_sparks_and_groups_are_bounded_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    data = ["", "a", "é" * 40, "x" * 5000]
+    got = documents(spark, data).select("text", F.xxhash64(F.octet_length("text").cast("long"), F.col("text").cast("binary")).alias("h")).collect()
+    assert all(r.h == X.group_name(len(r.text.encode()), r.text.encode()) for r in got)
+
+    def largest(times):
+        rows = [f"{i % 60:02d}" + "q" * 50 + f"{i:06d}" for i in range(300 * times)]
+        levels, _, _ = X._large_groups(documents(spark, rows), 5, 4096)
+        weights = {}
+        for t in rows:
+            key = X.route(t.encode(), levels)
+            weights[key] = weights.get(key, 0) + len(t) + X.ROW_BYTES
+        return max(weights.values())
+
+    assert largest(1) <= 4096 and largest(4) <= 4096  # four times the rows: the group of a task stays
