@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,12 @@ from lexivec.llm.common import batch, hold_memo, kept, map_batches
 
 #: The byte-level pre-tokenizer's fixed pattern (contractions, letters, digits, others, spaces).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Pieces, words and pairs that a worker keeps; beyond it starts anew.
+#: Pairs that a worker keeps, and bytes of its pieces and words; beyond it starts anew.
 MEMO = 700_000
+MEMO_BYTES = 160 << 20
+#: Longer pieces and words (in characters) are not kept; what an entry takes beside its characters and ids.
+MEMO_CHARS = 256
+ENTRY_BYTES = 200
 NEVER = 1 << 60
 
 
@@ -90,6 +94,7 @@ class BytePairs:
         self.rare = regex.compile("[\u0370-\U0010ffff]").findall  # all below is assigned
         self.pieces: dict[str, bytes] = {}  # piece without the space before it -> ids with it
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     # -- which tokens can be neighbours ---------------------------------------------------------
 
@@ -175,10 +180,16 @@ class BytePairs:
         fresh = sorted(w.encode() for w in words if w not in self.words)
         for word, ids in zip(fresh, self.encode_words(fresh), strict=True):
             self.words[word.decode()] = np.array(ids, "<u4").tobytes()
+            self.held += ENTRY_BYTES + len(word) + 4 * len(ids)
+
+    def _drop_long(self, words: Iterable[str]) -> None:
+        for w in words:
+            if len(w) > MEMO_CHARS:
+                self.held -= ENTRY_BYTES + len(w.encode()) + len(self.words.pop(w))
 
     def forget(self) -> None:
         """Drop what was remembered; the vocabulary stays."""
-        self.pieces, self.words = {}, {}
+        self.pieces, self.words, self.held = {}, {}, 0
         self.neighbours.clear()
 
     # -- texts ----------------------------------------------------------------------------------
@@ -192,16 +203,17 @@ class BytePairs:
     def learn(self, texts: set[str]) -> dict[str, bytes]:
         """Ids of whole texts (or pieces), as bytes; all their words in one trie walk."""
         cut = {t: None if self._unassigned(t) else self.words_of(t) for t in texts}
-        if len(self.words) > MEMO:
-            self.words.clear()
-        self._learn_words({w for words in cut.values() if words for w in words})
+        needed = {w for words in cut.values() if words for w in words}
+        self._learn_words(needed)
         get = self.words.__getitem__
-        return {t: self._library_ids(t) if words is None else b"".join(map(get, words)) for t, words in cut.items()}
+        learnt = {t: self._library_ids(t) if words is None else b"".join(map(get, words)) for t, words in cut.items()}
+        self._drop_long(needed)
+        return learnt
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        if self.held > MEMO_BYTES:
+            self.pieces, self.words, self.held = {}, {}, 0
         parts = [(n, part) for n, text in enumerate(texts) for part in cut_specials(text, self.special)]
         found, fresh = [], set()
         for _, part in parts:
@@ -227,8 +239,9 @@ class BytePairs:
             for x in plan:
                 if isinstance(x, list):
                     for p in x:
-                        if isinstance(p, str):
-                            self.pieces[p] = learnt[" " + p]
+                        if isinstance(p, str) and len(p) <= MEMO_CHARS and p not in self.pieces:
+                            ids = self.pieces[p] = learnt[" " + p]
+                            self.held += ENTRY_BYTES + len(p) + len(ids)
                     out[n] += [learnt[" " + p] if isinstance(p, str) else p for p in x] if any(isinstance(p, str) for p in x) else x
                 else:
                     out[n].append(learnt[x] if isinstance(x, str) else x)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexivec.llm.bpe import MEMO, cut_specials, cuts_words
+from lexivec.llm.bpe import ENTRY_BYTES, MEMO_BYTES, MEMO_CHARS, cut_specials, cuts_words
 from lexivec.llm.common import batch, hold_memo, save, text_or_empty
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
@@ -51,14 +51,18 @@ class PieceCounter:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces: dict[str, int] = {}  # piece without the space before it -> tokens with it
+        self.held = 0
 
     def _library(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[int]:
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
+        if self.held > MEMO_BYTES:
+            self.forget()
         known = self.pieces.get
         total = [0] * len(texts)
         whole: list[tuple[int, str]] = []
@@ -82,6 +86,11 @@ class PieceCounter:
                 total[p] += size
         for n, inner in waiting:
             total[n] += sum(map(known, inner))
+        for p in fresh:
+            if len(p) > MEMO_CHARS:
+                del self.pieces[p]
+            else:
+                self.held += ENTRY_BYTES + len(p)
         return total
 
 
@@ -146,5 +155,5 @@ def counter_of(spec: str) -> PieceCounter:
     digest = hashlib.sha256(spec.encode()).hexdigest()
     if digest not in _COUNTERS:
         _COUNTERS[digest] = PieceCounter(spec)
-    hold_memo("token counts", lambda: [c.pieces.clear() for c in _COUNTERS.values()])
+    hold_memo("token counts", lambda: [c.forget() for c in _COUNTERS.values()])
     return _COUNTERS[digest]

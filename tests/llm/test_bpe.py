@@ -103,3 +103,18 @@ def test_awkward_documents(spark, bpe_spec, encoder):
     assert len(rows) == 10 and all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) and r["a.b"] == "x" for r in rows)
     assert B.encode_documents(empty(spark), bpe_spec).collect() == []
     assert len(B.round_trip_digests(awkward(spark), bpe_spec).collect()) == 10
+
+
+def test_memos_are_bounded_in_bytes(monkeypatch):
+    spec = B.read_spec(tokenizer_path("byte_bpe_50k.json"))
+    long = ["a" + "xyz" * 4000 + str(i) for i in range(20)]
+    texts = [f"one {w} two {w[:300]} three" for w in long]
+    encoder, counter = B.BytePairs(spec), T.PieceCounter(spec)
+    once = encoder.encode(texts)
+    sizes = counter(texts)
+    assert [len(x) // 4 for x in once] == sizes
+    assert all(len(k) <= B.MEMO_CHARS + 1 for k in [*encoder.words, *encoder.pieces, *counter.pieces])
+    assert encoder.held < 10_000 and counter.held < 10_000
+    monkeypatch.setattr(B, "MEMO_BYTES", 0)
+    monkeypatch.setattr(T, "MEMO_BYTES", 0)
+    assert encoder.encode(texts) == once and counter(texts) == sizes
