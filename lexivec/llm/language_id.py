@@ -34,8 +34,10 @@ EM_ROUNDS = 3
 SMOOTHING = 0.02
 #: Distinct words whose scores a worker keeps before it starts anew.
 WORD_CACHE = 200_000
+WORD_CACHE_CHARS = 1 << 24
 #: Words of one forward pass.
 FORWARD_WORDS = 40_000
+FORWARD_BYTES = 1 << 19
 #: Bytes of one forward-backward pass, and of the blocks in which the fit counts longer words: every
 #: byte is counted, only a piece across a block's border is not.
 EM_BYTES = 1 << 18
@@ -231,6 +233,24 @@ def in_blocks(word: bytes) -> list[bytes]:
     return [word[x:y] for x, y in zip(cuts, [*cuts[1:], len(word)], strict=True)]
 
 
+def word_logs(model: Unigrams, words: list[bytes]) -> np.ndarray:
+    """log P of each word (words x languages), ``FORWARD_WORDS`` words and ``FORWARD_BYTES`` at a time. As in
+    the fit, words of more than ``EM_BLOCK`` bytes are read in blocks, each like a word of its own, so
+    that time and memory follow their bytes."""
+    blocks = [(n, b) for n, w in enumerate(words) for b in in_blocks(w)]
+    logs = np.zeros((len(words), model.probs.shape[1]))
+    start = 0
+    while start < len(blocks):
+        end, size = start, 0
+        while end < len(blocks) and end - start < FORWARD_WORDS and size < FORWARD_BYTES:
+            size += len(blocks[end][1])
+            end += 1
+        part = blocks[start:end]
+        np.add.at(logs, [n for n, _ in part], forward(model, [b for _, b in part]))
+        start = end
+    return logs
+
+
 def count_uses(model: Unigrams, lang: int, words: list[bytes], weights: list[float]) -> np.ndarray:
     """Expected uses of each piece in weighted words of one language, ``EM_BYTES`` at a time."""
     one = Unigrams([model.langs[lang]], model.trie, model.probs[:, [lang]])
@@ -351,7 +371,7 @@ class Scorer:
 
     def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         langs = self.model.langs
-        if len(self.ids) > WORD_CACHE:
+        if len(self.ids) > WORD_CACHE or self.chars.sum() > WORD_CACHE_CHARS:
             self.reset()
         known = len(self.ids)
         split = [(t or "").lower().split() for t in texts]
@@ -359,8 +379,7 @@ class Scorer:
         ids = np.fromiter((i for words in split for i in map(self.ids.__getitem__, words)), np.int64, int(sizes.sum()))
         fresh = list(self.ids)[known:]
         if langs and fresh:
-            new = [forward(self.model, [w.encode() for w in fresh[i : i + FORWARD_WORDS]]) for i in range(0, len(fresh), FORWARD_WORDS)]
-            self.logs = np.concatenate([self.logs, *new])
+            self.logs = np.concatenate([self.logs, word_logs(self.model, [w.encode() for w in fresh])])
             self.chars = np.concatenate([self.chars, np.fromiter(map(len, fresh), np.float64, len(fresh))])
         lettered = np.fromiter((any(map(str.isalpha, t)) if t else False for t in texts), bool, len(texts))
         told, score = [UND] * len(texts), np.zeros(len(texts))

@@ -145,3 +145,17 @@ def test_unlabelled_tables_pass_whole(spark):
     rows = [(i, t, None, "a", 1) for i, t in enumerate(["some text", "日本語", "123", None, "", "ein Text", "x"])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in C.language_id(spark, docs, "").collect()} == {0, 1, 5, 6}
+
+
+def test_long_words_are_read_in_blocks(random_model):
+    import time
+
+    short = [b"there", b"on", "größer".encode()]
+    assert np.allclose(L.word_logs(random_model, short), L.forward(random_model, short))
+    word = b"abcdefgh" * 125_000
+    start = time.time()
+    got = L.word_logs(random_model, [b"ab", word])
+    assert time.time() - start < 30 and np.isfinite(got).all()
+    part = L.word_logs(random_model, [word[:40_000]])
+    assert np.allclose(part, L.forward(random_model, [word[:40_000]]), rtol=1e-2)
+    assert np.allclose(got[1], part * 25, rtol=1e-2)
