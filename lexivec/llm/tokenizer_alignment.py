@@ -116,8 +116,8 @@ class Aligner:
             protos = self.b.encode(part, return_type="proto", num_threads=1)
             spelt, all_a, all_b = [], [], []
             for p, a, b in zip(part, of_a, protos, strict=True):
-                ids_a, of_b = a.ids, [(x.id, x.begin, x.end) for x in b.pieces]
-                ids_b = [i for i, _, _ in of_b]
+                of_b = list(b.pieces)
+                ids_a, ids_b = a.ids, [x.id for x in of_b]
                 ends = self._ends(" " + p, ids_a, a.offsets, ids_b, of_b)
                 if ends is None:
                     yield p, None
@@ -135,11 +135,11 @@ class Aligner:
             return None
         # B's spans are of the text without the space that B adds in front
         if len(whole) == len(text):  # a character is a byte: the spans' ends are all there is
-            return [e for _, e in offsets], [e + 1 for _, _, e in spans]
+            return [e for _, e in offsets], [x.end + 1 for x in spans]
         own_a = [self.bytes_a[i] for i in ids_a]
-        place = [0, *accumulate(len(c.encode()) for c in text)]
+        place = list(accumulate(map(len, map(str.encode, text)), initial=0))
         ends_a = byte_ends([(place[s], place[e]) for s, e in offsets], own_a)
-        ends_b = byte_ends([(s + 1 if n else 0, e + 1) for n, (_, s, e) in enumerate(spans)], own_b)
+        ends_b = byte_ends([(x.begin + 1 if n else 0, x.end + 1) for n, x in enumerate(spans)], own_b)
         return None if ends_a is None or ends_b is None else (ends_a, ends_b)
 
     def _groups(self, all_a: list[tuple[list[int], list[int]]], all_b: list[tuple[list[int], list[int]]]) -> Iterator[Piece]:
