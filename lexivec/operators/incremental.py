@@ -82,13 +82,13 @@ def compact_unchanged(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Among the entries of one unchanged row with equal chunk text keep one (an ID of the
     deterministic ``table::pk::`` form first, else the first stored); back-fill the fingerprint.
 
-    ``entries`` carries ``new_fp``. Returns ``(kept, deleted_ids)``.
+    ``entries`` carries ``new_fp`` and ``_ck``, the chunk's SHA-256: what only counts or compares does not
+    shuffle texts. Returns ``(kept, deleted_ids)``.
     """
     prefix = F.concat(F.col("table"), F.lit(ID_SEP), F.col("pk"), F.lit(ID_SEP))
     w = Window.partitionBy("table", "pk", "_ck").orderBy(F.col("_det").desc(), F.col("_ord").asc())
     ranked = (
-        entries.withColumn("_ck", F.coalesce(F.col("chunk"), F.lit("")))
-        .withColumn("_det", F.col("id").startswith(prefix))
+        entries.withColumn("_det", F.col("id").startswith(prefix))
         .withColumn("_ord", _ord(entries))
         .withColumn("_rn", F.row_number().over(w))
     )
@@ -114,7 +114,7 @@ def incremental_update(
     target_tables = sorted(set(target_tables))
     stored = stored.withColumn("id", F.coalesce(F.col("id"), fallback_id(F.col("table"), F.col("pk"), F.col("chunk"))))
     in_target = F.coalesce(F.col("table").isin(target_tables), F.lit(False))
-    st_t = stored.where(in_target & F.col("pk").isNotNull())
+    st_t = stored.where(in_target & F.col("pk").isNotNull()).withColumn("_ck", F.sha2(F.coalesce("chunk", F.lit("")), 256))
     cur = current.where(in_target)
 
     # Read by six branches and the report: written once.
@@ -138,13 +138,13 @@ def incremental_update(
     # untouched: other tables, plus stored rows of target tables that were not touched
     touched = cls_small.where(F.col("change") != "missing").select(*KEY).unionByName(dropped_keys.where(F.lit(cfg.delete_missing)))
     untouched = stored.where(~in_target | F.col("pk").isNull()).unionByName(
-        st_t.join(touched, KEY, "left_anti")
+        st_t.drop("_ck").join(touched, KEY, "left_anti")
     )
     new_index = untouched.select(*INDEX_COLUMNS).unionByName(kept.select(*INDEX_COLUMNS)).unionByName(added)
     deleted_ids = compact_deleted.unionByName(replaced_deleted)
     report = update_report(classes, added, compact_deleted, new_index, target_tables, cfg)
     # unchanged rows differ where a duplicate goes or a fingerprint is filled in
-    same = st_t.join(unchanged, KEY).groupBy(*KEY, F.coalesce("chunk", F.lit("")).alias("_ck")).agg(
+    same = st_t.join(unchanged, KEY).groupBy(*KEY, "_ck").agg(
         ((F.count("*") > 1) | F.bool_or(~F.col("row_fp").eqNullSafe(F.col("new_fp")))).alias("_differs")
     )
     differing = redo.unionByName(dropped_keys).unionByName(same.where("_differs").select(*KEY)).distinct()

@@ -17,7 +17,8 @@ T0 = 1_700_000_000
 def land(spark, base: str, number: int, snap, files: int = 4) -> None:
     """A complete snapshot of several files, then its manifest."""
     path = f"{base}/landing/snapshot={number}"
-    snap.repartition(files).write.parquet(path)
+    parts = snap.rdd.getNumPartitions()
+    (snap if parts >= files else snap.repartition(files)).write.parquet(path)
     spark.createDataFrame([(number, path)], MANIFEST).coalesce(1).write.mode("append").json(f"{base}/manifests")
 
 

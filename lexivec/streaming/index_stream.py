@@ -35,7 +35,10 @@ from lexivec.sources.tables import TableSpec
 
 
 def last_version_per_key(batch: DataFrame, key: tuple[str, ...], version_col: str | None) -> DataFrame:
-    """One row per key, the highest ``version_col`` (partitioned window, bounded by key)."""
+    """One row per key, the highest ``version_col`` (partitioned window, bounded by key). Rows are
+    shuffled only if some key comes twice, which the keys alone tell."""
+    if batch.groupBy(*key).count().where("count > 1").isEmpty():
+        return batch
     if version_col is None:
         return batch.dropDuplicates(list(key))
     w = Window.partitionBy(*key).orderBy(F.col(version_col).desc())
