@@ -1,6 +1,7 @@
 """Full-text and boolean search against brute force over every (query, row) pair."""
 
 import math
+import os
 import random
 import re
 from collections import Counter
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from conftest import SF_MID
 from lexivec.config import RetrievalConfig
 from lexivec.operators import fulltext as T
+from lexivec.operators import fulltext_scan as S
 from lexivec.operators.boolean import boolean_search
 from lexivec.operators.lexical import LEX_COLUMNS, like_search, lexical_search
-from lexivec.session import store_once
+from lexivec.session import store_once, work_dir
 from lexivec.sources.tables import TableSpec, read_table, spec
 from lexivec.sources.text_index import text_index
 
@@ -151,3 +153,31 @@ def test_tables_without_text_have_no_hits(spark):
             found = search(tables, queries, CFG)
             assert found.columns == LEX_COLUMNS and found.collect() == []
     assert got(T.bm25_search([numbers, table(spark, [(1, "the cat", "")])], queries, CFG)).keys() == {1}
+
+
+def test_scan_and_index_agree(spark, monkeypatch):
+    rows = [r for r in corpus(150, 11) if r[0] % 7]
+    rows += [(1000 + i, f"dogma{i} dog{i % 3} the", None) for i in range(20)]
+    texts = ["+the dog*", "cat* -of \"the then\"", "do-c* cats", "dog* do* dogm*", "-dog* the", "+nowhere dog*", "the-d* -x +of", "do-dog* dog* cat"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    docs = table(spark, rows)
+    monkeypatch.setattr(S, "ROWS", 16)
+    cfg = CFG.with_(k_ft=9)
+    want = {q: x for q, text in enumerate(texts) if (x := brute_boolean(rows, text, 9))}
+    for most in (1 << 16, 3, 0):  # beginnings that go to the tasks
+        monkeypatch.setattr(S, "MOST_TERMS", most)
+        same(got(boolean_search([docs], frame, cfg)), want)
+    same(got(boolean_search([docs], frame, cfg.with_(broadcast_max_bytes=0))), want)
+    by_index = got(T.bm25_search([docs], frame, cfg.with_(broadcast_max_bytes=0)))
+    same(got(T.bm25_search([docs], frame, cfg)), by_index)
+
+
+def test_no_postings_for_few_queries(spark, tmp_path):
+    spark.createDataFrame([(1, "some text"), (2, "more text")], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    place = f"{work_dir(spark)}/text-index"
+    listed = lambda: set(os.listdir(place)) if os.path.isdir(place) else set()
+    before = listed()
+    docs = TableSpec("d", spark.read.parquet(f"{tmp_path}/d"), ("doc_id",))
+    frame = spark.createDataFrame([(1, "more te*")], "query_id long, text string")
+    assert T.bm25_search([docs], frame, CFG).count() == 1 and boolean_search([docs], frame, CFG).count() == 2
+    assert before == listed()
