@@ -62,3 +62,14 @@ def test_embedder_forgets_tokens(monkeypatch):
     assert E._token_codes("word999 word0", 2) == [once[999], once[0]]
     blocks = E._dense_from_codes([[1, 65], [], [2]], 64)
     assert blocks.shape == (3, 64) and blocks[0, 1] == 0 and not blocks[1].any() and blocks[2, 2] == 1
+
+
+def test_latin_texts_are_cut_by_a_table(spark, monkeypatch):
+    texts = ["Ünïted_États 2½ x", "a b", "".join(map(chr, range(256))), "", "  ", "ǅ ﬁn", "ΑΣ δύο 一二 x²", "µm ª º", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string")
+    for least in (1, 2):
+        jvm = [r.c for r in df.orderBy("n").select(E.HashingEmbedder(64, least).codes("t").alias("c")).collect()]
+        assert [E._token_codes(t, least) for t in texts] == [c or [] for c in jvm]
+    assert len(E._token_codes(" a ", 0)) == 3  # with the empty ones at both ends
+    monkeypatch.setattr(E, "_SPLIT", "not for these texts")
+    assert len(E._token_codes("Où est-ce ? 12 km²", 2)) == 5
